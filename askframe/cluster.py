@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -48,6 +49,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(task_count(df.sparkSession), *keys)
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="askframe-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared ``spark.checkpoint.dir``.
 
@@ -57,8 +63,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="askframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
