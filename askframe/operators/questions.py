@@ -144,8 +144,8 @@ def length_quantiles(df: DataFrame, length: Column, probs=(0, 0.5, 0.75, 0.9, 0.
 
 
 def batch_plan(df: DataFrame, prefix: Column, suffix: Column, cap: int = 4096, step: int = 512) -> DataFrame:
-    """Longest prefix + suffix in words, capped, and the number of batches for it."""
-    longest = F.least(F.max(word_count(prefix) + word_count(suffix)), F.lit(cap))
+    """Longest prefix + suffix length, capped, and the number of batches for it."""
+    longest = F.least(F.max(prefix + suffix), F.lit(cap))
     return df.agg(longest.cast("long").alias("max_length")).withColumn(
         "n_batches", F.ceil(F.col("max_length") / step)
     )
