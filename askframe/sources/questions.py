@@ -76,21 +76,22 @@ def first_of_page(df: DataFrame) -> DataFrame:
     return head_per_group(df, ["page_title"], [F.col(c) for c in ("prompt", *LETTERS, "answer")], 1)
 
 
-def registry_check(spark: SparkSession, root: str, registry: dict) -> DataFrame:
-    """Expected and found rows of every registered set."""
-    out = None
-    for name, (path, rows, one_per_page) in registry.items():
-        df = read_csv(spark, f"{root}/{path}")
-        if one_per_page:
-            df = df.transform(first_of_page)
-        row = df.agg(F.count("*").alias("found_rows")).select(
-            F.lit(name).alias("set_name"),
-            F.lit(rows).cast("long").alias("expected_rows"),
-            "found_rows",
-            (F.col("found_rows") == rows).alias("matches"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+def registry_frame(spark: SparkSession, registry=EXTRA_SETS) -> DataFrame:
+    """The registry as a table ``(set_name, path, expected_rows, one_per_page)``."""
+    rows = [(name, *entry) for name, entry in registry.items()]
+    return spark.createDataFrame(rows, "set_name string, path string, expected_rows long, one_per_page boolean")
+
+
+def registry_check(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """Expected and found rows of every registered or found set; ``found`` has ``set_name`` per row."""
+    counts = found.groupBy("set_name").agg(F.count("*").alias("found_rows"))
+    joined = registry.select("set_name", "expected_rows").join(counts, "set_name", "full")
+    return joined.select(
+        "set_name",
+        "expected_rows",
+        F.coalesce("found_rows", F.lit(0)).alias("found_rows"),
+        F.coalesce(F.col("expected_rows") == F.col("found_rows"), F.lit(False)).alias("matches"),
+    )
 
 
 def select_context_version(df: DataFrame, version: int) -> DataFrame:
