@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from askframe.fixed_values import LETTERS, SEARCH_INSTRUCTION, STOP_WORDS
 
@@ -135,7 +136,7 @@ def corpus_text_v1(title: Column, section: Column, text: Column) -> Column:
     return F.replace(F.replace(joined, F.lit("\n"), F.lit(" ")), F.lit("'"), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Compatibility decomposition; Spark has no built-in for it."""
     return text.map(lambda s: unicodedata.normalize("NFKD", s), na_action="ignore")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.cluster import broadcast_when, is_small
+from askframe.cluster import broadcast_when, is_small, with_row_index
 
 
 def scan_corpus(parts: list[DataFrame], id_col: str = "article_id") -> DataFrame:
@@ -42,6 +42,17 @@ def write_fulltext(df: DataFrame, path: str) -> None:
     keyed.repartition("file", "_bucket").drop("_bucket").write.partitionBy("file").parquet(path)
 
 
+def ids_per_file(hits: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
+    """Sorted id lists per shard, ``(file, chunk, ids)``, each list of at most ``chunk_rows`` ids.
+
+    Rows are numbered in (file, id) order first, so a shard with very many hits
+    becomes many lists instead of one.
+    """
+    placed = with_row_index(hits.select("file", "id"), [F.col("file"), F.col("id")], "_row")
+    chunk = F.floor(F.col("_row") / chunk_rows).alias("chunk")
+    return placed.groupBy("file", chunk).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
 def scan_fulltext(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
     """Texts of the wanted articles only.
 
