@@ -11,7 +11,7 @@ from askframe.operators import metrics, questions as ops, scoring
 from askframe.operators.blend import blend as blend_models, blend_gradient as gradient_of
 from askframe.plans.answers import answer_probabilities, answer_report
 
-RANKED = "ranked as (select *, row_number() over (partition by model_id, id order by prob desc, letter) as rank from probs)"
+RANKED = "ranked as (select *, row_number() over (partition by model_id, id order by prob desc, letter)::int as rank from probs)"
 
 SCORED_SQL = """
     long as (select id, context, prompt, 'A' as letter, A as answer_text from context_questions
@@ -54,7 +54,7 @@ def answered_questions(spark, sf):
     return answer_report(found, base.answers(spark, sf))
 
 
-@query("select model_id, id, letter, row_number() over (partition by model_id, id order by prob desc, letter) as rank from probs", "probs")
+@query("select model_id, id, letter, row_number() over (partition by model_id, id order by prob desc, letter)::int as rank from probs", "probs")
 def rank_letters(spark, sf):
     return scoring.rank_letters(base.probs(spark, sf), ["model_id", "id"]).drop("prob")
 
@@ -62,7 +62,7 @@ def rank_letters(spark, sf):
 TIED_SQL = "tied as (select model_id, id, letter, round(prob, 1) as prob from probs)"
 
 
-@query(TIED_SQL + " select model_id, id, letter, row_number() over (partition by model_id, id order by prob desc, letter desc) as rank from tied", "probs")
+@query(TIED_SQL + " select model_id, id, letter, row_number() over (partition by model_id, id order by prob desc, letter desc)::int as rank from tied", "probs")
 def rank_letters_last_on_ties(spark, sf):
     tied = base.probs(spark, sf).withColumn("prob", F.round("prob", 1))
     return scoring.rank_letters(tied, ["model_id", "id"], "last").drop("prob")

@@ -135,6 +135,11 @@ _USES = {
 }
 
 
+def millionths(vector: str):
+    """Vector entries as whole millionths, so that both engines print them alike."""
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("string"))
+
+
 def letter_of(index):
     return F.substring(F.lit(ALPHABET), index.cast("int") + 1, F.lit(1))
 

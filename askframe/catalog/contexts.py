@@ -46,7 +46,7 @@ def tfidf_sql(k: int, fit: str = "true") -> str:
       d_n as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from d_w),
       q_n as (select query_id, term, w / sqrt(sum(w * w) over (partition by query_id)) as w from q_w),
       scored as (select q.query_id, d.doc_id, round(sum(d.w * q.w), 9) as score from q_n q join d_n d using (term) group by all),
-      hits as (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from scored
+      hits as (select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score from scored
                qualify row_number() over (partition by query_id order by score desc, doc_id) <= {k})"""
 
 
@@ -237,7 +237,7 @@ def sentencize(spark, sf):
 
 
 def counts_sql(text: str) -> str:
-    return f"list_transform(range(26), lambda i: (2 * length({text}) - length(replace({text}, chr(97 + i), '')) - length(replace({text}, chr(65 + i), '')))::double)"
+    return f"list_transform(range(26), lambda i: (2 * length({text}) - length(replace({text}, chr((97 + i)::int), '')) - length(replace({text}, chr((65 + i)::int), '')))::double)"
 
 
 def vectors_sql(name: str, source: str, key: str, text: str, extra: str = "") -> str:
@@ -249,7 +249,7 @@ def vectors_sql(name: str, source: str, key: str, text: str, extra: str = "") ->
 def nearest_sql(k: int) -> str:
     return f"""
       near as (select q.query_id, d.doc_id, round(list_inner_product(q.v, d.v), 9) as score from q_vec q cross join d_vec d),
-      hits as (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from near
+      hits as (select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score from near
                qualify row_number() over (partition by query_id order by score desc, doc_id) <= {k})"""
 
 
@@ -271,11 +271,11 @@ BENCH_VECTORS_SQL = (
 
 @query(
     vectors_sql("d_vec", "documents", "doc_id", "text")
-    + " select doc_id, array_to_string(list_transform(v, lambda x: round(x, 6)), ',') as embedding from d_vec"
+    + " select doc_id, array_to_string(list_transform(v, lambda x: floor(x * 1e6::double + 0.5::double)::bigint), ',') as embedding from d_vec"
 )
 def embed(spark, sf):
-    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 6).cast("string"))
-    return doc_vectors(spark, sf).select("doc_id", F.array_join(rounded, ",").alias("embedding"))
+    """Vectors as whole millionths."""
+    return doc_vectors(spark, sf).select("doc_id", F.array_join(base.millionths("embedding"), ",").alias("embedding"))
 
 
 @query(BENCH_VECTORS_SQL + nearest_sql(5) + " select query_id, rank, doc_id, round(score, 6) as score from hits")

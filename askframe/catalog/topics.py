@@ -17,12 +17,12 @@ TOP_LABEL_SQL = "(select cluster_id from vector_docs where title in (select titl
 @query(
     """own as (select vec_id, list_transform(embedding, lambda x: x::double * 3) as v from embeddings),
        n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from own)
-       select vec_id, array_to_string(list_transform(v, lambda x: round((x / n)::float, 5)), ',') as unit_vector from n"""
+       select vec_id, array_to_string(list_transform(v, lambda x: floor((x / n)::float::double * 1e6::double + 0.5::double)::bigint), ',') as unit_vector from n"""
 )
 def l2_normalize(spark, sf):
     tripled = F.transform("embedding", lambda x: x.cast("double") * 3)
-    rounded = F.transform(unit(tripled), lambda x: F.round(x, 5).cast("string"))
-    return table(spark, sf, "embeddings").select("vec_id", F.array_join(rounded, ",").alias("unit_vector"))
+    units = table(spark, sf, "embeddings").select("vec_id", unit(tripled).alias("unit"))
+    return units.select("vec_id", F.array_join(base.millionths("unit"), ",").alias("unit_vector"))
 
 
 @query(
