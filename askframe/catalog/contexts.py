@@ -95,7 +95,7 @@ def idf_fit(spark, sf):
 def tfidf_vector(spark, sf):
     queries = bench_queries(spark, sf)
     idf = sparse.idf_fit(sparse.query_vocabulary(queries), doc_texts(spark, sf), small=True)
-    vectors = sparse.tfidf_vectors(sparse.query_terms(queries), idf, "query_id")
+    vectors = sparse.tfidf_vectors(sparse.occurrences(queries, "query_id"), idf, "query_id")
     return vectors.select("query_id", "term", F.round("w", 9).alias("w"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from askframe.fixed_values import LETTERS, SEARCH_INSTRUCTION, STOP_WORDS
+from askframe.functions.vectors import bind
 
 # Fixed value: same tokens as the classic word pattern, written so that Java,
 # RE2 and Python agree on letters and combining marks.
@@ -34,11 +35,14 @@ def remove_stop_words(tokens: Column, stop_words=STOP_WORDS) -> Column:
 
 def ngrams(tokens: Column) -> Column:
     """Single tokens followed by neighbouring pairs joined with a space."""
-    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.concat(
-        tokens,
-        F.zip_with(F.slice(tokens, 1, pairs), F.slice(tokens, 2, pairs), lambda a, b: F.concat_ws(" ", a, b)),
-    )
+
+    def both(t: Column) -> Column:
+        pairs = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.concat(
+            t, F.zip_with(F.slice(t, F.lit(1), pairs), F.slice(t, F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b))
+        )
+
+    return bind(tokens, both)
 
 
 def terms(text: Column) -> Column:
@@ -60,7 +64,10 @@ def sentence_pieces(text: Column) -> Column:
 
 def sentence_spans(text: Column) -> Column:
     """Array of ``struct<text, start, end>``: trimmed pieces with their place in the text."""
-    pieces = sentence_pieces(text)
+    return bind(sentence_pieces(text), _spans)
+
+
+def _spans(pieces: Column) -> Column:
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
     starts = F.aggregate(
         pieces,

@@ -23,11 +23,20 @@ def row_count(df: DataFrame) -> Column:
 
 
 def checked_rows(df: DataFrame, expected: int) -> DataFrame:
-    """Pass rows through; fail the job when there are not exactly ``expected``."""
+    """Pass rows through; fail the job when there are not exactly ``expected``.
+
+    The check runs with the rows, and once more on a row of its own so that an
+    empty table fails too.
+    """
     found = row_count(df)
     message = F.concat(F.lit(f"expected {expected} rows, found "), found.cast("string"))
-    checked = df.filter(F.when(found == expected, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-    return checked
+
+    def holds(outcome: bool) -> Column:
+        return F.when(found == expected, F.lit(outcome)).otherwise(F.raise_error(message).cast("boolean"))
+
+    no_row = df.sparkSession.range(1).filter(holds(False))
+    empty = no_row.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return df.filter(holds(True)).unionByName(empty)
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

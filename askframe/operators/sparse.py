@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askframe.cluster import BROADCAST_ROWS, broadcast_when, is_small, spread
 from askframe.functions.text import terms
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term, tf)`` of the query texts."""
-    return (
-        queries.select("query_id", F.explode(terms(F.col("text"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def occurrences(texts: DataFrame, key: str) -> DataFrame:
+    """``(key, term)``, one row per occurrence of a term in a text."""
+    return texts.select(key, F.explode(terms(F.col("text"))).alias("term"))
 
 
 def query_vocabulary(queries: DataFrame) -> DataFrame:
@@ -31,7 +27,9 @@ def fit_rows(corpus: DataFrame, n_fit: int | None) -> DataFrame:
     return corpus.filter(F.col("doc_id") <= last)
 
 
-def idf_fit(vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None, small: bool = False) -> DataFrame:
+def idf_fit(
+    vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None, small: bool = False, total: Column | None = None
+) -> DataFrame:
     """Smooth idf of every vocabulary term over the fit rows; an unseen term has df 0.
 
     Corpus terms meet the vocabulary before anything is shuffled, and document
@@ -39,7 +37,7 @@ def idf_fit(vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None,
     most one row per vocabulary term and task.
     """
     fit = fit_rows(corpus, n_fit)
-    n = fit.agg(F.count("*")).scalar()
+    n = fit.agg(F.count("*")).scalar() if total is None else total
     df = (
         fit.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
         .join(broadcast_when(vocabulary, small), "term", "left_semi")
@@ -51,9 +49,13 @@ def idf_fit(vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None,
     return vocabulary.join(df, "term", "left").select("term", idf.alias("idf"))
 
 
-def tfidf_vectors(counts: DataFrame, idf: DataFrame, key: str, small: bool = False) -> DataFrame:
-    """``(key, term, w)`` unit vectors from ``(key, term, tf)`` counts."""
-    weighted = counts.join(broadcast_when(idf, small), "term").withColumn("w", F.col("tf") * F.col("idf"))
+def tfidf_vectors(occurrences: DataFrame, idf: DataFrame, key: str, small: bool = False) -> DataFrame:
+    """``(key, term, w)`` unit vectors from one ``(key, term)`` row per occurrence.
+
+    Occurrences outside the vocabulary drop out at the join, before counting.
+    """
+    counted = occurrences.join(broadcast_when(idf, small), "term").groupBy(key, "term", "idf").agg(F.count("*").alias("tf"))
+    weighted = counted.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("w"))
 
@@ -88,19 +90,15 @@ def tfidf_topk(
     checked; beyond that the joins shuffle by term and adaptive execution
     splits hot terms.  Fewer than ``k`` matches give fewer than ``k`` rows.
     """
-    q_counts = query_terms(queries)
-    small = is_small(q_counts, max_broadcast_rows)
+    vocabulary = query_vocabulary(queries)
+    asked = occurrences(queries, "query_id")
+    small = is_small(asked, max_broadcast_rows)
     articles = spread(corpus.select("doc_id", "text"), "doc_id")
-    idf = idf_fit(query_vocabulary(queries), articles, n_fit, small)
-    postings = tfidf_vectors(q_counts, idf, "query_id", small).withColumnRenamed("w", "q_w")
-    d_counts = (
-        articles.select("doc_id", F.explode(terms(F.col("text"))).alias("term"))
-        .join(broadcast_when(query_vocabulary(queries), small), "term", "left_semi")
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    total = fit_rows(corpus.select("doc_id"), n_fit).agg(F.count("*")).scalar()
+    idf = idf_fit(vocabulary, articles, n_fit, small, total)
+    postings = tfidf_vectors(asked, idf, "query_id", small).withColumnRenamed("w", "q_w")
     scored = (
-        tfidf_vectors(d_counts, idf, "doc_id", small)
+        tfidf_vectors(occurrences(articles, "doc_id"), idf, "doc_id", small)
         .join(broadcast_when(postings, small), "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("w") * F.col("q_w")).alias("score"))
