@@ -9,9 +9,14 @@ from askframe.catalog.answers import WEIGHTS_SQL, accuracy_weights
 from askframe.catalog.base import MODELS, query
 from askframe.operators import blend
 
-GRID_SQL = """
-    parts as (select unnest(range(21)) as w),
-    grid as (select a.w as w0, b.w as w1, c.w as w2, 20 - a.w - b.w - c.w as w3 from parts a, parts b, parts c where a.w + b.w + c.w <= 20)"""
+def grid_sql(steps: int) -> str:
+    return f"""
+    parts as (select unnest(range({steps} + 1)) as w),
+    grid as (select a.w as w0, b.w as w1, c.w as w2, {steps} - a.w - b.w - c.w as w3
+             from parts a, parts b, parts c where a.w + b.w + c.w <= {steps})"""
+
+
+GRID_SQL = grid_sql(20)
 
 
 def scores_sql(grid: str, steps: int, out: str) -> str:
@@ -55,6 +60,13 @@ def grid_scores(spark, sf):
     return scores.withColumn("map3", F.round("map3", 9))
 
 
+@query(grid_sql(100) + "," + scores_sql("grid", 100, "scores") + f" select {AS_INT}, round(map3, 9) as map3 from scores", "probs answers")
+def grid_scores_percent(spark, sf):
+    """All 176,851 vectors of whole percents over four models."""
+    scores = blend.grid_scores(base.probs(spark, sf), base.answers(spark, sf), MODELS, 100)
+    return scores.withColumn("map3", F.round("map3", 9))
+
+
 TOP_SQL = GRID_SQL + "," + scores_sql("grid", 20, "scores") + ", best as (select * from scores order by map3 desc, w0, w1, w2, w3 limit 3)"
 
 

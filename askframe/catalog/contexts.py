@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askframe.catalog import base
 from askframe.catalog.base import TOKEN_SQL, query, table, words_sql
-from askframe.cluster import scratch_path
+from askframe.cluster import parallel_scan, scratch_path, stored
 from askframe.fixed_values import SEARCH_INSTRUCTION, STOP_WORDS
 from askframe.functions import text as tx
 from askframe.operators import dense, sentences, sparse
@@ -58,7 +58,7 @@ def bench_queries(spark, sf):
 
 
 def doc_texts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return parallel_scan(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 # ---- text ------------------------------------------------------------------
@@ -202,7 +202,7 @@ def fetch_paragraphs(spark, sf):
     p = base.paragraphs(spark, sf).withColumnRenamed("article_id", "doc_id")
     queries = base.questions(spark, sf).select(F.col("id").alias("query_id"), tx.query_text_weighted().alias("text"))
     search = p.select("doc_id", tx.corpus_text_v1(F.col("title"), F.col("section"), F.col("text")).alias("text"))
-    return dense.fetch_paragraphs(sparse.tfidf_topk(queries, search, 3), p)
+    return dense.fetch_paragraphs(stored(sparse.tfidf_topk(queries, search, 3), "hits"), p)
 
 
 # ---- sentences -------------------------------------------------------------

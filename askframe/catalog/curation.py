@@ -13,6 +13,8 @@ from askframe.functions.text import bullets_from_columns, word_count
 from askframe.functions.prompts import option_suffixes, shared_prefix
 from askframe.operators import questions as ops
 from askframe.sources import corpus, questions as sources, scores
+from askframe.plans import question_sets
+from askframe.sources import sinks
 from askframe.sources.sinks import materialize, write_csv
 
 QUESTION_COLUMNS = "id, prompt, A, B, C, D, E, answer"
@@ -170,6 +172,35 @@ def write_and_read_csv(spark, sf):
     return sources.read_csv(spark, stored_questions(spark, sf)).withColumn("id", F.col("id").cast("long"))
 
 
+@query(
+    "select id, string_agg(letter, ' ' order by p desc, letter) as prediction from "
+    "(select id, letter, round(avg(prob), 9) as p from probs group by all) group by id",
+    "probs",
+)
+def write_submission(spark, sf):
+    mean = base.probs(spark, sf).groupBy("id", "letter").agg(F.round(F.avg("prob"), 9).alias("prob"))
+    path = scratch_path(spark, "submission")
+    sinks.write_submission(mean, path)
+    return sources.read_csv(spark, path, "id long, prediction string")
+
+
+BUNDLE_SQL = """
+    placed as (select *, row_number() over (order by md5('42:' || cast(id as varchar)), id) - 1 as position from questions),
+    parted as (select *, case when position < ceil((select count(*) from questions) * 0.2::double) then 'valid' else 'train' end as split from placed),
+    numbered as (""" + NUMBERED.format(source="questions") + """),
+    top as (select split, max(id) + 1 as first from parted group by split)
+    select split, id, prompt, A, B, C, D, E, answer from parted
+    union all select 'train', n.id + first, prompt, A, B, C, D, E, answer from numbered n join top on split = 'train'
+    union all select 'valid', n.id + first, prompt, A, B, C, D, E, answer from numbered n join top on split = 'valid'"""
+
+
+@query(BUNDLE_SQL, "questions")
+def question_bundle(spark, sf):
+    extra = sources.read_extra_questions(spark, stored_questions(spark, sf))
+    first = ops.canonical_columns(base.questions(spark, sf), "train")
+    return question_sets.question_bundle(first, [extra], [extra], test_size=0.2, seed=42).drop("position")
+
+
 @query("select lang, count(*) as n from documents group by lang")
 def materialize_once(spark, sf):
     path = scratch_path(spark, "stored")

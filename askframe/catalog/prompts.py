@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from askframe.catalog import base
 from askframe.catalog.base import query, table, words_sql
+from askframe.cluster import stored
 from askframe.fixed_values import LETTERS, NUMBERED_FAMILIES, PREFIX_TEXT, PROMPT_TEXTS
 from askframe.functions.prompts import prompt_kind
 from askframe.functions.text import budget_sentences as budget_sentences_of
@@ -80,9 +81,9 @@ def template_sql(with_answer: bool) -> str:
 
 
 def all_templates(spark, sf, with_answer: bool):
-    out = None
+    questions, out = stored(base.context_questions(spark, sf), "context-questions"), None
     for family, number in PROMPT_TEXTS:
-        df = prompts.render_prompt(base.context_questions(spark, sf), family, number, with_answer)
+        df = prompts.render_prompt(questions, family, number, with_answer)
         letter = F.col("letter") if "letter" in df.columns else F.lit("-")
         df = df.select(F.lit(family).alias("family"), F.lit(number).alias("prompt_id"), "id", letter.alias("letter"), "text")
         out = df if out is None else out.unionByName(df)

@@ -54,6 +54,15 @@ def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="askframe-")
 
 
+def parallel_scan(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scanned table only when its files make fewer splits than there are tasks.
+
+    A big table has splits enough and is left where it is; ``scan`` must be a
+    plain read, whose splits are known without running anything.
+    """
+    return spread(scan, *keys) if scan.rdd.getNumPartitions() < task_count(scan.sparkSession) else scan
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared ``spark.checkpoint.dir``.
 
@@ -67,6 +76,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared scratch folder and read back.
+
+    Cuts the lineage of a costly result that later steps use several times:
+    they, and any retry after a lost executor, read it instead of computing it
+    again, and its true size is known to the planner.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add a 0-based position in the total order given by ``order``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askframe.cluster import stored
 from askframe.functions.text import (
     bullets_from_columns,
     corpus_text_v0,
@@ -39,7 +40,7 @@ def sparse_context(questions: DataFrame, paragraphs: DataFrame, k: int = 3, sect
         search, shown = corpus_text_v1(title, F.col("section"), text), text
     else:
         search, shown = corpus_text_v0(title, text), normalize_context(text)
-    hits = tfidf_topk(queries, paragraphs.select(F.col("article_id").alias("doc_id"), search.alias("text")), k)
+    hits = stored(tfidf_topk(queries, paragraphs.select(F.col("article_id").alias("doc_id"), search.alias("text")), k), "hits")
     return _attach(questions, hits, paragraphs.select(F.col("article_id").alias("doc_id"), shown.alias("text")), k)
 
 
@@ -50,7 +51,7 @@ def dense_context(
     q = questions.select(
         F.col("id").alias("query_id"), embed(instruction_prefix(query_text_all()), make_encoder).alias("embedding")
     )
-    hits = vector_topk(q, articles, k)
+    hits = stored(vector_topk(q, articles, k), "hits")
     return _attach(questions, hits, articles.select("doc_id", "text"), k)
 
 
@@ -74,7 +75,7 @@ def two_stage_context(
     those articles only, so just their shards are read.
     """
     prompts = questions.select(F.col("id").alias("query_id"), embed(F.col("prompt"), make_encoder).alias("embedding"))
-    hits = vector_topk(prompts, article_vectors, n_top)
+    hits = stored(vector_topk(prompts, article_vectors, n_top), "hits")
     texts = fulltext(hits_to_index(hits, index)).withColumnRenamed("id", "document_id")
     sentences = process_documents(texts).withColumn("embedding", embed(F.col("text"), make_encoder))
     q = questions.select(F.col("id").alias("query_id"), embed(query_text_all(), make_encoder).alias("embedding"))

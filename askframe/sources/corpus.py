@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askframe.cluster import broadcast_when, is_small, with_row_index
+from askframe.cluster import stored, with_row_index
 
 
 def scan_corpus(parts: list[DataFrame], id_col: str = "article_id") -> DataFrame:
@@ -56,11 +56,10 @@ def ids_per_file(hits: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
 def scan_fulltext(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
     """Texts of the wanted articles only.
 
-    ``hits`` names ``(id, file)``; with a small hit list the shard folders are
-    pruned at run time by the broadcast list.
+    ``hits`` names ``(id, file)``.  It is stored first, so that a short list is
+    broadcast by its known size, which also prunes the shard folders at run time.
     """
-    wanted = hits.select("id", "file").distinct()
-    wanted = broadcast_when(wanted, is_small(wanted))
+    wanted = stored(hits.select("id", "file").distinct(), "wanted")
     return spark.read.parquet(path).join(wanted, ["file", "id"], "left_semi").select("id", "text")
 
 

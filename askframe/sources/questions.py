@@ -52,13 +52,13 @@ def read_extra_questions(
 
     Files carry no line numbers, so the id is the position in the order of the
     question's own text.  Exact copies are told apart by their place in the
-    scan, which also lets the sort split them over tasks.
+    scan, which also lets the sort split them over tasks; ``transform`` must
+    keep that column, ``_place``.
     """
-    df = read_csv(spark, path).drop("id")
+    df = read_csv(spark, path).drop("id").withColumn("_place", F.monotonically_increasing_id())
     df = _with_context(df, with_context, top_n)
     if transform is not None:
         df = df.transform(transform)
-    df = df.withColumn("_place", F.monotonically_increasing_id())
     order = [F.col(c) for c in ("prompt", *LETTERS, "answer", "_place")]
     df = with_row_index(df, order, "id").drop("_place")
     df = canonical_columns(df, "train", with_context)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from askframe.operators.scoring import prediction_string
+
 # Write options that read back exactly: quotes doubled, outer spaces kept.
 CSV_WRITE = {
     "header": "true",
@@ -23,6 +25,11 @@ def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -
     writer.csv(path)
 
 
+def write_submission(probs: DataFrame, path: str) -> None:
+    """``id, prediction`` with the letters best first."""
+    write_csv(prediction_string(probs, ["id"]), path)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True when a write to ``path`` was committed, told by its success marker."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
