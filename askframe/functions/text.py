@@ -39,7 +39,7 @@ def ngrams(tokens: Column) -> Column:
     def both(t: Column) -> Column:
         pairs = F.greatest(F.size(t) - 1, F.lit(0))
         return F.concat(
-            t, F.zip_with(F.slice(t, F.lit(1), pairs), F.slice(t, F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b))
+            t, F.zip_with(F.slice(t, F.lit(1), pairs), F.slice(t, F.lit(2), pairs), lambda a, b: F.concat(a, F.lit(" "), b))
         )
 
     return bind(tokens, both)

@@ -11,8 +11,14 @@ from askframe.operators.metrics import PROB_FLOOR, wide_models
 
 
 def blend(probs: DataFrame, weights: DataFrame, normalised: bool = True) -> DataFrame:
-    """Weighted probability per ``(id, letter)``: divided by the weights' sum, or the plain sum."""
-    joined = probs.join(weights.select("model_id", "weight"), "model_id")
+    """Weighted probability per ``(id, letter)``: divided by the weights' sum, or the plain sum.
+
+    The few ``(model_id, weight)`` rows travel as one map, so no probability
+    row is shuffled on the handful of model keys.  Models without a weight are
+    left out.
+    """
+    table = weights.agg(F.map_from_entries(F.collect_list(F.struct("model_id", "weight")))).scalar()
+    joined = probs.withColumn("weight", F.try_element_at(table, F.col("model_id"))).filter(F.col("weight").isNotNull())
     weighted = F.sum(F.col("weight") * F.col("prob"))
     value = weighted / F.sum("weight") if normalised else weighted
     return joined.groupBy("id", "letter").agg(value.alias("prob"))

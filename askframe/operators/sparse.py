@@ -52,9 +52,13 @@ def idf_fit(
 def tfidf_vectors(occurrences: DataFrame, idf: DataFrame, key: str, small: bool = False) -> DataFrame:
     """``(key, term, w)`` unit vectors from one ``(key, term)`` row per occurrence.
 
-    Occurrences outside the vocabulary drop out at the join, before counting.
+    Against a broadcast vocabulary, occurrences outside it drop out before they
+    are counted; a large vocabulary joins by shuffle, so counting comes first.
     """
-    counted = occurrences.join(broadcast_when(idf, small), "term").groupBy(key, "term", "idf").agg(F.count("*").alias("tf"))
+    if small:
+        counted = occurrences.join(F.broadcast(idf), "term").groupBy(key, "term", "idf").agg(F.count("*").alias("tf"))
+    else:
+        counted = occurrences.groupBy(key, "term").agg(F.count("*").alias("tf")).join(idf, "term")
     weighted = counted.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("w"))

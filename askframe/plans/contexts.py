@@ -34,7 +34,7 @@ def sparse_context(questions: DataFrame, paragraphs: DataFrame, k: int = 3, sect
 
     ``paragraphs`` is ``(article_id, title[, section], text)``.
     """
-    queries = questions.select(F.col("id").alias("query_id"), query_text_weighted().alias("text"))
+    queries = stored(questions.select(F.col("id").alias("query_id"), query_text_weighted().alias("text")), "queries")
     title, text = F.col("title"), F.col("text")
     if sectioned:
         search, shown = corpus_text_v1(title, F.col("section"), text), text
