@@ -12,6 +12,7 @@ from askframe.functions.letters import answer_text, index_to_letter, letter_to_i
 from askframe.functions.text import bullets_from_columns, word_count
 from askframe.functions.prompts import option_suffixes, shared_prefix
 from askframe.operators import questions as ops
+from askframe.operators.scoring import wide_options
 from askframe.sources import corpus, questions as sources, scores
 from askframe.plans import question_sets
 from askframe.sources import sinks
@@ -130,7 +131,7 @@ def scan_embeddings(spark, sf):
 @query("select cast(model_id as varchar) as model_id, id, letter, round(prob, 9) as prob from probs", "probs")
 def read_model_probs(spark, sf):
     path = scratch_path(spark, "probs")
-    wide = base.probs(spark, sf).groupBy("model_id", "id").pivot("letter", list(LETTERS)).agg(F.first("prob"))
+    wide = wide_options(base.probs(spark, sf), ["model_id", "id"])
     write_csv(wide, path, ["model_id"])
     return scores.read_model_probs(spark, path).withColumn("prob", F.round("prob", 9))
 
@@ -325,6 +326,12 @@ PIVOT_SQL = """select id, max(case when rank = 1 then text end) as context_top1,
        max(case when rank = 3 then text end) as context_top3 from contexts group by id"""
 
 
+@query("select q.id, q.prompt, a.answer as expected from questions q join answers a on a.id = q.id", "questions answers")
+def attach_by_id(spark, sf):
+    expected = base.answers(spark, sf).withColumnRenamed("answer", "expected")
+    return ops.attach_by_id(base.questions(spark, sf).select("id", "prompt"), expected)
+
+
 @query(PIVOT_SQL, "contexts")
 def pivot_contexts(spark, sf):
     return ops.pivot_contexts(base.contexts(spark, sf), 3)

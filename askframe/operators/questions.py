@@ -52,6 +52,26 @@ def duplicate_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def unique_ids(df: DataFrame) -> DataFrame:
+    """Pass rows through; fail the job when an id occurs twice."""
+    total, distinct = row_count(df), df.agg(F.count_distinct("id")).scalar()
+    message = F.concat(F.lit("duplicate id among rows: "), total.cast("string"), F.lit(", ids: "), distinct.cast("string"))
+    return df.filter(F.when(total == distinct, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def attach_by_id(df: DataFrame, values: DataFrame) -> DataFrame:
+    """Put ``values`` next to the rows of the same ``id``, strictly one to one.
+
+    The job fails when an id is missing on either side or occurs twice.
+    """
+    left = unique_ids(df).withColumn("_left", F.lit(True))
+    right = unique_ids(values).withColumn("_right", F.lit(True))
+    message = F.concat(F.lit("no partner for id "), F.col("id").cast("string"))
+    paired = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    joined = left.join(right, "id", "full")
+    return joined.filter(F.when(paired, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_left", "_right")
+
+
 def shift_ids(base: DataFrame, extra: DataFrame, id_col: str = "id") -> DataFrame:
     """Move ``extra``'s ids past the largest id of ``base``; an empty base shifts nothing."""
     offset = base.agg(F.coalesce(F.max(id_col) + 1, F.lit(0))).scalar()

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askframe.operators.questions import drop_incomplete, merge_question_sets, seeded_shuffle, seeded_split
-
-
-def unique_ids(df: DataFrame) -> DataFrame:
-    """Pass rows through; fail the job when an id occurs twice."""
-    total, distinct = df.agg(F.count("*")).scalar(), df.agg(F.count_distinct("id")).scalar()
-    message = F.concat(F.lit("duplicate id among rows: "), total.cast("string"), F.lit(", ids: "), distinct.cast("string"))
-    return df.filter(F.when(total == distinct, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+from askframe.operators.questions import (
+    drop_incomplete,
+    merge_question_sets,
+    seeded_shuffle,
+    seeded_split,
+    unique_ids,
+)
 
 
 def question_bundle(

@@ -211,6 +211,15 @@ def test_wrong_row_count_fails(spark):
         questions.checked_rows(df.filter("id > 5"), 4).collect()
 
 
+def test_attach_is_one_to_one(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    good = spark.createDataFrame([(2, "q"), (1, "p")], "id long, y string")
+    assert sorted(tuple(r) for r in questions.attach_by_id(left, good).collect()) == [(1, "a", "p"), (2, "b", "q")]
+    for rows, message in (([(1, "p")], "no partner"), ([(1, "p"), (2, "q"), (3, "r")], "no partner"), ([(1, "p"), (2, "q"), (2, "r")], "duplicate id")):
+        with pytest.raises(Exception, match=message):
+            questions.attach_by_id(left, spark.createDataFrame(rows, "id long, y string")).collect()
+
+
 def test_registry_and_versions(spark):
     assert registry_frame(spark).count() == len(EXTRA_SETS) == 7
     with pytest.raises(ValueError):
