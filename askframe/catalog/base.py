@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askframe.cluster import parallel_scan
 from askframe.fixed_values import LETTERS
 from askframe.functions.letters import ALPHABET
 
@@ -185,7 +186,8 @@ def probs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text", "lang", "n_chars")
+    return parallel_scan(docs, "doc_id").select(
         F.col("doc_id").alias("article_id"),
         F.concat(F.lit("T"), F.floor(F.col("doc_id") / 4).cast("string")).alias("title"),
         F.col("source").alias("section"),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askframe.cluster import BROADCAST_ROWS, broadcast_when, is_small, spread
 from askframe.functions.text import terms
+from askframe.operators.blocks import HIT_SCHEMA, Postings, running_best, sparse_hits, whole_articles
 
 
 def occurrences(texts: DataFrame, key: str) -> DataFrame:
@@ -27,9 +31,7 @@ def fit_rows(corpus: DataFrame, n_fit: int | None) -> DataFrame:
     return corpus.filter(F.col("doc_id") <= last)
 
 
-def idf_fit(
-    vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None, small: bool = False, total: Column | None = None
-) -> DataFrame:
+def idf_fit(vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None, small: bool = False) -> DataFrame:
     """Smooth idf of every vocabulary term over the fit rows; an unseen term has df 0.
 
     Corpus terms meet the vocabulary before anything is shuffled, and document
@@ -37,7 +39,7 @@ def idf_fit(
     most one row per vocabulary term and task.
     """
     fit = fit_rows(corpus, n_fit)
-    n = fit.agg(F.count("*")).scalar() if total is None else total
+    n = fit.agg(F.count("*")).scalar()
     df = (
         fit.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
         .join(broadcast_when(vocabulary, small), "term", "left_semi")
@@ -49,17 +51,14 @@ def idf_fit(
     return vocabulary.join(df, "term", "left").select("term", idf.alias("idf"))
 
 
-def tfidf_vectors(occurrences: DataFrame, idf: DataFrame, key: str, small: bool = False) -> DataFrame:
+def tfidf_vectors(occurrences: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """``(key, term, w)`` unit vectors from one ``(key, term)`` row per occurrence.
 
-    Against a broadcast vocabulary, occurrences outside it drop out before they
-    are counted; a large vocabulary joins by shuffle, so counting comes first.
+    Occurrences are counted before they meet the vocabulary, so the join moves
+    one row per text and term.
     """
-    if small:
-        counted = occurrences.join(F.broadcast(idf), "term").groupBy(key, "term", "idf").agg(F.count("*").alias("tf"))
-    else:
-        counted = occurrences.groupBy(key, "term").agg(F.count("*").alias("tf")).join(idf, "term")
-    weighted = counted.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    counted = occurrences.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    weighted = counted.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("w"))
 
@@ -79,6 +78,47 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _scan_with_postings(asked: DataFrame, articles: DataFrame, idf: DataFrame, k: int) -> DataFrame:
+    """Queries of a checked size go to every task and are scored against whole articles there.
+
+    An (article, query) pair exists only as a cell of a bounded score matrix,
+    however many articles and queries share a term.  The idf table and the
+    query vectors, no longer than the checked query side, are held by the
+    driver, so a retry never fits the idf again.
+    """
+    fitted = idf.toArrow()
+    numbered = fitted.append_column("term_id", pa.array(range(fitted.num_rows), pa.int64()))
+    idf = asked.sparkSession.createDataFrame(numbered)
+
+    def weighted(occurrences: DataFrame, key: str) -> DataFrame:
+        counted = occurrences.join(F.broadcast(idf), "term").groupBy(key, "term_id", "idf").agg(F.count("*").alias("tf"))
+        return counted.select(key, "term_id", (F.col("tf") * F.col("idf")).alias("w"))
+
+    table = weighted(asked, "query_id").toArrow()
+    columns = [table.column(name).to_numpy() for name in ("query_id", "term_id", "w")]
+    shared = asked.sparkSession.sparkContext.broadcast(Postings(*columns, fitted.num_rows))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        postings = shared.value
+        parts = (hits for rows in whole_articles(batches) for hits in sparse_hits(postings, *rows, k))
+        yield from running_best(parts, k)
+
+    # Already hashed by article, so this adds no shuffle; it states what the scan relies on.
+    vectors = spread(weighted(occurrences(articles, "doc_id"), "doc_id"), "doc_id")
+    return vectors.sortWithinPartitions("doc_id").mapInArrow(scan, HIT_SCHEMA)
+
+
+def _join_on_terms(asked: DataFrame, articles: DataFrame, idf: DataFrame) -> DataFrame:
+    """Any number of queries: vectors joined by term, where adaptive execution splits hot terms."""
+    postings = tfidf_vectors(asked, idf, "query_id").withColumnRenamed("w", "q_w")
+    return (
+        tfidf_vectors(occurrences(articles, "doc_id"), idf, "doc_id")
+        .join(postings, "term")
+        .groupBy("query_id", "doc_id")
+        .agg(F.sum(F.col("w") * F.col("q_w")).alias("score"))
+    )
+
+
 def tfidf_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -89,22 +129,17 @@ def tfidf_topk(
     """For each ``(query_id, text)`` the ``k`` most similar ``(doc_id, text)`` articles.
 
     One shuffle carries the corpus: texts are hashed by article, and from there
-    on term counts, norms and the sums per (article, query) all stay in the task
-    that holds the article.  The query side is broadcast only if its size was
-    checked; beyond that the joins shuffle by term and adaptive execution
-    splits hot terms.  Fewer than ``k`` matches give fewer than ``k`` rows.
+    on term counts, norms and scores stay in the task that holds the article,
+    which passes on only its best ``k`` per query.  The query side is broadcast
+    only if its size was checked.  Fewer than ``k`` matches give fewer than
+    ``k`` rows.
     """
-    vocabulary = query_vocabulary(queries)
     asked = occurrences(queries, "query_id")
     small = is_small(asked, max_broadcast_rows)
     articles = spread(corpus.select("doc_id", "text"), "doc_id")
-    total = fit_rows(corpus.select("doc_id"), n_fit).agg(F.count("*")).scalar()
-    idf = idf_fit(vocabulary, articles, n_fit, small, total)
-    postings = tfidf_vectors(asked, idf, "query_id", small).withColumnRenamed("w", "q_w")
-    scored = (
-        tfidf_vectors(occurrences(articles, "doc_id"), idf, "doc_id", small)
-        .join(broadcast_when(postings, small), "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("w") * F.col("q_w")).alias("score"))
-    )
-    return top_k(scored, k)
+    vocabulary = query_vocabulary(queries)
+    if small:
+        hits = _scan_with_postings(asked, articles, idf_fit(vocabulary, corpus, n_fit, small), k)
+    else:
+        hits = _join_on_terms(asked, articles, idf_fit(vocabulary, articles, n_fit))
+    return top_k(hits, k)
