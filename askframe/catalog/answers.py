@@ -47,13 +47,6 @@ def softmax_over_options(spark, sf):
     return p.withColumn("prob", F.round("prob", 9))
 
 
-@query()
-def answered_questions(spark, sf):
-    """Prompt, score and judge in one flow."""
-    found = answer_probabilities(base.context_questions(spark, sf), word_limit=200)
-    return answer_report(found, base.answers(spark, sf))
-
-
 @query("select model_id, id, letter, row_number() over (partition by model_id, id order by prob desc, letter)::int as rank from probs", "probs")
 def rank_letters(spark, sf):
     return scoring.rank_letters(base.probs(spark, sf), ["model_id", "id"]).drop("prob")
@@ -108,6 +101,21 @@ REPORT_SQL = """sum((rank = 1)::int)::bigint as top1, sum((rank = 2)::int)::bigi
     round(100.0::double * (sum((rank = 1)::int) + sum((rank = 2)::int) / 2::double + sum((rank = 3)::int) / 3::double) / count(*), 6) as map3_pct"""
 
 
+@query(
+    # The prompt holds the whole option, so the words they share are the option's own.
+    f"""logits as (select o.id, letter, len(list_distinct(regexp_extract_all(answer_text, '{base.WORD_SQL}'))) / 10::double as yes_logit,
+           1.0::double as no_logit from options o join context_questions c on c.id = o.id),"""
+    + PROB_SQL
+    + f""", ranked as (select id, letter, row_number() over (partition by id order by prob desc, letter) as rank from scored)
+         select {REPORT_SQL} from ranked r join answers a on a.id = r.id and a.answer = r.letter""",
+    "options context_questions answers",
+)
+def answered_questions(spark, sf):
+    """Prompt, score and judge in one flow."""
+    found = answer_probabilities(base.context_questions(spark, sf), word_limit=200)
+    return answer_report(found, base.answers(spark, sf))
+
+
 @query(RANKED + f" select model_id, {REPORT_SQL} from ranked r join answers a on a.id = r.id and a.answer = r.letter group by model_id", "probs answers")
 def hits_report(spark, sf):
     return answer_report(base.probs(spark, sf), base.answers(spark, sf), ["model_id"])
