@@ -31,14 +31,6 @@ PAIR_SEPARATOR = " [SEP]"
 PAIR_FALLBACK_CHARS = 1000
 
 # The prompt texts by (family, prompt id).
-_YES_NO_HEAD = """Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.
-
-### Instruction:
-Your task is to analyze the question and answer below. If the answer is correct, respond yes, if it is not correct respond no. As a potential aid to your answer, background context from Wikipedia articles is at your disposal, even if they might not always be pertinent.
-
-### Input:
-"""
-
 PROMPT_TEXTS = {
     ("Llama2", 1): """Answer the following multiple choice question by giving the most appropriate response. Answer should be one among [A, B, C, D, E]
 
@@ -64,7 +56,9 @@ D) {d}
 E) {e}
 [/INST] {answer}""",
     ("Llama2", 3): "{prompt}</s>{answer_text}",
-    ("Llama2", 4): "Question: {prompt}\n\n### Answer: {answer_text}",
+    ("Llama2", 4): """Question: {prompt}
+
+### Answer: {answer_text}""",
     ("Llama2", 5): """Your answer must be one character from A to E.
 
 Question:
@@ -92,12 +86,48 @@ E) {e}
 
 Answer: 
 {answer}""",
-    ("Llama2", 7): "Context:\n{context}\n\nQuestion:\n{prompt}\n\nAnswer: \n{answer_text}",
-    ("Llama2", 8): _YES_NO_HEAD
-    + "Question: {prompt}\nProposed answer: {answer_text}\n\n\n### Response:\n{yes_or_no}",
-    ("Llama2", 9): _YES_NO_HEAD
-    + "Context:\n{context}\n\nQuestion:\n{prompt}\n\nProposed answer:\n{answer_text}\n\n### Response:\n{yes_or_no}",
-    ("Platypus2", 1): " ### Instruction:\n\n{prompt}\n\n### Response: {answer_text}",
+    ("Llama2", 7): """Context:
+{context}
+
+Question:
+{prompt}
+
+Answer: 
+{answer_text}""",
+    ("Llama2", 8): """Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.
+
+### Instruction:
+Your task is to analyze the question and answer below. If the answer is correct, respond yes, if it is not correct respond no. As a potential aid to your answer, background context from Wikipedia articles is at your disposal, even if they might not always be pertinent.
+
+### Input:
+Question: {prompt}
+Proposed answer: {answer_text}
+
+
+### Response:
+{yes_or_no}""",
+    ("Llama2", 9): """Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.
+
+### Instruction:
+Your task is to analyze the question and answer below. If the answer is correct, respond yes, if it is not correct respond no. As a potential aid to your answer, background context from Wikipedia articles is at your disposal, even if they might not always be pertinent.
+
+### Input:
+Context:
+{context}
+
+Question:
+{prompt}
+
+Proposed answer:
+{answer_text}
+
+### Response:
+{yes_or_no}""",
+    ("Platypus2", 1): """ ### Instruction:
+
+{prompt}
+
+### Response: {answer_text}""",
     ("Platypus2", 2): """### Instruction:
 
 {prompt}
@@ -124,8 +154,24 @@ Answer:
 NUMBERED_FAMILIES = ("Platypus2", "OpenOrca-Platypus2")
 
 # The prompt text that the shared-prefix scorer splits in two.
-PREFIX_TEXT = _YES_NO_HEAD + "Context:\n{context}\n\nQuestion:\n{prompt}\n\nProposed answer:\n"
-SUFFIX_TEXT = "{answer_text}\n\n### Response:\n"
+PREFIX_TEXT = """Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.
+
+### Instruction:
+Your task is to analyze the question and answer below. If the answer is correct, respond yes, if it is not correct respond no. As a potential aid to your answer, background context from Wikipedia articles is at your disposal, even if they might not always be pertinent.
+
+### Input:
+Context:
+{context}
+
+Question:
+{prompt}
+
+Proposed answer:
+"""
+SUFFIX_TEXT = """{answer_text}
+
+### Response:
+"""
 
 # Extra question sets by name: path below the set folder, expected
 # rows, and whether only the first question of each page is kept.

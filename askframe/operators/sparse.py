@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askframe.cluster import BROADCAST_ROWS, broadcast_when, is_small, spread
+from askframe.cluster import BROADCAST_ROWS, broadcast_when, is_small, nth_smallest, spread
 from askframe.functions.text import terms
 from askframe.operators.blocks import HIT_SCHEMA, Postings, running_best, sparse_hits, whole_articles
 
@@ -25,10 +25,8 @@ def query_vocabulary(queries: DataFrame) -> DataFrame:
 
 def fit_rows(corpus: DataFrame, n_fit: int | None) -> DataFrame:
     """The first ``n_fit`` articles by id, or all."""
-    if n_fit is None:
-        return corpus
-    last = corpus.select("doc_id").orderBy("doc_id").limit(n_fit).agg(F.max("doc_id")).scalar()
-    return corpus.filter(F.col("doc_id") <= last)
+    last = None if n_fit is None else nth_smallest(corpus.select("doc_id"), "doc_id", n_fit)
+    return corpus if last is None else corpus.filter(F.col("doc_id") <= last)
 
 
 def idf_fit(vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None, small: bool = False) -> DataFrame:

@@ -92,8 +92,16 @@ def test_only_wanted_shards_are_read(spark, tmp_path):
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Fake:
+        def __init__(self, master, folder):
+            self.sparkContext = type("C", (), {"master": master})()
+            self.conf = type("R", (), {"get": lambda _, key, default=None: folder})()
+
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    assert scratch_path(Fake("spark://host", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Fake("spark://host", None), "x")
 
 
 def test_stream_equals_batch_on_closed_spells(spark, sf):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from askframe.cluster import spread, with_row_index
+from askframe.cluster import nth_smallest, spread, with_row_index
 from askframe.fixed_values import STOP_WORDS
 from askframe.functions import text as tx
 from askframe.operators import blend, clusters, dense, questions, scoring, sparse, status
@@ -152,6 +152,18 @@ def test_row_index_over_many_partitions(spark):
     assert all(r.i == r.id for r in rows) and len(rows) == 1000
 
 
+@pytest.mark.parametrize("n", [1, 7, 500, 999, 1000, 2000])
+def test_nth_smallest(spark, n):
+    rng = random.Random(n)
+    values = [rng.randrange(10**9) for _ in range(600)] + list(range(400))
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(5)
+    last = nth_smallest(df, "v", n, accuracy=100)
+    if n >= 1000:
+        assert last is None
+    else:
+        assert df.select(last.alias("x")).first().x == sorted(values)[n - 1]
+
+
 def test_shuffle_is_the_same_on_any_partitioning(spark):
     a = questions.seeded_shuffle(spark.range(200).repartition(1)).orderBy("position").collect()
     b = questions.seeded_shuffle(spark.range(200).repartition(8)).orderBy("position").collect()
