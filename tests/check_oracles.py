@@ -38,6 +38,10 @@ def connect(sf):
 def compare(spark, con, sf, name, build, sql):
     """One line saying whether the two engines agree."""
     df = build(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    crossed = [j for j in ("CartesianProduct", "BroadcastNestedLoopJoin") if j in plan]
+    if crossed:
+        return False, f"plan holds {crossed}"
     ours = rows_of(df.columns, df.collect())
     if sql is None:
         return True, f"rows only ({len(ours)})"
