@@ -56,17 +56,18 @@ NUMBERED = """
 
 @query(NUMBERED.format(source="questions"), "questions")
 def read_extra_questions(spark, sf):
-    return sources.read_extra_questions(spark, stored_questions(spark, sf))
+    return sources.read_extra_questions(spark, stored_questions(spark, sf), order="content")
 
 
 @query(
-    "first as (select * from questions qualify row_number() over "
-    "(partition by page_title order by prompt, A, B, C, D, E, answer) = 1) " + NUMBERED.format(source="first"),
+    "numbered as ("
+    + NUMBERED.format(source="questions").replace("answer from", "answer, page_title from")
+    + ") select id, prompt, A, B, C, D, E, answer from numbered qualify row_number() over (partition by page_title order by id) = 1",
     "questions",
 )
 def read_extra_first_of_page(spark, sf):
     path = stored_questions(spark, sf)
-    return sources.read_extra_questions(spark, path, transform=sources.first_of_page)
+    return sources.read_extra_questions(spark, path, transform=sources.first_of_page, order="content")
 
 
 @query(
@@ -197,7 +198,7 @@ BUNDLE_SQL = """
 
 @query(BUNDLE_SQL, "questions")
 def question_bundle(spark, sf):
-    extra = sources.read_extra_questions(spark, stored_questions(spark, sf))
+    extra = sources.read_extra_questions(spark, stored_questions(spark, sf), order="content")
     first = ops.canonical_columns(base.questions(spark, sf), "train")
     return question_sets.question_bundle(first, [extra], [extra], test_size=0.2, seed=42).drop("position")
 
@@ -278,7 +279,7 @@ def max_id_offset(spark, sf):
 )
 def merge_question_sets(spark, sf):
     first = ops.canonical_columns(base.questions(spark, sf), "train")
-    extra = sources.read_extra_questions(spark, stored_questions(spark, sf))
+    extra = sources.read_extra_questions(spark, stored_questions(spark, sf), order="content")
     return ops.merge_question_sets(first, [extra, extra])
 
 

@@ -72,19 +72,22 @@ def attach_by_id(df: DataFrame, values: DataFrame) -> DataFrame:
     return joined.filter(F.when(paired, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_left", "_right")
 
 
+def next_id(df: DataFrame, id_col: str = "id") -> Column:
+    """Largest id plus one, 0 for an empty table, as a scalar subquery."""
+    return df.agg(F.coalesce(F.max(id_col) + 1, F.lit(0))).scalar()
+
+
 def shift_ids(base: DataFrame, extra: DataFrame, id_col: str = "id") -> DataFrame:
     """Move ``extra``'s ids past the largest id of ``base``; an empty base shifts nothing."""
-    offset = base.agg(F.coalesce(F.max(id_col) + 1, F.lit(0))).scalar()
-    return extra.withColumn(id_col, F.col(id_col) + offset)
+    return extra.withColumn(id_col, F.col(id_col) + next_id(base, id_col))
 
 
 def merge_question_sets(base: DataFrame, extras: list[DataFrame]) -> DataFrame:
-    """Union of a base set and extra sets numbered 0..n-1, each shifted past the ones before."""
-    out = base
-    offset = base.agg(F.coalesce(F.max("id") + 1, F.lit(0))).scalar()
+    """Union of a base set and extra sets with ids of their own, each shifted past the ones before."""
+    out, offset = base, next_id(base)
     for extra in extras:
         out = out.unionByName(extra.withColumn("id", F.col("id") + offset))
-        offset = offset + row_count(extra)
+        offset = offset + next_id(extra)
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.cluster import stored, with_row_index
+from askframe.operators.questions import next_id
 
 
 def scan_corpus(parts: list[DataFrame], id_col: str = "article_id") -> DataFrame:
@@ -19,7 +20,7 @@ def scan_corpus(parts: list[DataFrame], id_col: str = "article_id") -> DataFrame
     for part in parts:
         shifted = part.withColumn(id_col, F.col(id_col) + offset)
         out = shifted if out is None else out.unionByName(shifted)
-        offset = offset + part.agg(F.coalesce(F.max(id_col) + 1, F.lit(0))).scalar()
+        offset = offset + next_id(part, id_col)
     return out
 
 

@@ -40,6 +40,20 @@ def read_questions(
     return canonical_columns(df.withColumn("id", F.col("id").cast("long")), mode, with_context)
 
 
+def read_in_place(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """CSV rows with their place: ``_file``, ``_block`` and ``_row`` order them as they stand in the files."""
+    rows = spark.read.options(**CSV_OPTIONS, **options).csv(path)
+    return rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+
+
+PLACE = ["_file", "_block", "_row"]
+
+
 def read_extra_questions(
     spark: SparkSession,
     path: str,
@@ -47,20 +61,22 @@ def read_extra_questions(
     transform: Callable[[DataFrame], DataFrame] | None = None,
     with_context: bool = False,
     top_n: int = 3,
+    order: str = "file",
 ) -> DataFrame:
-    """An extra set with a new 0-based id in content order; a wrong row count fails the job.
+    """An extra set with new 0-based ids; a wrong row count fails the job.
 
-    Files carry no line numbers, so the id is the position in the order of the
-    question's own text.  Exact copies are told apart by their place in the
-    scan, which also lets the sort split them over tasks; ``transform`` must
-    keep that column, ``_place``.
+    The id is the row's position in the file, or with ``order="content"`` its
+    position by the question's own text, which does not depend on how the rows
+    lie in files.  ``transform`` sees the new ids.
     """
-    df = read_csv(spark, path).drop("id").withColumn("_place", F.monotonically_increasing_id())
+    if order not in ("file", "content"):
+        raise ValueError(f"unknown order: {order}")
+    df = read_in_place(spark, path).drop("id")
+    content = ["prompt", *LETTERS, "answer"] if order == "content" else []
+    df = with_row_index(df, [F.col(c) for c in (*content, *PLACE)], "id").drop(*PLACE)
     df = _with_context(df, with_context, top_n)
     if transform is not None:
         df = df.transform(transform)
-    order = [F.col(c) for c in ("prompt", *LETTERS, "answer", "_place")]
-    df = with_row_index(df, order, "id").drop("_place")
     df = canonical_columns(df, "train", with_context)
     return df if expected_rows is None else checked_rows(df, expected_rows)
 
@@ -73,7 +89,8 @@ def read_named_set(spark: SparkSession, root: str, name: str, registry=EXTRA_SET
 
 
 def first_of_page(df: DataFrame) -> DataFrame:
-    return head_per_group(df, ["page_title"], [F.col(c) for c in ("prompt", *LETTERS, "answer")], 1)
+    """The first question of each page."""
+    return head_per_group(df, ["page_title"], [F.col("id")], 1)
 
 
 def registry_frame(spark: SparkSession, registry=EXTRA_SETS) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askframe.cluster import with_row_index
 from askframe.fixed_values import LETTERS
-from askframe.sources.questions import CSV_OPTIONS, read_csv
+from askframe.sources.questions import PLACE, read_in_place
 
 RUN_STATE_SCHEMA = """
     best_model_checkpoint string, best_metric double, epoch double, global_step long,
@@ -15,20 +18,26 @@ RUN_STATE_SCHEMA = """
 
 
 def read_model_probs(
-    spark: SparkSession, paths: str | list[str], model_pattern: str = r"model_id=([^/]+)/"
+    spark: SparkSession,
+    paths: str | list[str],
+    model_pattern: str = r"model_id=([^/]+)/",
+    columns: Sequence[str] = LETTERS,
 ) -> DataFrame:
     """Five-column CSVs of many models as one ``(model_id, id, letter, prob)`` table.
 
-    The model's name is taken from each file's path.
+    The model's name is taken from each file's path.  ``columns`` names the
+    options' columns in order.  A file without ``id`` gets each row's 0-based
+    position in the file.
     """
-    raw = (
-        spark.read.options(**CSV_OPTIONS, recursiveFileLookup="true")
-        .csv(paths)
-        .select(
-            F.regexp_extract(F.col("_metadata.file_path"), model_pattern, 1).alias("model_id"),
-            F.col("id").cast("long").alias("id"),
-            *[F.col(c).cast("double").alias(c) for c in LETTERS],
-        )
+    raw = read_in_place(spark, paths, recursiveFileLookup="true")
+    if "id" not in raw.columns:
+        placed = with_row_index(raw, [F.col(c) for c in PLACE], "_position")
+        first = placed.groupBy("_file").agg(F.min("_position").alias("_first"))
+        raw = placed.join(first, "_file").withColumn("id", F.col("_position") - F.col("_first"))
+    raw = raw.select(
+        F.regexp_extract("_file", model_pattern, 1).alias("model_id"),
+        F.col("id").cast("long").alias("id"),
+        *[F.col(f"`{c}`").cast("double").alias(letter) for c, letter in zip(columns, LETTERS, strict=True)],
     )
     return raw.unpivot(["model_id", "id"], list(LETTERS), "letter", "prob")
 
@@ -47,6 +56,3 @@ def read_run_logs(
         "global_step",
         F.explode("log_history").alias("log"),
     ).select("run_id", "best_step", "best_metric", "epoch", "global_step", "log.*")
-
-
-__all__ = ["read_model_probs", "read_run_logs", "read_csv"]

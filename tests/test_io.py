@@ -43,7 +43,9 @@ def test_extra_sets_get_new_ids_and_are_counted(spark, tmp_path):
     path = str(tmp_path / "q")
     write_csv(spark.createDataFrame(ROWS, SCHEMA), path)
     got = questions.read_extra_questions(spark, path, 3).orderBy("id").collect()
-    assert [r.id for r in got] == [0, 1, 2] and [r.prompt for r in got] == ['say "hi", ok', "x", "x"]
+    assert [r.id for r in got] == [0, 1, 2]
+    got = questions.read_extra_questions(spark, path, 3, order="content").orderBy("id").collect()
+    assert [r.prompt for r in got] == ['say "hi", ok', "x", "x"]
     with pytest.raises(Exception, match="expected 5 rows, found 3"):
         questions.read_extra_questions(spark, path, 5).collect()
     registry = {"mine": ("q", 2, True)}
@@ -61,6 +63,21 @@ def test_probabilities_keep_their_type_and_model(spark, tmp_path):
     assert {(r.model_id, r.letter): r.prob for r in got}["two", "B"] == 0.001 and len(got) == 10
 
 
+def test_rows_without_ids_are_numbered_as_they_stand(spark, tmp_path):
+    text = "".join(f"{i / 10},0,0,0,0\n" for i in range(9))
+    for m in ("b", "a"):
+        (tmp_path / f"prob-{m}.csv").write_text("top1,top2,top3,top4,top5\n" + text)
+    columns = [f"top{i}" for i in range(1, 6)]
+    got = scores.read_model_probs(spark, str(tmp_path), r"prob-(\w+)\.csv", columns)
+    rows = {(r.model_id, r.id): r.prob for r in got.filter("letter = 'A'").collect()}
+    assert rows == {(m, i): i / 10 for m in "ab" for i in range(9)}
+
+    page = tmp_path / "extra.csv"
+    page.write_text("prompt,A,B,C,D,E,answer,page_title\n" + "".join(f"q{9 - i},1,2,3,4,5,A,t{i // 2}\n" for i in range(6)))
+    extra = questions.read_extra_questions(spark, str(page), 3, questions.first_of_page).orderBy("id").collect()
+    assert [(r.id, r.prompt) for r in extra] == [(0, "q9"), (2, "q7"), (4, "q5")]
+
+
 def test_run_state_documents(spark, tmp_path):
     state = {"best_model_checkpoint": "m/run7/checkpoint-20", "best_metric": 0.5, "epoch": 2.0, "global_step": 40,
              "log_history": [{"step": 10, "loss": 1.0}, {"step": 20, "eval_loss": 0.5, "eval_map": 0.7}]}

@@ -220,6 +220,15 @@ def test_attach_is_one_to_one(spark):
             questions.attach_by_id(left, spark.createDataFrame(rows, "id long, y string")).collect()
 
 
+def test_merged_sets_may_have_gaps_in_their_ids(spark):
+    base = spark.range(3)
+    gaps = spark.createDataFrame([(0,), (5,)], "id long")
+    empty = spark.range(0)
+    merged = questions.merge_question_sets(base, [gaps, empty, gaps])
+    assert sorted(r.id for r in merged.collect()) == [0, 1, 2, 3, 8, 9, 14]
+    assert [r.id for r in questions.shift_ids(empty, base).orderBy("id").collect()] == [0, 1, 2]
+
+
 def test_registry_and_versions(spark):
     assert registry_frame(spark).count() == len(EXTRA_SETS) == 7
     with pytest.raises(ValueError):
