@@ -39,6 +39,24 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.packing import pack
+
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.toxicity import scores
+
+    return scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.licenses import scan
+
+    return scan(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     pipeline = importlib.import_module("corpus_pipeline")
