@@ -45,12 +45,24 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.lattice import scores
+
+    return scores(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     from askframe.llm.toxicity import scores
 
     return scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.pii import report
+
+    return report(table(spark, sf, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
     from askframe.llm.licenses import scan
 

@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, si
     learn, check = x.filter("part < 16"), x.filter("part >= 16")
     if {r["_y"] for r in learn.select("_y").distinct().collect()} != {0.0, 1.0} or not check.head(1):
         return Model(weights, None, None, rate)
-    booster = GBTClassifier(featuresCol="_x", labelCol="_y", rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_hard", maxIter=15, maxDepth=3, stepSize=0.3, seed=7)
+    booster = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_hard", maxIter=15, maxDepth=3, stepSize=0.3, seed=7)
+    booster = booster.setRawPredictionCol("_raw").setProbabilityCol("_p") if hasattr(booster, "setProbabilityCol") else booster
     trees = booster.fit(learn)
     margins = trees.transform(check).select("_y", _margin(F.col("_raw")).alias("_margin"))
     calibration = IsotonicRegression(featuresCol="_margin", labelCol="_y", predictionCol="_score").fit(margins)
