@@ -2,7 +2,8 @@
 
 Pieces come from an existing vocabulary, up to 16 bytes long and with all single
 bytes; their probabilities start from the vocabulary's own scores and are
-re-estimated on the training words.  A null text is an empty one: a single end
+re-estimated on the training words.  A whole word seen in training is an edge of
+its own beside its pieces.  A null text is an empty one: a single end
 token.  Repeated rows are scored once each.
 """
 
@@ -163,7 +164,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(counts: DataFrame, path: str, rounds: int = 2) -> np.ndarray:
-    """Log probabilities of the pieces: expectation maximisation over all training words.
+    """Log probabilities of the pieces: expectation maximisation over all distinct training words.
+
+    Each word counts once, as the new word it was when first seen.
 
     What comes to the driver is one number per piece of the vocabulary.
     """
@@ -175,13 +178,13 @@ def fit(counts: DataFrame, path: str, rounds: int = 2) -> np.ndarray:
             lattice = Lattice(vocabulary(path)[0], now)
             total = np.zeros(len(now))
             for batch in batches:
-                words, weight = _marked(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+                words = _marked(batch.column(0).to_pylist())
                 for at, matrix in lattice.by_length(words) if words else ():
-                    total += lattice.expected(matrix, weight[at])
+                    total += lattice.expected(matrix, np.ones(len(at)))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
 
-        table = counts.filter("c > 0").select("word", "c").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        table = counts.filter("c > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
         n = np.full(len(logp), 1e-3)
         np.add.at(n, table["piece"].to_numpy(np.int64), table["n"].to_numpy())
         logp = np.log(n / n.sum())
@@ -200,7 +203,7 @@ def scores(docs: DataFrame, path: str, rounds: int = 2) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"), (split_of(F.col("doc_id")) == 1).alias("held"))
     rows = stored(texts.mapInArrow(_chunks, ROWS), "lattice-chunks")
-    words = rows.filter(F.col("word").isNotNull()).select("chunk", "word", "local", "trained")
+    words = rows.filter(F.col("word").isNotNull()).select(F.col("chunk").alias("of"), "word", "local", "trained")
     counts = stored(words.groupBy("word").agg(F.sum("trained").alias("c")), "lattice-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     logp = fit(counts, path, rounds)
@@ -208,11 +211,17 @@ def scores(docs: DataFrame, path: str, rounds: int = 2) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(path)[0], logp)
         for batch in batches:
-            p = lattice.log_prob(_marked(batch.column(0).to_pylist())) / math.log(10)
+            p = lattice.log_prob(_marked(batch.column(0).to_pylist()))
+            if total:
+                # A word seen in training is one more edge of the lattice; new words share the rest (Witten-Bell).
+                with np.errstate(divide="ignore"):
+                    whole = np.log(batch.column(1).to_numpy() / (total + distinct))
+                p = np.logaddexp(whole, math.log(distinct / (total + distinct)) + p)
+            p = p / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], names=["word", "c", "p"])
 
     scored = stored(counts.mapInArrow(score, "word binary, c long, p double"), "lattice-words")
-    valued = words.join(scored, "word").select("chunk", "local", "c", "p")
+    valued = words.join(scored, "word").select("of", "local", "c", "p")
     units = rows.filter(F.col("word").isNull()).select("chunk", "doc_id", "held_out", "n_tokens", "locals", "times")
 
     def close(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -227,4 +236,4 @@ def scores(docs: DataFrame, path: str, rounds: int = 2) -> DataFrame:
         known, b, s = zip(*out) if out else ((), (), ())
         return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(known, pa.int64()), pa.array([total] * len(out), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return units.groupBy("chunk").cogroup(valued.groupBy("chunk")).applyInArrow(close, OUT)
+    return units.groupBy("chunk").cogroup(valued.groupBy("of")).applyInArrow(close, OUT)
