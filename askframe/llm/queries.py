@@ -57,6 +57,12 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op6_covertree(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.covertree import near_duplicates
+
+    return near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
     from askframe.llm.pii import report
 
@@ -88,4 +94,12 @@ ORACLES: dict[str, str] = {
           case when n >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
           case when n >= 1000 and page_id <> top then top end as refers_to
         from m""",
+    "op6_covertree": """
+        with recursive u as (select vec_id, embedding::double[] as e from embeddings),
+        l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(a, b) as (select vec_id, vec_id from u union select r.a, l.b from r join l on r.b = l.a),
+        c as (select a, min(b) as component_id from r group by a),
+        n as (select a, count(*) as n from l group by a)
+        select u.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, u.vec_id = c.component_id as kept
+        from u join c on c.a = u.vec_id left join n on n.a = u.vec_id""",
 }

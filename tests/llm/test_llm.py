@@ -1,0 +1,321 @@
+"""The training-data operators against brute force, libraries and hand-made rows."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from askframe.llm import ctph, licenses, packing, pii, queries, simhash, toxicity, warc
+from askframe.llm.byte_bpe import encode_tables
+from askframe.llm.common import components, scratch, union_labels
+from askframe.llm.lattice import scores as lattice_scores
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
+TEXTS = [
+    (1, "Hello you idiot, mail me: a.b@c.example.com or +1 (459) 555-7415 now.\n\n  ok"),
+    (2, None),
+    (3, ""),
+    (4, "Licensed under the Apache License, Version 2.0. MIT License mit license"),
+    (5, "card 4111 1111 1111 1111 and 4111-1111-1111-1112, ip 10.0.0.255 10.0.0.256 1.2.3.4.5"),
+    (6, "don't ~ naïve ﬁ 你好   \x00 ￿ <|endoftext|> 12345"),
+    (7, "a@b.c_x@d.e a@b @@ +1(((( ++12 345 678 9"),
+    (8, "word " * 6000),
+    (8, "word " * 6000),
+    (None, "no id at all"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", len(t or ""), 9, "x") for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, fp string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+def test_warc_round_trip_revisits_and_rolling(spark):
+    big, small = "x" * 1500, "tiny"
+    rows = [(1, "u1", big), (2, None, big), (3, "u 3\r\nX: y", big), (4, "u", small), (5, "u", small), (6, "u", None), (None, "u", big)]
+    rows += [(100 + i, "u", f"{i} " + "y" * 900) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folders, contents = [scratch(spark, "t") for _ in range(2)], []
+    for folder in folders:
+        manifest = warc.write_warc(pages.repartition(5), folder, shard_bytes=20_000, file_bytes=400)
+        assert manifest.count() > 4
+        got = {r.page_id: r for r in warc.read_warc(manifest, folder).collect()}
+        contents.append({r.final: r.bytes for r in manifest.collect()})
+    assert contents[0] == contents[1]
+    assert len(got) == len(rows)
+    assert [got[i].record_type for i in (1, 2, 3, 4, 5, 6, None)] == ["revisit", "revisit", "response", "response", "response", "response", "revisit"]
+    assert got[1].refers_to == got[None].refers_to == 3
+    assert got[1].payload_bytes == 1500 and got[1].payload_digest == hashlib.sha1(big.encode()).hexdigest()
+    assert got[6].payload_bytes == 0 and got[3].payload == big.encode()
+    assert warc.archive(spark, pages.filter("false")).count() == 0
+
+
+def test_byte_bpe_equals_the_rank_library(spark, docs, empty):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = dict(TEXTS)
+    for r in encode_tables(docs, RANKS, P.PATTERN, with_ids=True).collect():
+        text = texts[r.doc_id] or ""
+        assert r.ids == lib.encode_ordinary(text)
+        assert r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert encode_tables(empty, RANKS, P.PATTERN).count() == 0
+
+
+def test_simhash_fingerprint_by_hand(spark):
+    text = "The cat sat ON the mat the cat sat"
+    words = text.lower().split()
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    hashes = [h & (2**64 - 1) for (h,) in spark.createDataFrame([(g,) for g in grams], "g string").select(F.xxhash64("g")).collect()]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint(text.encode()) == want
+    assert simhash.fingerprint(None) == simhash.fingerprint(b" \n") == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 7])
+def test_trie_join_links_what_brute_force_links(spark, limit):
+    rng = random.Random(3)
+    keys = [rng.getrandbits(64) for _ in range(60)]
+    keys += [k ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 4]))) for k in keys for _ in range(4)]
+    keys = list(dict.fromkeys([*keys, 0, 2**64 - 1, 1, 3, 7, 15, 31]))
+    signed = [k - 2**64 if k >= 2**63 else k for k in keys]
+    table = spark.createDataFrame([(s,) for s in signed], "fp long")
+    edges = simhash.links(table, 3, limit).collect()
+    at = {s: i for i, s in enumerate(signed)}
+    got = union_labels(np.arange(len(keys)), np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges]))
+    near = [(i, j) for i, j in itertools.combinations(range(len(keys)), 2) if (keys[i] ^ keys[j]).bit_count() <= 3]
+    want = union_labels(np.arange(len(keys)), *map(np.array, zip(*near)))
+    assert (got == want).all()
+    assert all(((e.a ^ e.b) & (2**64 - 1)) for e in edges)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}, 201: 200}
+
+
+def test_simhash_components_on_odd_rows(docs, empty):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(TEXTS)
+    by = {r.doc_id: r.component_id for r in got}
+    assert by[2] == by[3] == 2 and by[8] == 8 and by[None] is None
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_edits_and_likeness(docs, empty):
+    texts = [(1, "alpha beta gamma " * 40), (2, "delta epsilon " * 50), (3, None), (4, "ü" * 31)]
+    spark = docs.sparkSession
+    got = {r.doc_id: r for r in ctph.fingerprint_neighbours(spark.createDataFrame(texts, "doc_id long, text string"), shard_bytes=300).collect()}
+    order = [(i, t or "") for i, t in sorted(texts, reverse=True)]
+    for k, (i, own) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        assert got[i].n_chars == len(own)
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i].fingerprint == ctph.fingerprint(own) and got[i].edited_fingerprint == ctph.fingerprint(edited)
+        assert got[i].near_edited == ctph.likeness(ctph.fingerprint(own), ctph.fingerprint(edited))
+        assert got[i].near_next == ctph.likeness(ctph.fingerprint(own), ctph.fingerprint(after))
+    assert ctph.fingerprint_neighbours(docs).count() == len(TEXTS)
+    assert ctph.fingerprint_neighbours(empty).count() == 0
+
+
+def test_likeness_of_a_small_edit():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))
+    assert ctph.likeness(ctph.fingerprint(text), ctph.fingerprint(text[:900] + "CHANGED" + text[907:])) > 0.85
+    assert ctph.likeness(ctph.fingerprint(text), ctph.fingerprint(text[::-1])) < 0.3
+    a, b = "abcbdab", "bdcaba"
+    assert ctph._common(a, b) == 4
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _good(kind, text):
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in text.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
+    return kind != "phone" or 8 <= len(digits) <= 15
+
+
+def _base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text or "") if _good(k, m.group())]
+
+
+def test_base_spans_equal_the_patterns(docs, empty):
+    texts = dict(TEXTS)
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    for i, text in texts.items():
+        want = _base(text)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), i
+        assert set(want) <= set(got[i].spans.split(",")) | {""}
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(w.startswith(k) for w in want) for k in BASE]
+    assert pii.report(empty).count() == 0
+
+
+def test_redaction_keeps_columns_and_leaves_no_base_span(docs):
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert "[EMAIL]" in rows[1].text and not any(_base(r.text) for r in rows.values() if r.doc_id != 7)
+    assert rows[2].text is None and rows[8].text == dict(TEXTS)[8] and rows[1].n_chars == len(rows[1].text)
+
+
+def test_license_words_phrases_and_labels(docs, empty):
+    texts = dict(TEXTS)
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        places = [(k, label) for p, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        first, last = (min(places)[0], max(places)[0]) if places else (None, None)
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(words), len(places), first, last)
+        assert got[i].base_labels == ",".join(sorted({x for _, x in places}))
+    assert got[4].labels == "apache,apache-2.0,mit" and got[4].score == 1.0
+    assert len(licenses.rules()) > 200
+    assert licenses.scan(empty).count() == 0
+
+
+def test_packing_is_whole_and_gapless(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tokenizer, texts = Tokenizer.from_file(path), dict(TEXTS)
+    got = packing.pack(docs, path, region=4).collect()
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    for r in got:
+        part = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert r.start == 2048 * r.piece and r.ids_crc32 == zlib.crc32(part.tobytes())
+    assert sum(r.length for r in got) == sum(len(ids[i]) for i, _ in TEXTS)
+    for _, g in itertools.groupby(sorted(got, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        at = 0
+        for r in g:
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_evolution_never_loses_an_item():
+    rng = random.Random(5)
+    size = [rng.randint(1, 1500) for _ in range(400)]
+    best = packing.evolve(size, 2048, 1, [])
+    assert sorted(i for b in best for i in b) == list(range(400))
+    assert all(sum(size[i] for i in b) <= 2048 for b in best)
+    assert len(best) <= len(packing._fit([], list(range(400)), size, 2048))
+
+
+def test_lattice_base_scores_and_marginals(docs, empty):
+    import math
+    from collections import Counter
+
+    got = lattice_scores(docs, P.path("piece_bpe_32k.model"))
+    tokens = [(i, (t or "").encode().lower().split() + [b"end"]) for i, t in TEXTS]
+    held = {i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i, _ in TEXTS}
+    count = Counter(w for i, t in tokens for w in t if not held[i])
+    n, v = sum(count.values()), len(count)
+    want = {i: sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for i, t in tokens}
+    rows = got.collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        assert r.base_score == pytest.approx(want[r.doc_id]) and r.train_tokens == n and r.held_out == held[r.doc_id]
+        assert r.score < 0 and math.isfinite(r.score)
+    assert lattice_scores(empty, P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_lattice_sums_all_segmentations():
+    from askframe.llm.lattice import Lattice
+
+    p = {b"a": 0.3, b"b": 0.2, b"ab": 0.1, b"ba": 0.1, b"aba": 0.3}
+    lattice = Lattice(list(p), np.log(list(p.values())))
+
+    def total(w):
+        return 1.0 if not w else sum(q * total(w[len(s) :]) for s, q in p.items() if w.startswith(s))
+
+    words = [b"aba", b"abab", b"b", b"bbaabab"]
+    assert np.exp(lattice.log_prob(words)) == pytest.approx([total(w) for w in words])
+
+
+def test_toxicity_learns_and_keeps_columns(spark, docs, empty):
+    rng = random.Random(2)
+    clean = ["the", "house", "is", "green", "and", "river", "runs", "slow"]
+    rows = [(i, " ".join(rng.choices(clean, k=40) + (["idiot", "you", "moron"] if i % 4 == 0 else [])), i) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, score long")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = toxicity.scores(table, labels).collect()
+    assert len(got) == 600 and all(0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert len(held) > 60 and sum(r.predicted == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
+    kept = toxicity.keep_clean(table, labels)
+    assert kept.columns == table.columns and all(r.score == r.doc_id for r in kept.collect())
+    assert toxicity.scores(docs, labels.filter("false")).count() == len(TEXTS)
+    assert toxicity.scores(empty, labels).count() == 0
+
+
+def test_pipeline_stages_hand_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns, name
+        assert 0 < after.count() <= docs.count()
+        docs = after
+    assert corpus_pipeline.STAGES[3][1](spark, docs, sf).count() >= docs.count()
+
+
+@pytest.mark.parametrize("name", list(queries.oracles()))
+def test_oracle(spark, sf, name):
+    from check_oracles import compare, connect
+
+    ok, note = compare(spark, connect(sf), sf, name, queries.queries()[name], queries.oracles()[name])
+    assert ok, note
+
+
+
+
+@pytest.mark.parametrize("cell", [4096, 40])
+def test_cover_tree_links_equal_brute_force(spark, cell):
+    from askframe.llm.covertree import near_duplicates
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 8))
+    x = (centres[rng.integers(0, 30, 300)] + 0.35 * rng.normal(size=(300, 8))).astype(np.float32)
+    x[50:60] = x[50]
+    x[70] = 2 * x[71]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = (u @ u.T >= 0.95) & ~np.eye(300, dtype=bool)
+    want = union_labels(np.arange(300), *np.nonzero(near))
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    odd = [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] + [1.0] * 7), (1003, [None] + [1.0] * 7), (1004, [1.0, 2.0]), (None, rows[50][1])]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: r for r in near_duplicates(table, cell=cell).collect()}
+    assert len(got) == 306
+    for i in range(300):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), want[i], want[i] == i)
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1005))
+    assert got[None].n_links == 0 and got[None].kept is False
+    assert near_duplicates(table.filter("false")).count() == 0
