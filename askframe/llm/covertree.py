@@ -151,7 +151,7 @@ OUT = "node long, other long, n long"
 def _cell(cosine: float):
     """Counts per class, and a forest of edges, for two blocks of vectors or one with itself."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         x, rep, weight = _unit(table.column("embedding")), table.column("rep").to_numpy(), table.column("copies").to_numpy()
         nodes, others, ns = [], [], []
