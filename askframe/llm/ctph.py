@@ -138,9 +138,9 @@ def fingerprint_neighbours(docs: DataFrame, shard_bytes: int = 8 << 20, max_shar
     order = sorted(first)
     before = {s: order[i - 1] for i, s in enumerate(order)}
     rows = rows.withColumn("own", shard)
-    target = F.create_map(*[F.lit(x) for s in order for x in (s, before[s])]) if order else F.create_map(F.lit(0), F.lit(0))
-    head = F.create_map(*[F.lit(x) for s in order if first[s] is not None for x in (s, first[s])]) if any(v is not None for v in first.values()) else F.lit(None)
-    leads = F.col("turned").isNull() if head is None else F.col("turned").isNull() | (F.col("turned") == head[F.col("own")])
+    target = F.create_map(*[F.lit(x) for s in order or [0] for x in (s, before.get(s, 0))])
+    heads = F.create_map(*[F.lit(x) for s in order or [0] for x in (s, first.get(s) if first.get(s) is not None else 0)])
+    leads = F.col("turned").isNull() | (F.col("turned") == heads[F.col("own")])
     copies = F.array(F.struct(F.col("own").alias("shard"), F.lit(False).alias("ahead")), F.struct(F.when(leads, target[F.col("own")]).alias("shard"), F.lit(True).alias("ahead")))
     dealt = rows.select("turned", "doc_id", "text", F.inline(copies)).filter(F.col("shard").isNotNull())
     dealt = dealt.repartitionById(last + 1, F.col("shard")).sortWithinPartitions("shard", "ahead", F.col("turned").asc_nulls_last(), F.xxhash64("text"))
