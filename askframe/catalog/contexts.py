@@ -159,16 +159,6 @@ def tfidf_topk(spark, sf):
     return sparse.tfidf_topk(bench_queries(spark, sf), doc_texts(spark, sf), 10)
 
 
-@query(
-    BENCH_DOCS_SQL
-    + tfidf_sql(10, "doc_id <= (select max(doc_id) from (select doc_id from d_text order by doc_id limit 300))")
-    + " select query_id, rank, doc_id, round(score, 6) as score from hits"
-)
-def tfidf_topk_fitted_on_first(spark, sf):
-    """The idf comes from the first 300 articles; all articles are searched."""
-    return sparse.tfidf_topk(bench_queries(spark, sf), doc_texts(spark, sf), 10, n_fit=300)
-
-
 SPARSE_SQL = (
     """q_text as (select id as query_id, concat_ws(chr(10), prompt, prompt, prompt, A, B, C, D, E) as text from questions),
        d_text as (select article_id as doc_id, replace(replace(title || ' ' || section || ' ' || text, chr(10), ' '), '''', '') as text

@@ -88,23 +88,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def nth_smallest(df: DataFrame, column: str, n: int, accuracy: int = 100_000) -> Column | None:
-    """The ``n``-th smallest value as a scalar subquery; None when there are no more than ``n`` rows.
-
-    A quantile sketch gives a bound with a guaranteed rank error, so only the
-    values below it, about ``n`` plus a 50,000th of the rows, are sorted to find
-    the exact one.
-    """
-    total = df.count()
-    if total <= n:
-        return None
-    share = min(1.0, n / total + 2 / accuracy)
-    bound = df.agg(F.percentile_approx(column, share, accuracy)).scalar()
-    below = df.select(column).filter(F.col(column) <= bound).orderBy(column).limit(n)
-    short = F.raise_error(F.lit("quantile bound below the wanted rank")).cast(df.schema[column].dataType)
-    return below.agg(F.when(F.count("*") == n, F.max(column)).otherwise(short)).scalar()
-
-
 def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add a 0-based position in the total order given by ``order``.
 

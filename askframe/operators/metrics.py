@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +42,26 @@ def map_at_k(df: DataFrame, keys: list[str], k: int = 10, reduction: str | None
     return scored.groupBy(*keys).agg(F.avg("ap").alias("map_at_k"))
 
 
+def _every_key(rows: DataFrame, answers: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """``found`` for every key in ``rows``, with the number of answered questions as ``total``."""
+    all_keys = rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [found[k].eqNullSafe(all_keys[f"_{k}"]) for k in keys]
+    values = [c for c in found.columns if c not in keys]
+    total = answers.agg(F.count("*")).scalar()
+    return all_keys.join(found, same, "left").select(*[F.col(f"_{k}").alias(k) for k in keys], *values, total.alias("total"))
+
+
 def hits_report(ranked: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Hits at ranks 1 to 3, accuracy and MAP@3 in percent, per ``keys``.
 
     ``ranked`` is ``(keys, id, letter, rank)``.  Only the right letter's row of
-    each question is kept, so the sums are taken inside each task.
+    each question is kept, so the sums are taken inside each task.  Every
+    answered question counts in the total of every key, as a miss where its
+    right letter has no row.
     """
     right = ranked.join(answers.select("id", F.col("answer").alias("letter")), ["id", "letter"])
-    report = right.groupBy(*keys).agg(
-        *[F.count_if(F.col("rank") == r).alias(f"top{r}") for r in (1, 2, 3)], F.count("*").alias("total")
-    )
+    found = right.groupBy(*keys).agg(*[F.count_if(F.col("rank") == r).alias(f"top{r}") for r in (1, 2, 3)])
+    report = _every_key(ranked, answers, keys, found).fillna(0, ["top1", "top2", "top3"])
     hits = F.col("top1") + F.col("top2") / 2 + F.col("top3") / 3
     return report.withColumn("accuracy_pct", F.round(100.0 * F.col("top1") / F.col("total"), 6)).withColumn(
         "map3_pct", F.round(100.0 * hits / F.col("total"), 6)
@@ -57,16 +69,25 @@ def hits_report(ranked: DataFrame, answers: DataFrame, keys: list[str]) -> DataF
 
 
 def report_first_and_all(ranked_flagged: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Hit reports for the rows flagged ``in_first_n`` and for all rows, in one pass."""
-    subsets = F.when(F.col("in_first_n"), F.array(F.lit("first_n"), F.lit("all"))).otherwise(F.array(F.lit("all")))
-    return hits_report(ranked_flagged.withColumn("subset", F.explode(subsets)), answers, [*keys, "subset"])
+    """Hit reports for the rows flagged ``in_first_n`` and for all rows, each over its own questions."""
+    first = ranked_flagged.filter("in_first_n")
+    asked = answers.join(first.select("id").distinct(), "id", "left_semi")
+    parts = [("first_n", first, asked), ("all", ranked_flagged, answers)]
+    reports = [hits_report(rows.withColumn("subset", F.lit(name)), some, [*keys, "subset"]) for name, rows, some in parts]
+    return reports[0].unionByName(reports[1])
 
 
 def log_loss(probs: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of ``-ln p`` of the right letter, with p kept off 0 and 1."""
+    """Mean of ``-ln p`` of the right letter, with p kept off 0 and 1.
+
+    A question whose right letter has no row counts with the smallest p.
+    """
     right = probs.join(answers.select("id", F.col("answer").alias("letter")), ["id", "letter"])
     p = F.least(F.greatest(F.col("prob"), F.lit(PROB_FLOOR)), F.lit(1 - PROB_FLOOR))
-    return right.groupBy(*keys).agg(F.avg(-F.log(p)).alias("log_loss"))
+    found = right.groupBy(*keys).agg(F.sum(-F.log(p)).alias("loss"), F.count("*").alias("n"))
+    report = _every_key(probs, answers, keys, found).fillna(0, ["loss", "n"])
+    missed = (F.col("total") - F.col("n")) * -math.log(PROB_FLOOR)
+    return report.select(*keys, ((F.col("loss") + missed) / F.col("total")).alias("log_loss"))
 
 
 def wide_models(probs: DataFrame, models: list) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askframe.cluster import BROADCAST_ROWS, broadcast_when, is_small, nth_smallest, spread
+from askframe.cluster import BROADCAST_ROWS, broadcast_when, is_small, spread
 from askframe.functions.text import terms
 from askframe.operators.blocks import HIT_SCHEMA, Postings, running_best, sparse_hits, whole_articles
 
@@ -23,23 +23,16 @@ def query_vocabulary(queries: DataFrame) -> DataFrame:
     return queries.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
 
 
-def fit_rows(corpus: DataFrame, n_fit: int | None) -> DataFrame:
-    """The first ``n_fit`` articles by id, or all."""
-    last = None if n_fit is None else nth_smallest(corpus.select("doc_id"), "doc_id", n_fit)
-    return corpus if last is None else corpus.filter(F.col("doc_id") <= last)
-
-
-def idf_fit(vocabulary: DataFrame, corpus: DataFrame, n_fit: int | None = None, small: bool = False) -> DataFrame:
-    """Smooth idf of every vocabulary term over the fit rows; an unseen term has df 0.
+def idf_fit(vocabulary: DataFrame, corpus: DataFrame, small: bool = False) -> DataFrame:
+    """Smooth idf of every vocabulary term over all articles; an unseen term has df 0.
 
     Corpus terms meet the vocabulary before anything is shuffled, and document
     frequencies are counted inside each task first, so the shuffle carries at
     most one row per vocabulary term and task.
     """
-    fit = fit_rows(corpus, n_fit)
-    n = fit.agg(F.count("*")).scalar()
+    n = corpus.agg(F.count("*")).scalar()
     df = (
-        fit.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+        corpus.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
         .join(broadcast_when(vocabulary, small), "term", "left_semi")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
@@ -121,7 +114,6 @@ def tfidf_topk(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = 10,
-    n_fit: int | None = None,
     max_broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """For each ``(query_id, text)`` the ``k`` most similar ``(doc_id, text)`` articles.
@@ -137,7 +129,7 @@ def tfidf_topk(
     articles = spread(corpus.select("doc_id", "text"), "doc_id")
     vocabulary = query_vocabulary(queries)
     if small:
-        hits = _scan_with_postings(asked, articles, idf_fit(vocabulary, corpus, n_fit, small), k)
+        hits = _scan_with_postings(asked, articles, idf_fit(vocabulary, corpus, small), k)
     else:
-        hits = _join_on_terms(asked, articles, idf_fit(vocabulary, articles, n_fit))
+        hits = _join_on_terms(asked, articles, idf_fit(vocabulary, articles))
     return top_k(hits, k)

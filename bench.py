@@ -18,7 +18,6 @@ from askframe.cluster import session
 
 HEADLINE = [
     "tfidf_topk",
-    "tfidf_topk_fitted_on_first",
     "sparse_context",
     "vector_topk",
     "vector_topk_stored",

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from askframe.cluster import nth_smallest, spread, with_row_index
+from askframe.cluster import spread, with_row_index
 from askframe.fixed_values import STOP_WORDS
 from askframe.functions import text as tx
 from askframe.operators import blend, clusters, dense, questions, scoring, sparse, status
@@ -31,11 +31,11 @@ def brute_terms(text):
     return tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
 
 
-def brute_tfidf(queries, docs, k, n_fit=None):
+def brute_tfidf(queries, docs, k):
     q = [Counter(brute_terms(t)) for t in queries]
     vocab = set().union(*q)
     d = [Counter(x for x in brute_terms(t) if x in vocab) for t in docs]
-    fit = d[:n_fit] if n_fit else d
+    fit = d
     idf = {t: math.log((1 + len(fit)) / (1 + sum(t in x for x in fit))) + 1 for t in vocab}
 
     def unit(c):
@@ -62,12 +62,11 @@ def texts():
 
 
 @pytest.mark.parametrize("max_broadcast", [500_000, 0])
-@pytest.mark.parametrize("n_fit", [None, 20])
-def test_tfidf_equals_brute_force(spark, texts, max_broadcast, n_fit):
+def test_tfidf_equals_brute_force(spark, texts, max_broadcast):
     queries, docs = texts
-    got = sparse.tfidf_topk(frame(spark, queries, "query_id"), frame(spark, docs, "doc_id"), 7, n_fit, max_broadcast)
+    got = sparse.tfidf_topk(frame(spark, queries, "query_id"), frame(spark, docs, "doc_id"), 7, max_broadcast)
     rows = sorted(tuple(r) for r in got.collect())
-    assert rows == sorted(brute_tfidf(queries, docs, 7, n_fit))
+    assert rows == sorted(brute_tfidf(queries, docs, 7))
 
 
 def test_tfidf_does_not_depend_on_partitions(spark, texts):
@@ -152,18 +151,6 @@ def test_row_index_over_many_partitions(spark):
     assert all(r.i == r.id for r in rows) and len(rows) == 1000
 
 
-@pytest.mark.parametrize("n", [1, 7, 500, 999, 1000, 2000])
-def test_nth_smallest(spark, n):
-    rng = random.Random(n)
-    values = [rng.randrange(10**9) for _ in range(600)] + list(range(400))
-    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(5)
-    last = nth_smallest(df, "v", n, accuracy=100)
-    if n >= 1000:
-        assert last is None
-    else:
-        assert df.select(last.alias("x")).first().x == sorted(values)[n - 1]
-
-
 def test_shuffle_is_the_same_on_any_partitioning(spark):
     a = questions.seeded_shuffle(spark.range(200).repartition(1)).orderBy("position").collect()
     b = questions.seeded_shuffle(spark.range(200).repartition(8)).orderBy("position").collect()

@@ -246,3 +246,16 @@ def test_shares(spark, n_rows, n):
     got = [r.share for r in questions.split_n(spark.range(n_rows), n).orderBy("id").collect()]
     sizes = [n_rows // n + (i < n_rows % n) for i in range(n)]
     assert got == [i + 1 for i, size in enumerate(sizes) for _ in range(size)]
+
+
+def test_reports_count_every_answered_question(spark):
+    from askframe.operators import metrics
+
+    answers = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id long, answer string")
+    rows = [("m", 1, "A", 1, 0.5), ("m", 2, "A", 1, 0.5), ("w", 2, "C", 1, 1.0)]
+    ranked = spark.createDataFrame(rows, "model_id string, id long, letter string, rank int, prob double")
+    got = {r.model_id: r for r in metrics.hits_report(ranked, answers, ["model_id"]).collect()}
+    assert (got["m"].top1, got["m"].total, got["w"].top1, got["w"].total) == (1, 3, 0, 3)
+    loss = {r.model_id: r.log_loss for r in metrics.log_loss(ranked, answers, ["model_id"]).collect()}
+    floor = -math.log(1e-15)
+    assert loss["m"] == pytest.approx((math.log(2) + 2 * floor) / 3) and loss["w"] == pytest.approx(floor)
