@@ -53,6 +53,8 @@ def with_prompt_kind(df: DataFrame) -> DataFrame:
 def render_by_template(df: DataFrame, with_answer: bool) -> DataFrame:
     """Fill the template each row names; question columns serve letter and text kinds.
 
+    A template that is unknown, or asks yes or no for each option, fails the job.
+
     The template is a choice among constant texts, so the join to the template
     table is folded into one expression and no row moves.
     """
@@ -63,7 +65,8 @@ def render_by_template(df: DataFrame, with_answer: bool) -> DataFrame:
         match = (F.col("family") == family) & (F.col("prompt_id") == prompt_id)
         text = prompt_column(family, prompt_id, with_answer)
         chosen = F.when(match, text) if chosen is None else chosen.when(match, text)
-    return df.withColumn("text", chosen)
+    other = F.raise_error(F.concat_ws(" ", F.lit("no question template"), "family", F.col("prompt_id").cast("string")))
+    return df.withColumn("text", chosen.otherwise(other.cast("string")))
 
 
 def prefix_suffixes(df: DataFrame) -> DataFrame:
