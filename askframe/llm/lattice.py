@@ -24,6 +24,7 @@ from askframe.llm.common import split_of, stored
 LONGEST = 16
 CHUNK_WORDS = 300_000
 BATCH_CELLS = 2_000_000
+BATCH_WORDS = 60_000
 END = b"\n"  # white space, so never a word
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,6 +124,19 @@ def _marked(words: list[bytes]) -> list[bytes]:
     return [w if w == END else b" " + w for w in words]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to about ``BATCH_WORDS`` rows, so that words of one length come by the thousand."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BATCH_WORDS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 _ROWS = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("local", pa.int32()), ("trained", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("locals", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 ROWS = "chunk long, word binary, local int, trained long, doc_id long, held_out boolean, n_tokens long, locals array<int>, times array<int>"
 
@@ -177,7 +191,7 @@ def fit(counts: DataFrame, path: str, rounds: int = 2) -> np.ndarray:
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(vocabulary(path)[0], now)
             total = np.zeros(len(now))
-            for batch in batches:
+            for batch in _gathered(batches):
                 words = _marked(batch.column(0).to_pylist())
                 for at, matrix in lattice.by_length(words) if words else ():
                     total += lattice.expected(matrix, np.ones(len(at)))
@@ -210,7 +224,7 @@ def scores(docs: DataFrame, path: str, rounds: int = 2) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(path)[0], logp)
-        for batch in batches:
+        for batch in _gathered(batches):
             p = lattice.log_prob(_marked(batch.column(0).to_pylist()))
             if total:
                 # A word seen in training is one more edge of the lattice; new words share the rest (Witten-Bell).
@@ -218,7 +232,7 @@ def scores(docs: DataFrame, path: str, rounds: int = 2) -> DataFrame:
                     whole = np.log(batch.column(1).to_numpy() / (total + distinct))
                 p = np.logaddexp(whole, math.log(distinct / (total + distinct)) + p)
             p = p / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], names=["word", "c", "p"])
+            yield from pa.table([batch.column(0), batch.column(1), pa.array(p)], names=["word", "c", "p"]).to_batches()
 
     scored = stored(counts.mapInArrow(score, "word binary, c long, p double"), "lattice-words")
     valued = words.join(scored, "word").select("of", "local", "c", "p")
