@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,10 +35,12 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr eu
 # Characters that stand for letters.
 LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 
-_WORD = re.compile(r"[^\s.,;:?\"()\[\]]+")
+MARKS = '.,;:?"()[]'
+_WORD = re.compile(rf"[^\s{re.escape(MARKS)}]+")
 _ODD = re.compile(r"[^\W\d_][\d@$!|*_][^\W\d_]|[^\W\d_](?:[.\-*_][^\W\d_]){3,}")
 
 
+@lru_cache(maxsize=200_000)
 def plain(word: str) -> str:
     """A word with lookalikes put back, inner marks dropped and letter runs cut to one."""
     word = re.sub(r"[\W_]+", "", word.lower().translate(LOOKALIKE))
@@ -78,47 +81,90 @@ def lexicon(train: DataFrame, size: int) -> dict[str, float]:
     return {r["unit"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "unit").limit(size).collect()}
 
 
-def features(text: str, weights: dict[str, float]) -> list[float]:
-    words = _words(text)
-    lower = [w.lower() for w in words]
-    n = max(1, len(words))
-    hit = [0.0] * len(words)
-    exact = hidden = 0
-    for i, w in enumerate(lower):
-        p = w if w.isalpha() else plain(w)
-        a, b = units(p)
-        weight = max(weights.get(a, 0.0), weights.get(b, 0.0) if b else 0.0)
-        if weight:
-            hit[i] = weight
-            exact += a in weights
-            hidden += p != w.strip("'-")
-    places = [i for i, w in enumerate(hit) if w]
-    near = sum(1 for i in places if not SECOND_PERSON.isdisjoint(lower[max(0, i - NEAR) : i + NEAR + 1]))
-    chars = max(1, len(text))
+class Tokens(dict):
+    """What each run of non-space characters adds to a text's features, remembered while it lasts.
+
+    None stands for a token of one word that adds nothing else.  Otherwise:
+    words, capitals, words in capitals, obfuscations, lexicon hits as ``(place,
+    weight, exact, hidden, word)`` and places of second-person words, counted
+    from the token's first word.  Long tokens are not kept, and a full table is emptied.
+    """
+
+    def __init__(self, weights: dict[str, float], most: int = 200_000, longest: int = 60):
+        super().__init__()
+        self.weights, self.most, self.longest = weights, most, longest
+
+    def __missing__(self, token: str) -> tuple | None:
+        found = self._of(token)
+        if len(token) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = found
+        return found
+
+    def _of(self, token: str) -> tuple | None:
+        core = token.strip(MARKS)
+        low = core.lower()
+        if core.isalpha() and low.isalpha() and low not in SECOND_PERSON and self.weights.keys().isdisjoint(units(low)):
+            # One word of letters that no list holds: most tokens end here.
+            return None if core.islower() else (1, sum(map(str.isupper, core)), len(core) > 2 and core.isupper(), 0, (), ())
+        words, hits, persons = _words(token), [], []
+        for i, w in enumerate(map(str.lower, words)):
+            p = w if w.isalpha() else plain(w)
+            a, b = units(p)
+            weight = max(self.weights.get(a, 0.0), self.weights.get(b, 0.0) if b else 0.0)
+            if weight:
+                hits.append((i, weight, a in self.weights, p != w.strip("'-"), w))
+            if w in SECOND_PERSON:
+                persons.append(i)
+        shouted = sum(1 for w in words if len(w) > 2 and w.isupper())
+        return len(words), sum(map(str.isupper, token)), shouted, len(_ODD.findall(token)), hits, persons
+
+
+def features(text: str, tokens: Tokens) -> list[float]:
+    parts = text.split()
+    extra = capitals = shouted = odd = 0
+    hits, persons = [], set()
+    for at, part in enumerate(parts):
+        if found := tokens[part]:
+            if found[4]:
+                hits += [(at + extra + i, *rest) for i, *rest in found[4]]
+            if found[5]:
+                persons.update(at + extra + i for i in found[5])
+            extra += found[0] - 1
+            capitals += found[1]
+            shouted += found[2]
+            odd += found[3]
+    words = len(parts) + extra
+    n, chars = max(1, words), max(1, len(text))
+    exact = sum(h[2] for h in hits)
+    near = sum(1 for h in hits if not persons.isdisjoint(range(h[0] - NEAR, h[0] + NEAR + 1)))
     return [
-        sum(hit) / n,
-        len(places) / n,
+        sum(h[1] for h in hits) / n,
+        len(hits) / n,
         exact / n,
-        math.log1p(len(places)),
+        math.log1p(len(hits)),
         math.log1p(exact),
-        math.log1p(len({lower[i] for i in places})),
-        max(hit, default=0.0),
+        math.log1p(len({h[4] for h in hits})),
+        max((h[1] for h in hits), default=0.0),
         near / n,
         math.log1p(near),
-        hidden / n,
-        sum(map(str.isupper, text)) / chars,
-        sum(1 for w in words if len(w) > 2 and w.isupper()) / n,
+        sum(h[3] for h in hits) / n,
+        capitals / chars,
+        shouted / n,
         sum(text.count(c) for c in ".,;:") / chars,
         (text.count("!") + text.count("?")) / chars,
-        len(_ODD.findall(text)) / n,
-        math.log1p(len(words)),
+        odd / n,
+        math.log1p(words),
     ]
 
 
 def _features(weights: dict[str, float]):
     @F.pandas_udf("array<double>")
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t or "", weights) for t in texts])
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = Tokens(weights)
+        for texts in batches:
+            yield pd.Series([features(t or "", tokens) for t in texts])
 
     return udf
 
