@@ -14,73 +14,74 @@ from askframe.llm.spans import matches, running
 # The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Families with a name pattern over plain words and the versions they come in.
+# Families with keywords, a name pattern over plain words and the versions they come in.
+# One of the keywords stands in every string that the pattern can match.
 FAMILIES = {
-    "gpl": ("gpl", "(?:gnu )?(?:general public licen[sc]e|gpl)", ["1 0", "2 0", "3 0", "2", "3"]),
-    "lgpl": ("l", "(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", ["2 0", "2 1", "3 0", "3"]),
-    "agpl": ("affero", "(?:gnu )?affero general public licen[sc]e", ["1 0", "3 0", "3"]),
-    "apache": ("apache", "apache(?: software)? licen[sc]e", ["1 0", "1 1", "2 0"]),
-    "mpl": ("mozilla", "mozilla public licen[sc]e", ["1 0", "1 1", "2 0"]),
-    "epl": ("eclipse", "eclipse public licen[sc]e", ["1 0", "2 0"]),
-    "eupl": ("european", "european union public licen[sc]e", ["1 0", "1 1", "1 2"]),
-    "cddl": ("common", "common development and distribution licen[sc]e", ["1 0", "1 1"]),
-    "cpl": ("common", "common public licen[sc]e", ["1 0"]),
-    "afl": ("academic", "academic free licen[sc]e", ["2 0", "2 1", "3 0"]),
-    "osl": ("open", "open software licen[sc]e", ["1 0", "2 0", "2 1", "3 0"]),
-    "artistic": ("artistic", "(?:perl )?artistic licen[sc]e", ["1 0", "2 0"]),
-    "bsl": ("boost", "boost software licen[sc]e", ["1 0"]),
-    "psf": ("python", "python(?: software foundation)? licen[sc]e", ["2 0"]),
-    "zpl": ("zope", "zope public licen[sc]e", ["2 0", "2 1"]),
-    "ofl": ("open", "(?:sil )?open font licen[sc]e", ["1 0", "1 1"]),
-    "mit": ("mit", "(?:mit|expat|x11) licen[sc]e", [""]),
-    "isc": ("isc", "isc licen[sc]e", [""]),
-    "zlib": ("zlib", "zlib(?: libpng)? licen[sc]e", [""]),
-    "unlicense": ("unlicense", "(?:the )?unlicense", [""]),
-    "wtfpl": ("wtfpl", "wtfpl", ["2 0"]),
-    "bsd-2-clause": ("bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) licen[sc]e", [""]),
-    "bsd-3-clause": ("bsd", "(?:bsd 3 clause|3 clause bsd|modified bsd|new bsd) licen[sc]e", [""]),
-    "bsd": ("bsd", "bsd(?: style)? licen[sc]e", [""]),
-    "cc-by": ("cc", "(?:cc by|creative commons attribution)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    "cc-by-sa": ("cc", "(?:cc by sa|creative commons attribution share ?alike)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    "cc-by-nc": ("cc", "(?:cc by nc|creative commons attribution non ?commercial)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    "cc-by-nd": ("cc", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    "cc-by-nc-sa": ("cc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    "cc-by-nc-nd": ("cc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    "cc0": ("cc0", "cc0", ["1 0"]),
+    "gpl": (("general public licen", "gpl"), "(?:gnu )?(?:general public licen[sc]e|gpl)", ["1 0", "2 0", "3 0", "2", "3"]),
+    "lgpl": (("lesser general public", "library general public", "lgpl"), "(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", ["2 0", "2 1", "3 0", "3"]),
+    "agpl": (("affero",), "(?:gnu )?affero general public licen[sc]e", ["1 0", "3 0", "3"]),
+    "apache": (("apache",), "apache(?: software)? licen[sc]e", ["1 0", "1 1", "2 0"]),
+    "mpl": (("mozilla",), "mozilla public licen[sc]e", ["1 0", "1 1", "2 0"]),
+    "epl": (("eclipse",), "eclipse public licen[sc]e", ["1 0", "2 0"]),
+    "eupl": (("european",), "european union public licen[sc]e", ["1 0", "1 1", "1 2"]),
+    "cddl": (("common development",), "common development and distribution licen[sc]e", ["1 0", "1 1"]),
+    "cpl": (("common public",), "common public licen[sc]e", ["1 0"]),
+    "afl": (("academic",), "academic free licen[sc]e", ["2 0", "2 1", "3 0"]),
+    "osl": (("open software",), "open software licen[sc]e", ["1 0", "2 0", "2 1", "3 0"]),
+    "artistic": (("artistic",), "(?:perl )?artistic licen[sc]e", ["1 0", "2 0"]),
+    "bsl": (("boost",), "boost software licen[sc]e", ["1 0"]),
+    "psf": (("python",), "python(?: software foundation)? licen[sc]e", ["2 0"]),
+    "zpl": (("zope",), "zope public licen[sc]e", ["2 0", "2 1"]),
+    "ofl": (("open font",), "(?:sil )?open font licen[sc]e", ["1 0", "1 1"]),
+    "mit": (("mit licen", "expat", "x11"), "(?:mit|expat|x11) licen[sc]e", [""]),
+    "isc": (("isc",), "isc licen[sc]e", [""]),
+    "zlib": (("zlib",), "zlib(?: libpng)? licen[sc]e", [""]),
+    "unlicense": (("unlicense",), "(?:the )?unlicense", [""]),
+    "wtfpl": (("wtfpl",), "wtfpl", ["2 0"]),
+    "bsd-2-clause": (("bsd",), "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) licen[sc]e", [""]),
+    "bsd-3-clause": (("bsd",), "(?:bsd 3 clause|3 clause bsd|modified bsd|new bsd) licen[sc]e", [""]),
+    "bsd": (("bsd",), "bsd(?: style)? licen[sc]e", [""]),
+    "cc-by": (("cc by", "creative commons"), "(?:cc by|creative commons attribution)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    "cc-by-sa": (("cc by", "creative commons"), "(?:cc by sa|creative commons attribution share ?alike)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    "cc-by-nc": (("cc by", "creative commons"), "(?:cc by nc|creative commons attribution non ?commercial)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    "cc-by-nd": (("cc by", "creative commons"), "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    "cc-by-nc-sa": (("cc by", "creative commons"), "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    "cc-by-nc-nd": (("cc by", "creative commons"), "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
+    "cc0": (("cc0",), "cc0", ["1 0"]),
 }
 GRANT = "(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?"
 # Notices without a family.
 NOTICES = {
-    "all-rights-reserved": ("reserved", "all rights reserved"),
-    "copyright": ("copyright", "copyright (?:c )?[0-9]{4}"),
-    "public-domain": ("domain", "(?:in|into|to) the public domain"),
-    "proprietary": ("proprietary", "proprietary and confidential"),
-    "no-warranty": ("warranty", "without (?:any )?warranty|without warranties or conditions"),
-    "as-is": ("provided", "(?:is )?provided as is"),
-    "permission-notice": ("permission", "permission is hereby granted free of charge"),
-    "redistribution-notice": ("redistribution", "redistribution and use in source and binary forms"),
-    "spdx-tag": ("spdx", "spdx licen[sc]e identifier"),
+    "all-rights-reserved": (("reserved",), "all rights reserved"),
+    "copyright": (("copyright",), "copyright (?:c )?[0-9]{4}"),
+    "public-domain": (("domain",), "(?:in|into|to) the public domain"),
+    "proprietary": (("proprietary",), "proprietary and confidential"),
+    "no-warranty": (("warrant",), "without (?:any )?warranty|without warranties or conditions"),
+    "as-is": (("provided",), "(?:is )?provided as is"),
+    "permission-notice": (("permission",), "permission is hereby granted free of charge"),
+    "redistribution-notice": (("redistribution",), "redistribution and use in source and binary forms"),
+    "spdx-tag": (("spdx",), "spdx licen[sc]e identifier"),
 }
 # Words of which one stands in every text with a detection.
 GATES = ["license", "licence", "unlicense", "wtfpl", "gpl", "cc by", "cc0", "creative commons", "reserved", "copyright", "public domain", "proprietary", "warrant", "provided as is", "permission is", "redistribution and", "spdx"]
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """``(priority, label, keyword, pattern, confidence)`` in order; a grant or version outranks a bare name.
+def rules() -> list[tuple[int, str, tuple[str, ...], str, float]]:
+    """``(priority, label, keywords, pattern, confidence)`` in order; a grant or version outranks a bare name.
 
     Per family and version: grant with version, name with version, version in
     words; per family: grant, name.  Notices come last.
     """
     out = []
-    for label, (key, name, versions) in FAMILIES.items():
+    for label, (keys, name, versions) in FAMILIES.items():
         named = f"(?:{name})"
         for v in versions:
             if v:
                 tag = f"{label}-{v.replace(' ', '.')}"
                 number = f"(?: v| version)? ?{v}"
-                out += [(0, tag, key, f"{GRANT}{named}{number}", 1.0), (1, tag, key, f"{named}{number}", 0.9), (1, tag, key, f"version {v} of the {named}", 0.9), (1, tag, key, f"{named}{number} (?:or(?: any)? later|only)", 0.95)]
-        out += [(2, label, key, f"{GRANT}{named}", 0.9), (3, label, key, named, 0.8)]
-    out += [(4, label, key, pattern, 0.4) for label, (key, pattern) in NOTICES.items()]
+                out += [(0, tag, keys, f"{GRANT}{named}{number}", 1.0), (1, tag, keys, f"{named}{number}", 0.9), (1, tag, keys, f"version {v} of the {named}", 0.9), (1, tag, keys, f"{named}{number} (?:or(?: any)? later|only)", 0.95)]
+        out += [(2, label, keys, f"{GRANT}{named}", 0.9), (3, label, keys, named, 0.8)]
+    out += [(4, label, keys, pattern, 0.4) for label, (keys, pattern) in NOTICES.items()]
     return out
 
 
@@ -113,11 +114,11 @@ def _suppress(found: Column) -> Column:
 
 def detect(words: Column) -> Column:
     """Surviving detections in normal text, as an array of structs."""
-    groups: dict[str, list] = {}
-    for priority, label, key, pattern, confidence in rules():
-        groups.setdefault(key, []).append(F.struct(F.lit(priority).alias("priority"), F.lit(label).alias("label"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"), F.lit(confidence).alias("confidence")))
-    table = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*v).alias("rules")) for k, v in groups.items()])
-    ready = F.flatten(F.transform(F.filter(table, lambda g: words.contains(g["key"])), lambda g: g["rules"]))
+    groups: dict[tuple[str, ...], list] = {}
+    for priority, label, keys, pattern, confidence in rules():
+        groups.setdefault(keys, []).append(F.struct(F.lit(priority).alias("priority"), F.lit(label).alias("label"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"), F.lit(confidence).alias("confidence")))
+    table = F.array(*[F.struct(F.array(*[F.lit(k) for k in keys]).alias("keys"), F.array(*v).alias("rules")) for keys, v in groups.items()])
+    ready = F.flatten(F.transform(F.filter(table, lambda g: F.exists(g["keys"], lambda k: words.contains(k))), lambda g: g["rules"]))
     hit = F.filter(ready, lambda r: F.regexp_like(words, r["pattern"]))
     found = F.flatten(F.transform(hit, lambda r: F.transform(matches(words, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     return _suppress(found)

@@ -201,6 +201,50 @@ def test_license_words_phrases_and_labels(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def _strings(parsed):
+    """All strings that a parsed pattern of literals, classes of literals, branches and optional parts matches."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            part = [chr(arg)]
+        elif op == "IN":
+            part = [chr(c) for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else x[:1])]
+        elif op == "BRANCH":
+            part = [s for b in arg[1] for s in _strings(b)]
+        elif op == "SUBPATTERN":
+            part = _strings(arg[3])
+        else:
+            assert op == "MAX_REPEAT", op
+            low, high, inner = arg
+            part = [""] * (low == 0) + [s * high for s in _strings(inner)]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_license_keywords_stand_in_every_string_of_their_rule(spark):
+    from re import _parser
+
+    rows = []
+    for _, label, keys, pattern, _ in licenses.rules():
+        grant = pattern.startswith(licenses.GRANT)
+        bare = pattern[len(licenses.GRANT) :] if grant else pattern
+        strings = _strings(_parser.parse(bare))
+        for s in strings:
+            assert any(k in s for k in keys) and any(g in s for g in licenses.GATES), (label, s)
+        for s in (strings[0], strings[-1]):
+            rows.append((len(rows), f"licensed under {s}" if grant else s, label, 1.0 if grant and label[-1].isdigit() and "." in label else 0.0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, label string, least double").repartition(8)
+    got = licenses.scan(table).join(table, "doc_id").filter(~F.array_contains(F.split("labels", ","), F.col("label")) | (F.col("score") < F.col("least")))
+    assert got.select("text", "label", "labels", "score").take(5) == []
+
+
+def test_license_spelled_out_keeps_its_version(spark):
+    rows = [(1, "Released under the terms of the GNU General Public License version 2.0."), (2, "General Public Licence, version 3"), (3, "Expat license"), (4, "Creative Commons Attribution 4.0"), (5, "without warranties or conditions")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("gpl,gpl-2.0", 1.0), 2: ("gpl-3", 0.9), 3: ("mit", 0.8), 4: ("cc-by-4.0", 0.9), 5: ("no-warranty", 0.4)}
+
+
 def test_packing_is_whole_and_gapless(docs, empty):
     from tokenizers import Tokenizer
 
