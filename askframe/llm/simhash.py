@@ -20,6 +20,11 @@ from askframe.llm.common import components, stored, union_labels
 BLOCK_WORDS = 100_000
 GROUP_LIMIT = 50_000
 PAIRS_AT_ONCE = 2_000_000
+# MinHash bands of similar_documents: texts of similarity 0.8 share one of them with probability 0.9996.
+BANDS, BAND_ROWS = 20, 5
+SIMILAR_LIMIT = 500
+# At similarity 0.8 two fingerprints differ in about 10 bits, with a standard deviation of 3.
+SIMILAR_BUDGET = 24
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -173,3 +178,125 @@ def near_duplicates(docs: DataFrame, budget: int = 3, group_limit: int = GROUP_L
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stored(rooted.join(least, "root").select("fp", "component_id"), "simhash-names")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of all word shingles; a shorter text is one shingle, an empty one has none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingle = min(shingle, len(words))
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :])], np.uint64))
+
+
+def _text_key(text: bytes | None) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
+
+
+def _sketches(shingle: int):
+    rng = np.random.default_rng(5)
+    factors = rng.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    terms = rng.integers(0, 2**64, BANDS * BAND_ROWS, np.uint64)
+
+    def bands(text: bytes | None) -> list[int]:
+        h = shingle_set(text, shingle)
+        if not len(h):
+            return []
+        least = np.array([(h * a + b).min() for a, b in zip(factors, terms)]).reshape(BANDS, BAND_ROWS)
+        return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least)], np.uint64).view(np.int64).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(1)]
+            columns = [batch.column(0), pa.array([_text_key(t) for t in texts], pa.binary()), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "bands"])
+
+    return run
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array([_text_key(x.as_py()) for x in batch.column(0)], pa.binary())
+        yield pa.RecordBatch.from_arrays([keys, batch.column(0)], names=["key", "text"])
+
+
+def _verified(shingle: int, threshold: float):
+    """Forest edges of rows ``(cell, side, key, text)`` sorted by cell, each pair of exact similarity at or above the threshold."""
+
+    def walk(side: list[int], key: list[bytes], sets: list[np.ndarray], fp: list[int]) -> pa.RecordBatch:
+        prints = np.array(fp, np.uint64)
+        order = np.lexsort((prints, np.array(side)))
+        zeros = int(len(side) - sum(side))
+        keys = prints[order]
+        ranges = (0, zeros, 0, zeros) if zeros == len(side) else (0, zeros, zeros, len(side))
+        label = list(range(len(side)))
+
+        def root(i: int) -> int:
+            while label[i] != i:
+                label[i] = label[label[i]]
+                i = label[i]
+            return i
+
+        a, b = [], []
+        for left, right in trie_pairs(keys, *(np.array([x]) for x in ranges), 0, SIMILAR_BUDGET):
+            for i, j in zip(left.tolist(), right.tolist()):
+                x, y = root(i), root(j)
+                if x == y:
+                    continue
+                one, two = sets[order[i]], sets[order[j]]
+                if min(len(one), len(two)) < threshold * max(len(one), len(two)):
+                    continue
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if shared >= threshold * (len(one) + len(two) - shared):
+                    label[max(x, y)] = min(x, y)
+                    a.append(key[order[i]])
+                    b.append(key[order[j]])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [], [])
+        for batch in batches:
+            for cell, side, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != now:
+                    if held[0]:
+                        yield walk(*held)
+                    now, held = cell, ([], [], [], [])
+                for column, value in zip(held, (side, key, shingle_set(text, shingle), fingerprint(text, shingle))):
+                    column.append(value)
+        if held[0]:
+            yield walk(*held)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_limit: int = SIMILAR_LIMIT) -> DataFrame:
+    """``(doc_id, component_id)``: the smallest id reachable over texts of word-shingle similarity at or above ``threshold``.
+
+    Texts with the same words meet as one key.  Texts that share a MinHash band
+    form candidate groups; inside a group every pair within the Hamming budget
+    is found by the trie and verified on its whole shingle sets, unless both are
+    already connected.  A group beyond the limit is dealt into chunks, and every
+    pair of chunks is a cell of its own.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, bands array<long>"), "similar-sketches")
+    distinct = stored(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "similar-distinct")
+    bands = distinct.select("key", F.explode("bands").alias("band"))
+    tops = stored(bands.groupBy("band").agg(F.min("key").alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", "top"), "similar-tops")
+    groups = components(bands.join(tops, "band").select(F.col("key").alias("a"), F.col("top").alias("b")).filter("a <> b"), "similar-groups")
+    members = stored(groups.select(F.col("node").alias("key"), F.col("root").alias("home")).union(groups.select(F.col("root").alias("key"), F.col("root").alias("home")).distinct()), "similar-members")
+    large = stored(members.groupBy("home").count().filter(F.col("count") > group_limit).select("home", F.ceil(F.col("count") / group_limit).cast("int").alias("k")), "similar-large")
+    dealt = members.join(large, "home", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.xxhash64("home", F.least(own, o), F.greatest(own, o)).alias("cell"), F.when(own > o, 1).otherwise(0).alias("side")))
+    texts = rows.select("text").mapInArrow(_keyed, "key binary, text binary").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_cells = dealt.select("key", F.inline(cells)).join(texts, "key").select("cell", "side", "key", "text").repartition(n, "cell").sortWithinPartitions("cell")
+    roots = components(sorted_cells.mapInArrow(_verified(shingle, threshold), "a binary, b binary"), "similar-links")
+    rooted = stored(distinct.join(roots, distinct.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root")), "similar-rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = stored(rooted.join(least, "root").select("key", "component_id"), "similar-names")
+    return sketches.select("doc_id", "key").join(names, "key").select("doc_id", "component_id")

@@ -120,6 +120,33 @@ def test_simhash_components_on_odd_rows(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [500, 7])
+def test_pipeline_keeps_one_of_planted_near_copies(spark, limit):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        texts.append(words)
+        for n in (1, 2, 3):
+            near = list(words)
+            for at in rng.sample(range(120), n):
+                near[at] = "changed"
+            texts.append(near)
+    texts += [[*texts[0][:115], *(f"end{i}" for i in range(5 + n))] for n in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, ""), (901, None), (902, "Short  text"), (903, "short text")]
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    want = union_labels(np.arange(len(texts)), *map(np.array, zip(*near)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table, group_limit=limit).collect()}
+    assert [got[i] for i in range(len(texts))] == want.tolist() and len(set(want)) < 100
+    assert (got[900], got[901], got[902], got[903]) == (900, 900, 902, 902)
+    if limit == 500:
+        kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, table, "").collect()}
+        assert kept == {*want.tolist(), 900, 902}
+        assert simhash.similar_documents(table.filter("false")).count() == 0
+
+
 def test_edits_and_likeness(docs, empty):
     texts = [(1, "alpha beta gamma " * 40), (2, "delta epsilon " * 50), (3, None), (4, "ü" * 31)]
     spark = docs.sparkSession
