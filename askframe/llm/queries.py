@@ -75,6 +75,24 @@ def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return scan(table(spark, sf, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.spelling import variants
+
+    return variants(table(spark, sf, "documents"))
+
+
+def op12_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.ranked import top_documents
+
+    return top_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    from askframe.llm.token_files import encode_and_read
+
+    return encode_and_read(spark, table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     pipeline = importlib.import_module("corpus_pipeline")
@@ -102,4 +120,15 @@ ORACLES: dict[str, str] = {
         n as (select a, count(*) as n from l group by a)
         select u.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, u.vec_id = c.component_id as kept
         from u join c on c.a = u.vec_id left join n on n.a = u.vec_id""",
+    "op12_ranked": r"""
+        with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+        q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        l as (select doc_id, count(*)::bigint as n from t group by doc_id),
+        a as (select count(*)::bigint as nn, sum(n)::bigint as ll from l),
+        c as (select doc_id, term, count(*)::bigint as tf from t where term in (select term from q) group by doc_id, term),
+        w as (select term, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)))::bigint as w from c, a group by term),
+        s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::bigint as score
+          from q join c using (term) join w using (term) join l using (doc_id) cross join a group by item_id, doc_id),
+        r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+        select item_id, rank::int as rank, doc_id, score from r where rank <= 10""",
 }
