@@ -78,20 +78,21 @@ def map_at_3(spark, sf):
 
 
 AP_WORDS_SQL = r"""
-    pred as (select item_id, list_slice(regexp_extract_all(text, '[^ \n]+'), 1, 10) as p,
-        list_slice(regexp_extract_all(text, '[^ \n]+'), 4, 9) as a from benchmark),
+    pred as (select item_id, p, list_distinct(list_filter(p, lambda w: length(w) % 2 = 0)) as a
+             from (select item_id, regexp_extract_all(text, '[^ \n]+') as p from benchmark)),
     places as (select item_id, a, unnest(p) as w, unnest(range(1, len(p) + 1)) as i from pred),
     firsts as (select item_id, any_value(a) as a, w, min(i) as i from places group by item_id, w),
-    hit as (select item_id, a, i, row_number() over (partition by item_id order by i) as n from firsts where list_contains(a, w))
-    select p.item_id, round(coalesce(sum(h.n / h.i::double), 0) / least(len(any_value(p.a)), 10), 9) as ap
+    hit as (select item_id, a, i, row_number() over (partition by item_id order by i) as n from firsts where list_contains(a, w) and i <= 10)
+    select p.item_id, coalesce(round(sum(h.n / h.i::double) / least(len(any_value(p.a)), 10), 9), 0) as ap
     from pred p left join hit h on h.item_id = p.item_id group by p.item_id"""
 
 
 @query(AP_WORDS_SQL)
 def map_at_10_rows(spark, sf):
-    """Several right items and repeated predictions: words of a text against a stretch of its own words."""
+    """Several right items and repeated predictions: all words of a text against those of even length."""
     w = words(F.col("text"))
-    rows = table(spark, sf, "benchmark").select("item_id", F.slice(w, 1, 10).alias("predicted"), F.slice(w, 4, 6).alias("actual"))
+    even = F.array_distinct(F.filter(w, lambda x: F.length(x) % 2 == 0))
+    rows = table(spark, sf, "benchmark").select("item_id", w.alias("predicted"), even.alias("actual"))
     scored = metrics.map_at_k(rows, [], 10, reduction=None)
     return scored.select("item_id", F.round("ap", 9).alias("ap"))
 
@@ -103,17 +104,18 @@ REPORT_SQL = """sum((rank = 1)::int)::bigint as top1, sum((rank = 2)::int)::bigi
 
 @query(
     # The prompt holds the whole option, so the words they share are the option's own.
-    f"""logits as (select o.id, letter, len(list_distinct(regexp_extract_all(answer_text, '{base.WORD_SQL}'))) / 10::double as yes_logit,
-           1.0::double as no_logit from options o join context_questions c on c.id = o.id),"""
+    f"""long as (unpivot context_questions on A, B, C, D, E into name letter value answer_text),
+    logits as (select id, letter, len(list_distinct(regexp_extract_all(answer_text, '{base.WORD_SQL}'))) / 10::double as yes_logit,
+           1.0::double as no_logit from long),"""
     + PROB_SQL
     + f""", ranked as (select id, letter, row_number() over (partition by id order by prob desc, letter) as rank from scored)
-         select {REPORT_SQL} from ranked r join answers a on a.id = r.id and a.answer = r.letter""",
-    "options context_questions answers",
+         select {REPORT_SQL} from ranked r join context_questions a on a.id = r.id and a.answer = r.letter""",
+    "context_questions",
 )
 def answered_questions(spark, sf):
     """Prompt, score and judge in one flow."""
-    found = answer_probabilities(base.context_questions(spark, sf), word_limit=200)
-    return answer_report(found, base.answers(spark, sf))
+    asked = base.context_questions(spark, sf)
+    return answer_report(answer_probabilities(asked, word_limit=200), asked.select("id", "answer"))
 
 
 @query(RANKED + f" select model_id, {REPORT_SQL} from ranked r join answers a on a.id = r.id and a.answer = r.letter group by model_id", "probs answers")

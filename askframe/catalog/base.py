@@ -75,7 +75,7 @@ def words_sql(text: str) -> str:
 
 VIEWS = {
     "questions": """
-        select item_id as id, regexp_extract(text, '^[^.]*', 0) as prompt,
+        select item_id as id, rtrim(substr(text, 1, length(text) - length(regexp_extract(text, '([^ ]+ ){0,7}[^ ]+$', 0))), ' ') as prompt,
           max(case when k = 0 then opt end) as A, max(case when k = 1 then opt end) as B,
           max(case when k = 2 then opt end) as C, max(case when k = 3 then opt end) as D,
           max(case when k = 4 then opt end) as E,
@@ -100,11 +100,10 @@ VIEWS = {
         select doc_id as article_id, 'T' || cast(doc_id // 4 as varchar) as title, source as section,
           text, lang as file, n_chars as views from documents""",
     "contexts": """
-        select q.id, cast(r.r as int) as rank, d.text
-        from questions q cross join (values (1), (2), (3)) as r(r) join documents d on d.doc_id = q.id * 3 + r.r""",
+        select doc_id // 3 as id, cast(doc_id % 3 + 1 as int) as rank, text from documents""",
     "context_questions": """
-        select q.id, q.prompt, d.text as context, q.A, q.B, q.C, q.D, q.E, q.answer
-        from questions q join documents d on d.doc_id = q.id""",
+        select d.doc_id as id, q.prompt, d.text as context, q.A, q.B, q.C, q.D, q.E, q.answer
+        from documents d join questions q on q.id = d.doc_id % (select count(*) from benchmark)""",
     "options": """
         select id, prompt, answer, 'A' as letter, A as answer_text from questions
         union all select id, prompt, answer, 'B', B from questions
@@ -129,7 +128,6 @@ VIEWS = {
 }
 
 _USES = {
-    "contexts": ["questions"],
     "context_questions": ["questions"],
     "options": ["questions"],
     "run_facts": ["run_logs"],
@@ -149,7 +147,9 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
     n = b.agg(F.count("*")).scalar()
     tails = b.select(F.col("item_id").alias("tail_id"), F.regexp_extract("text", "([^ ]+ ){0,7}[^ ]+$", 0).alias("opt"))
-    slots = b.select("item_id", F.regexp_extract("text", "^[^.]*", 0).alias("prompt"), F.posexplode(F.array(*map(F.lit, LETTERS))).alias("k", "letter"))
+    tail = F.length(F.regexp_extract("text", "([^ ]+ ){0,7}[^ ]+$", 0))
+    prompt = F.rtrim(F.substring(F.col("text"), F.lit(1), F.length("text") - tail), F.lit(" "))
+    slots = b.select("item_id", prompt.alias("prompt"), F.posexplode(F.array(*map(F.lit, LETTERS))).alias("k", "letter"))
     slots = slots.withColumn("tail_id", (F.col("item_id") + (F.col("k") - F.col("item_id") % 5 + 5) % 5) % n)
     wide = (
         slots.join(tails, "tail_id")
@@ -198,14 +198,17 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf: str) -> DataFrame:
-    slots = questions(spark, sf).select("id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
-    slots = slots.withColumn("doc_id", F.col("id") * 3 + F.col("rank"))
-    return slots.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("id", "rank", "text")
+    """Every document is one of the three contexts of a group."""
+    group = F.floor(F.col("doc_id") / 3).cast("long")
+    return table(spark, sf, "documents").select(group.alias("id"), (F.col("doc_id") % 3 + 1).cast("int").alias("rank"), "text")
 
 
 def context_questions(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
-    return questions(spark, sf).join(docs, "id").select("id", "prompt", "context", *LETTERS, "answer")
+    """Every document with the question that its id falls to; the rows are named by the document."""
+    n = table(spark, sf, "benchmark").agg(F.count("*")).scalar()
+    asked = questions(spark, sf).withColumnRenamed("id", "item_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("context"), (F.col("doc_id") % n).alias("item_id"))
+    return docs.join(asked, "item_id").select("id", "prompt", "context", *LETTERS, "answer")
 
 
 def turn_vectors(spark: SparkSession, sf: str) -> DataFrame:

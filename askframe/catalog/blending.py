@@ -105,3 +105,24 @@ def round_weights(spark, sf):
     row = weights.agg(*[s.alias(f"w{m}") for m, s in zip(MODELS, share)])
     scored = blend.round_weights(base.probs(spark, sf), base.answers(spark, sf), MODELS, row)
     return scored.withColumn("map3", F.round("map3", 9))
+
+
+@query(
+    """qs as (select id, answer, letter, max(prob) filter (model_id = 0) as p0, max(prob) filter (model_id = 1) as p1,
+         max(prob) filter (model_id = 2) as p2, max(prob) filter (model_id = 3) as p3 from probs join answers using (id) group by all),
+       lines as (select id, letter, answer, 0.4::double * p0 + 0.3::double * p1 + 0.2::double * p2 + 0.1::double * p3 as a, p2 as b from qs),
+       rel as (select l.id, l.letter, l.answer, l.a - r.a as da, l.b - r.b as db from lines l join lines r on r.id = l.id and r.letter = r.answer
+         where l.letter <> l.answer),
+       cuts as (select 0::double as t union select round(da / (da - db), 12) from rel where da * db < 0),
+       spans as (select t as t_low, coalesce(lead(t) over (order by t), 1::double) as t_high from cuts),
+       mids as (select *, (t_low + t_high) / 2 as t from spans where t_low < t_high),
+       ranks as (select t_low, t_high, id, 1 + sum(((1 - t) * da + t * db > 0)::int) as k from mids cross join rel group by all)
+       select round(t_low, 9) as t_low, round(t_high, 9) as t_high,
+         round(avg(case k when 1 then 1::double when 2 then 1 / 2::double when 3 then 1 / 3::double else 0 end), 9) as map3
+       from ranks group by t_low, t_high""",
+    "probs answers",
+)
+def line_scores(spark, sf):
+    """MAP@3 along the whole way from a blend to one model."""
+    found = blend.line_scores(base.probs(spark, sf), base.answers(spark, sf), MODELS, [4, 3, 2, 1], 2)
+    return found.select(*[F.round(c, 9).alias(c) for c in ("t_low", "t_high", "map3")])

@@ -10,6 +10,7 @@ from askframe.cluster import parallel_scan, scratch_path, stored
 from askframe.fixed_values import SEARCH_INSTRUCTION, STOP_WORDS
 from askframe.functions import text as tx
 from askframe.operators import dense, sentences, sparse
+from askframe.operators.questions import keep_ids
 from askframe.plans import contexts as flows
 from askframe.sources import corpus
 
@@ -142,12 +143,12 @@ def corpus_text_v1(spark, sf):
 
 
 @query(
-    "select id, string_agg('- ' || substr(text, 1, 100), chr(10) order by rank) as context from contexts group by id", "contexts"
+    "select id, string_agg('- ' || text, chr(10) order by rank) as context from contexts group by id", "contexts"
 )
 def context_bullets(spark, sf):
     ranked = F.array_sort(F.collect_list(F.struct("rank", "text")))
     grouped = base.contexts(spark, sf).groupBy("id").agg(F.transform(ranked, lambda r: r["text"]).alias("texts"))
-    return grouped.select("id", tx.context_bullets(F.col("texts"), 100).alias("context"))
+    return grouped.select("id", tx.context_bullets(F.col("texts")).alias("context"))
 
 
 # ---- sparse retrieval ------------------------------------------------------
@@ -159,6 +160,17 @@ def tfidf_topk(spark, sf):
     return sparse.tfidf_topk(bench_queries(spark, sf), doc_texts(spark, sf), 10)
 
 
+@query(
+    "q_text as (select conv_id * 1000 + turn as query_id, text from conversations), d_text as (select doc_id, text from documents), "
+    + tfidf_sql(5)
+    + " select query_id, rank, doc_id, round(score, 6) as score from hits"
+)
+def tfidf_topk_of_many(spark, sf):
+    """Every turn of every conversation is a query: terms and queries travel in several blocks over one stored index."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return sparse.tfidf_topk(turns, doc_texts(spark, sf), 5, block_terms=20_000)
+
+
 SPARSE_SQL = (
     """q_text as (select id as query_id, concat_ws(chr(10), prompt, prompt, prompt, A, B, C, D, E) as text from questions),
        d_text as (select article_id as doc_id, replace(replace(title || ' ' || section || ' ' || text, chr(10), ' '), '''', '') as text
@@ -275,10 +287,14 @@ def vector_topk(spark, sf):
 
 @query(BENCH_VECTORS_SQL + nearest_sql(5) + " select query_id, rank, doc_id, round(score, 6) as score from hits")
 def vector_topk_in_blocks(spark, sf):
-    """The same search with more queries than the broadcast bound allows."""
-    return dense.vector_topk(
-        bench_vectors(spark, sf), doc_vectors(spark, sf), 5, max_broadcast_rows=1, query_block=100, corpus_block=2_000
-    )
+    """The same search with queries in several blocks."""
+    return dense.vector_topk(bench_vectors(spark, sf), doc_vectors(spark, sf), 5, query_block=15)
+
+
+@query(BENCH_VECTORS_SQL + nearest_sql(5) + " select query_id, rank, doc_id, round(score, 6) as score from hits")
+def vector_topk_in_cells(spark, sf):
+    """The same search over a stored cell index."""
+    return dense.vector_topk(bench_vectors(spark, sf), doc_vectors(spark, sf), 5, n_cells=64)
 
 
 @query(
@@ -303,8 +319,7 @@ def hits_to_index(spark, sf):
 
 @query("select doc_id, source from documents where doc_id in (select doc_id from labels where toxic = 1)")
 def id_semi_join(spark, sf):
-    wanted = table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "source").join(wanted, "doc_id", "left_semi")
+    return keep_ids(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").filter("toxic = 1"), "doc_id")
 
 
 CANDIDATES_SQL = "full_texts as (select doc_id as document_id, text from documents where doc_id in (select doc_id from hits)), " + SENTENCES_SQL
@@ -315,8 +330,9 @@ CANDIDATES_SQL = "full_texts as (select doc_id as document_id, text from documen
     + """ select s.document_id, h.query_id, s.text, s.start, s."end" from hits h join sentences s on s.document_id = h.doc_id"""
 )
 def candidate_sentences(spark, sf):
-    hits = dense.vector_topk(bench_vectors(spark, sf), doc_vectors(spark, sf), 5)
-    return dense.candidate_sentences(hits, sentences.process_documents(documents(spark, sf)))
+    hits = stored(dense.vector_topk(bench_vectors(spark, sf), doc_vectors(spark, sf), 5), "hits")
+    found = keep_ids(documents(spark, sf), hits.withColumnRenamed("doc_id", "document_id"), "document_id")
+    return dense.candidate_sentences(hits, sentences.process_documents(found))
 
 
 DENSE_Q_SQL = vectors_sql(

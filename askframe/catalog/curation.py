@@ -11,7 +11,7 @@ from askframe.fixed_values import LETTERS
 from askframe.functions.letters import answer_text, index_to_letter, letter_to_index, letter_to_number, one_hot
 from askframe.functions.text import bullets_from_columns, word_count
 from askframe.functions.prompts import option_suffixes, shared_prefix
-from askframe.operators import questions as ops
+from askframe.operators import questions as ops, runs
 from askframe.operators.scoring import wide_options
 from askframe.sources import corpus, questions as sources, scores
 from askframe.plans import question_sets
@@ -38,14 +38,15 @@ def read_test_questions(spark, sf):
 
 
 @query(
-    """select q.id, prompt, string_agg('- ' || c.text, chr(10) order by c.rank) as context, A, B, C, D, E, answer
-       from questions q left join contexts c on c.id = q.id group by all""",
+    """c as (select id, string_agg('- ' || text, chr(10) order by rank) as context from contexts group by id)
+       select c.id, prompt, context, A, B, C, D, E, answer from c join questions q on q.id = c.id % (select count(*) from benchmark)""",
     "questions contexts",
 )
 def read_questions_with_context(spark, sf):
-    wide = ops.pivot_contexts(base.contexts(spark, sf), 3)
+    n = table(spark, sf, "benchmark").agg(F.count("*")).scalar()
+    wide = ops.pivot_contexts(base.contexts(spark, sf), 3).withColumn("item_id", F.col("id") % n)
     path = scratch_path(spark, "context-questions")
-    write_csv(base.questions(spark, sf).join(wide, "id", "left"), path)
+    write_csv(wide.join(base.questions(spark, sf).withColumnRenamed("id", "item_id"), "item_id").drop("item_id"), path)
     return sources.read_questions(spark, path, "valid", with_context=True, top_n=3)
 
 
@@ -59,6 +60,21 @@ def read_extra_questions(spark, sf):
     return sources.read_extra_questions(spark, stored_questions(spark, sf), order="content")
 
 
+FILE_ORDER = """
+    select row_number() over (order by page_title, id) - 1 as id, prompt, A, B, C, D, E, answer, page_title from questions"""
+
+
+@query("placed as (" + FILE_ORDER + ") select id, prompt, A, B, C, D, E, answer from placed", "questions")
+def read_extra_questions_in_file_order(spark, sf):
+    """The rows' places in the files are the ids, and the number of rows is checked."""
+    q = base.questions(spark, sf)
+    path = scratch_path(spark, "extra-sets")
+    # A file a set: the files' order is that of the sets, and rows stand in a file by their ids.
+    named = q.withColumn("set_name", F.col("page_title"))
+    write_csv(named.repartition("set_name").sortWithinPartitions("set_name", "id"), path, ["set_name"])
+    return sources.read_extra_questions(spark, path, q.count(), order="file")
+
+
 @query(
     "numbered as ("
     + NUMBERED.format(source="questions").replace("answer from", "answer, page_title from")
@@ -71,15 +87,22 @@ def read_extra_first_of_page(spark, sf):
 
 
 @query(
-    """select page_title as set_name, count(*) as expected_rows, count(*) as found_rows, true as matches
-       from questions group by page_title""",
-    "questions",
+    # A set is expected to hold a row for each document of its language, and is stored without the documents labelled toxic.
+    """expected as (select lang as set_name, count(*) as expected_rows from documents group by lang
+         union all select 'none', (select count(*) from benchmark)),
+       found as (select lang as set_name, count(*) as found_rows from documents
+         where doc_id not in (select doc_id from labels where toxic = 1) group by lang)
+       select set_name, expected_rows, coalesce(found_rows, 0) as found_rows, coalesce(found_rows, 0) = expected_rows as matches
+       from expected left join found using (set_name)"""
 )
 def dataset_registry(spark, sf):
-    q = base.questions(spark, sf).withColumn("set_name", F.col("page_title"))
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("set_name"))
+    registry = docs.groupBy("set_name").agg(F.count("*").alias("expected_rows"))
+    absent = table(spark, sf, "benchmark").agg(F.lit("none").alias("set_name"), F.count("*").alias("expected_rows"))
+    registry = registry.unionByName(absent)
+    toxic = table(spark, sf, "labels").filter("toxic = 1")
     path = scratch_path(spark, "named-sets")
-    write_csv(q, path, ["set_name"])
-    registry = q.groupBy("set_name").agg(F.count("*").alias("expected_rows"))
+    write_csv(docs.join(toxic, "doc_id", "left_anti"), path, ["set_name"])
     return sources.registry_check(registry, sources.read_csv(spark, path))
 
 
@@ -153,13 +176,13 @@ def run_states(spark, sf):
         F.min("eval_loss").alias("best_metric"),
         F.lit(3.0).alias("epoch"),
         F.max("step").alias("global_step"),
-        F.collect_list(F.struct("step", "loss", "eval_loss", "eval_map")).alias("log_history"),
+        F.collect_list(F.struct("step", "loss", "eval_loss", F.col("eval_map").alias("eval_MAP@3"))).alias("log_history"),
     )
 
 
 @query(
     RUN_STATE_SQL
-    + """ select l.run_id, p.best_step, p.best_metric, 3.0::double as epoch, p.global_step, l.step, l.loss, l.eval_loss, l.eval_map
+    + """ select l.run_id, p.best_step, p.best_metric, 3.0::double as epoch, p.global_step, l.step, l.loss, l.eval_loss, l.eval_map as "eval_MAP@3"
          from run_logs l join parts p on p.run_id = l.run_id and p.part = l.step // 100""",
     "run_logs",
 )
@@ -169,6 +192,23 @@ def read_run_logs(spark, sf):
     return scores.read_run_logs(spark, path, multi_line=False)
 
 
+@query(
+    RUN_STATE_SQL
+    + """, e as (select l.run_id, round(l.step * 3.0::double / p.global_step, 9) as epoch, l.step, l.loss, l.eval_loss, l.eval_map
+           from run_logs l join parts p on p.run_id = l.run_id and p.part = l.step // 100)
+         select run_id, epoch, step, 'loss' as type, loss as value, 'loss' as facet from e
+         union all select run_id, epoch, step, 'eval_loss', eval_loss, 'loss' from e
+         union all select run_id, epoch, step, 'eval_MAP@3', eval_map, 'MAP@3' from e""",
+    "run_logs",
+)
+def learning_curve_of_files(spark, sf):
+    """A metric that only the files name becomes a part of the curve."""
+    path = scratch_path(spark, "run-states")
+    run_states(spark, sf).drop("part").write.json(path)
+    curve = runs.learning_curve(scores.read_run_logs(spark, path, multi_line=False))
+    return curve.withColumn("epoch", F.round("epoch", 9))
+
+
 @query(f"select {QUESTION_COLUMNS}, page_title from questions", "questions")
 def write_and_read_csv(spark, sf):
     return sources.read_csv(spark, stored_questions(spark, sf)).withColumn("id", F.col("id").cast("long"))
@@ -193,14 +233,16 @@ BUNDLE_SQL = """
     top as (select split, max(id) + 1 as first from parted group by split)
     select split, id, prompt, A, B, C, D, E, answer from parted
     union all select 'train', n.id + first, prompt, A, B, C, D, E, answer from numbered n join top on split = 'train'
-    union all select 'valid', n.id + first, prompt, A, B, C, D, E, answer from numbered n join top on split = 'valid'"""
+    union all select 'valid', n.id + first, prompt, A, B, C, D, E, answer from numbered n join top on split = 'valid'
+    union all select 'test', id, prompt, A, B, C, D, E, null from questions"""
 
 
 @query(BUNDLE_SQL, "questions")
 def question_bundle(spark, sf):
     extra = sources.read_extra_questions(spark, stored_questions(spark, sf), order="content")
     first = ops.canonical_columns(base.questions(spark, sf), "train")
-    return question_sets.question_bundle(first, [extra], [extra], test_size=0.2, seed=42).drop("position")
+    asked = ops.canonical_columns(base.questions(spark, sf), "test")
+    return question_sets.question_bundle(first, [extra], [extra], test_size=0.2, seed=42, test=asked).drop("position")
 
 
 @query("select lang, count(*) as n from documents group by lang")
@@ -355,7 +397,7 @@ def length_quantiles(spark, sf):
 @query(
     f"""lens as (select {words_sql("'{head}' || context || chr(10) || chr(10) || 'Question:' || chr(10) || prompt || chr(10) || chr(10) || 'Proposed answer:'")}
            + greatest({', '.join(words_sql(c) for c in LETTERS)}) + 2 as n from context_questions)
-       select least(max(n), 4096)::bigint as max_length, ceil(least(max(n), 4096) / 512.0)::bigint as n_batches from lens""".replace(
+       select max(n)::bigint as max_length, ceil(max(n) / 512.0)::bigint as n_batches from lens""".replace(
         "{head}",
         "Below is an instruction that describes a task, paired with an input that provides further context. Write a response that "
         "appropriately completes the request. ### Instruction: Your task is to analyze the question and answer below. If the answer "

@@ -44,8 +44,8 @@ def best_and_latest_checkpoint(spark, sf):
 
 
 @query(
-    FACTS + """, e as (select run_id, step, round(step * epoch / global_step, 9) as epoch, eval_loss as value from facts where eval_loss is not null)
-      select run_id, 'best' as save_point, step, epoch, value from e qualify row_number() over (partition by run_id order by value, step) = 1
+    FACTS + """, e as (select run_id, step, round(step * epoch / global_step, 9) as epoch, eval_loss as value from facts)
+      select run_id, 'best' as save_point, step, epoch, value from e where value is not null qualify row_number() over (partition by run_id order by value, step) = 1
       union all (select run_id, 'latest', step, epoch, value from e qualify row_number() over (partition by run_id order by step desc) = 1)""",
     "run_logs run_facts",
 )
@@ -68,10 +68,10 @@ def pending_now(spark, sf):
 
 
 SPELLS = """
-    marked as (select ref, snapshot_ts, case when snapshot_ts = lag(snapshot_ts) over (partition by ref order by snapshot_ts) + interval 1 hour
-                 then 0 else 1 end as fresh from polls),
-    numbered as (select ref, snapshot_ts, sum(fresh) over (partition by ref order by snapshot_ts) as spell from marked),
-    spells as (select ref, min(snapshot_ts) as submitted_at, max(snapshot_ts) + interval 1 hour as completed_at from numbered group by ref, spell)"""
+    ranked as (select ref, snapshot_ts, dense_rank() over (order by snapshot_ts) as poll_no from polls),
+    islands as (select *, poll_no - row_number() over (partition by ref order by poll_no) as island from ranked),
+    ends as (select ref, min(snapshot_ts) as submitted_at, max(poll_no) + 1 as gone_no from islands group by ref, island),
+    spells as (select e.ref, submitted_at, r.snapshot_ts as completed_at from ends e join (select distinct poll_no, snapshot_ts from ranked) r on r.poll_no = gone_no)"""
 
 SPELL_COLUMNS = """ref, submitted_at::varchar as submitted_at, completed_at::varchar as completed_at,
     cast(date_diff('second', submitted_at, completed_at) as bigint) as elapsed_s"""
@@ -83,7 +83,7 @@ def spell_rows(df):
     )
 
 
-@query(SPELLS + f" select {SPELL_COLUMNS} from spells where completed_at <= (select max(snapshot_ts) from polls)", "polls")
+@query(SPELLS + f" select {SPELL_COLUMNS} from spells", "polls")
 def completed_transitions(spark, sf):
     return spell_rows(status.completed_transitions(polls(spark, sf)))
 
@@ -110,7 +110,7 @@ def stream_pending_counts(spark, sf):
 
 
 @query(
-    SPELLS + f" select {SPELL_COLUMNS} from spells where completed_at + interval 1 second <= (select max(snapshot_ts) - interval 1 hour from polls)",
+    SPELLS + f" select {SPELL_COLUMNS} from spells where completed_at <= (select max(snapshot_ts) - interval 1 hour from polls)",
     "polls",
 )
 def stream_completed(spark, sf):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from askframe.catalog import base
 from askframe.catalog.base import query, table, words_sql
-from askframe.cluster import stored
 from askframe.fixed_values import LETTERS, NUMBERED_FAMILIES, PREFIX_TEXT, PROMPT_TEXTS
 from askframe.functions.prompts import prompt_kind
 from askframe.functions.text import budget_sentences as budget_sentences_of
@@ -81,13 +80,8 @@ def template_sql(with_answer: bool) -> str:
 
 
 def all_templates(spark, sf, with_answer: bool):
-    questions, out = stored(base.context_questions(spark, sf), "context-questions"), None
-    for family, number in PROMPT_TEXTS:
-        df = prompts.render_prompt(questions, family, number, with_answer)
-        letter = F.col("letter") if "letter" in df.columns else F.lit("-")
-        df = df.select(F.lit(family).alias("family"), F.lit(number).alias("prompt_id"), "id", letter.alias("letter"), "text")
-        out = df if out is None else out.unionByName(df)
-    return out
+    found = prompts.render_all(base.context_questions(spark, sf), with_answer)
+    return found.withColumn("letter", F.coalesce("letter", F.lit("-")))
 
 
 @query(template_sql(True), "context_questions")
@@ -100,11 +94,11 @@ def render_prompt_for_scoring(spark, sf):
     return all_templates(spark, sf, False)
 
 
-ROTATION = [key for key in PROMPT_TEXTS if not prompt_kind(*key)["yes_no_answer"]]
+ROTATION = list(PROMPT_TEXTS)
 
 
 def rotated_questions(spark, sf):
-    """Every question names one of the letter and text templates."""
+    """Every question names one of the templates."""
     slot = F.pmod(F.col("id"), F.lit(len(ROTATION))).cast("int") + 1
     return (
         base.context_questions(spark, sf)
@@ -124,22 +118,23 @@ NUMBER_SQL = rotation_sql(", ".join(str(n) for _, n in ROTATION))
 @query(
     f"named as (select id, {FAMILY_SQL} as family, {NUMBER_SQL}::int as prompt_id from context_questions), "
     f"texts as ({template_sql(True)}) "
-    "select n.id, n.family, n.prompt_id, t.text from named n join texts t on t.id = n.id and t.family = n.family and t.prompt_id = n.prompt_id",
+    "select n.id, n.family, n.prompt_id, t.letter, t.text from named n join texts t on t.id = n.id and t.family = n.family and t.prompt_id = n.prompt_id",
     "context_questions",
 )
 def render_by_template(spark, sf):
-    return prompts.render_by_template(rotated_questions(spark, sf), True).select("id", "family", "prompt_id", "text")
+    found = prompts.render_by_template(rotated_questions(spark, sf), True)
+    return found.select("id", "family", "prompt_id", F.coalesce("letter", F.lit("-")).alias("letter"), "text")
 
 
-KIND_ROWS = ", ".join(
-    f"({quoted(f)}, {n}::int, {', '.join(str(v).lower() for v in prompt_kind(f, n).values())})" for f, n in PROMPT_TEXTS
-)
+TEMPLATE_ROWS = ", ".join(f"({quoted(f)}, {n}::int, {quoted(text)})" for (f, n), text in PROMPT_TEXTS.items())
 
 
 @query(
-    f"named as (select id, {FAMILY_SQL} as family, {NUMBER_SQL}::int as prompt_id from context_questions) "
-    f"select n.id, n.family, n.prompt_id, letter_answer, text_answer, yes_no_answer, with_context from named n join (values {KIND_ROWS}) "
-    "as k(family, prompt_id, letter_answer, text_answer, yes_no_answer, with_context) on k.family = n.family and k.prompt_id = n.prompt_id",
+    f"""named as (select id, {FAMILY_SQL} as family, {NUMBER_SQL}::int as prompt_id from context_questions)
+       select id, family, prompt_id, contains(template, '{{answer}}') as letter_answer,
+         contains(template, '{{answer_text}}') and not contains(template, '{{yes_or_no}}') as text_answer,
+         contains(template, '{{yes_or_no}}') as yes_no_answer, contains(template, '{{context}}') as with_context
+       from named join (values {TEMPLATE_ROWS}) as k(family, prompt_id, template) using (family, prompt_id)""",
     "context_questions",
 )
 def prompt_kinds(spark, sf):
@@ -171,14 +166,11 @@ def pair_text(spark, sf):
 
 
 def truncated_sql(limit: int) -> str:
-    first, second = (
-        f"case when {words_sql('second')} >= {limit} then substr({half}, 1, 1000) else {half} end" for half in ("first", "second")
-    )
     return f"""pairs as ({PAIRS_SQL}),
-      halves as (select id, letter, label, {first} as first, {second} as second from pairs),
-      rooms as (select *, greatest({limit} - {words_sql('second')}, 0) as room from halves)
-      select id, letter, label, second, case when {words_sql('first')} <= room then first else
-        array_to_string(list_slice(regexp_extract_all(first, '{base.WORD_SQL}'), 1, room), ' ') end as first from rooms"""
+      rooms as (select *, {limit} - {words_sql('second')} as room from pairs),
+      marked as (select *, room > 0 and {words_sql('first')} > room as cut, room <= 0 as no_room from rooms)
+      select id, letter, label, second, cut, no_room, case when cut then
+        array_to_string(list_slice(regexp_extract_all(first, '{base.WORD_SQL}'), 1, room), ' ') else first end as first from marked"""
 
 
 @query(truncated_sql(120), "context_questions")

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
@@ -88,11 +88,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _in_order(df: DataFrame, order: list[Column]) -> tuple[DataFrame, Column, Column]:
+    """``df`` sorted over range partitions and stored; a row's partition, and its place there.
+
+    Partition and place are written with the row, so every later look, and any
+    retry after a lost executor, sees the same ones.
+    """
+    ranged = df.repartitionByRange(task_count(df.sparkSession), *order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumn("_place", F.monotonically_increasing_id()), "in-order")
+    return placed, F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def _before(placed: DataFrame, part: Column, value: Column) -> Column:
+    """Sum of ``value`` over all partitions before the row's own: one number a partition, whatever the rows."""
+    totals = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.sum(value).alias("n")).collect()}
+    offsets, total = [], 0
+    for i in range(max(totals, default=-1) + 1):
+        offsets.append(total)
+        total += totals.get(i) or 0
+    return F.element_at(F.lit(offsets or [0]), part.cast("int") + 1)
+
+
 def with_row_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add a 0-based position in the total order given by ``order``.
 
-    A range-partitioned sort numbers every task's rows from the sizes of the
-    tasks before it, so no task ever holds the whole table.  ``order`` must be
-    unique for a reproducible result.
+    Rows are sorted over range partitions; each counts its own rows, and the
+    counts of those before it are added.  No task ever holds the whole table.
+    ``order`` must be unique for a reproducible result.
     """
-    return df.orderBy(*order).pandas_api().to_spark(index_col=name)
+    placed, part, place = _in_order(df, order)
+    return placed.withColumn(name, _before(placed, part, F.lit(1)) + place).drop("_place")
+
+
+def with_running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows up to and with this one, in the total order given by ``order``."""
+    placed, part, _ = _in_order(df, order)
+    upto = Window.partitionBy(part).orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn(name, _before(placed, part, value) + F.sum(value).over(upto)).drop("_place")

@@ -39,16 +39,24 @@ def fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def prompt_column(family: str, prompt_id: int, with_answer: bool) -> Column:
-    """Prompt of one template over question columns (or unpivoted columns for yes/no kinds)."""
+def prompt_column(family: str, prompt_id: int, with_answer: bool, letter: str | None = None) -> Column:
+    """Prompt of one template over question columns.
+
+    Yes/no kinds ask about one option: that of ``letter``, or of unpivoted columns.
+    """
     kind = prompt_kind(family, prompt_id)
     blank = F.lit("")
     values = {"prompt": F.col("prompt")}
     if kind["with_context"]:
         values["context"] = F.col("context")
     if kind["yes_no_answer"]:
-        values["answer_text"] = F.col("answer_text")
-        values["yes_or_no"] = F.col("yes_or_no") if with_answer else blank
+        values["answer_text"] = F.col(letter or "answer_text")
+        if not with_answer:
+            values["yes_or_no"] = blank
+        elif letter:
+            values["yes_or_no"] = F.when(F.col("answer") == letter, "yes").otherwise("no")
+        else:
+            values["yes_or_no"] = F.col("yes_or_no")
     elif kind["text_answer"]:
         values["answer_text"] = answer_text() if with_answer else blank
     else:
@@ -62,6 +70,13 @@ def prompt_column(family: str, prompt_id: int, with_answer: bool) -> Column:
     return fill(PROMPT_TEXTS[family, prompt_id], values)
 
 
+def prompt_rows(family: str, prompt_id: int, with_answer: bool) -> Column:
+    """All prompts of one template for a question, ``(letter, text)``: one without letter, or one per option."""
+    letters = LETTERS if prompt_kind(family, prompt_id)["yes_no_answer"] else [None]
+    rows = [F.struct(F.lit(c).cast("string").alias("letter"), prompt_column(family, prompt_id, with_answer, c).alias("text")) for c in letters]
+    return F.array(*rows)
+
+
 def shared_prefix() -> Column:
     return fill(PREFIX_TEXT, {"context": F.col("context"), "prompt": F.col("prompt")})
 

@@ -42,29 +42,26 @@ def map_at_k(df: DataFrame, keys: list[str], k: int = 10, reduction: str | None
     return scored.groupBy(*keys).agg(F.avg("ap").alias("map_at_k"))
 
 
-def _every_key(rows: DataFrame, answers: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
-    """``found`` for every key in ``rows``, with the number of answered questions as ``total``."""
-    all_keys = rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    same = [found[k].eqNullSafe(all_keys[f"_{k}"]) for k in keys]
-    values = [c for c in found.columns if c not in keys]
-    total = answers.agg(F.count("*")).scalar()
-    return all_keys.join(found, same, "left").select(*[F.col(f"_{k}").alias(k) for k in keys], *values, total.alias("total"))
+def _with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every row with ``right``: whether its letter is the answer; false where the question has none."""
+    asked = answers.select("id", F.col("answer").alias("_answer"))
+    right = F.coalesce(F.col("letter") == F.col("_answer"), F.lit(False))
+    return rows.join(asked, "id", "left").withColumn("right", right).drop("_answer")
 
 
 def hits_report(ranked: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Hits at ranks 1 to 3, accuracy and MAP@3 in percent, per ``keys``.
+    """Hits at ranks 1 to 3, accuracy and MAP@3 in percent, per ``keys``; one row in all without keys.
 
-    ``ranked`` is ``(keys, id, letter, rank)``.  Only the right letter's row of
-    each question is kept, so the sums are taken inside each task.  Every
-    answered question counts in the total of every key, as a miss where its
-    right letter has no row.
+    ``ranked`` is ``(keys, id, letter, rank)``.  One pass counts hits inside each
+    task.  Every answered question counts in the total of every key, as a miss
+    where its right letter has no row.  Without answers the shares are null.
     """
-    right = ranked.join(answers.select("id", F.col("answer").alias("letter")), ["id", "letter"])
-    found = right.groupBy(*keys).agg(*[F.count_if(F.col("rank") == r).alias(f"top{r}") for r in (1, 2, 3)])
-    report = _every_key(ranked, answers, keys, found).fillna(0, ["top1", "top2", "top3"])
+    total = answers.agg(F.count("*")).scalar()
+    hit = [F.count_if(F.col("right") & (F.col("rank") == r)).alias(f"top{r}") for r in (1, 2, 3)]
+    report = _with_answers(ranked, answers).groupBy(*keys).agg(*hit).withColumn("total", total)
     hits = F.col("top1") + F.col("top2") / 2 + F.col("top3") / 3
-    return report.withColumn("accuracy_pct", F.round(100.0 * F.col("top1") / F.col("total"), 6)).withColumn(
-        "map3_pct", F.round(100.0 * hits / F.col("total"), 6)
+    return report.withColumn("accuracy_pct", F.round(F.try_divide(100.0 * F.col("top1"), "total"), 6)).withColumn(
+        "map3_pct", F.round(F.try_divide(100.0 * hits, F.col("total")), 6)
     )
 
 
@@ -78,16 +75,18 @@ def report_first_and_all(ranked_flagged: DataFrame, answers: DataFrame, keys: li
 
 
 def log_loss(probs: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of ``-ln p`` of the right letter, with p kept off 0 and 1.
+    """Mean of ``-ln p`` of the right letter, with p kept off 0 and 1; one row in all without keys.
 
     A question whose right letter has no row counts with the smallest p.
+    Without answers the loss is null.
     """
-    right = probs.join(answers.select("id", F.col("answer").alias("letter")), ["id", "letter"])
+    total = answers.agg(F.count("*")).scalar()
     p = F.least(F.greatest(F.col("prob"), F.lit(PROB_FLOOR)), F.lit(1 - PROB_FLOOR))
-    found = right.groupBy(*keys).agg(F.sum(-F.log(p)).alias("loss"), F.count("*").alias("n"))
-    report = _every_key(probs, answers, keys, found).fillna(0, ["loss", "n"])
-    missed = (F.col("total") - F.col("n")) * -math.log(PROB_FLOOR)
-    return report.select(*keys, ((F.col("loss") + missed) / F.col("total")).alias("log_loss"))
+    found = _with_answers(probs, answers).groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(F.col("right"), -F.log(p))), F.lit(0.0)).alias("loss"), F.count_if("right").alias("n")
+    )
+    missed = (total - F.col("n")) * -math.log(PROB_FLOOR)
+    return found.select(*keys, F.try_divide(F.col("loss") + missed, total).alias("log_loss"))
 
 
 def wide_models(probs: DataFrame, models: list) -> DataFrame:

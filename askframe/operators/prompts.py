@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from askframe.fixed_values import (
     LETTERS,
     PAIR_CONTEXT_MARK,
-    PAIR_FALLBACK_CHARS,
     PAIR_QUESTION_MARK,
     PAIR_SEPARATOR,
     PROMPT_TEXTS,
 )
 from askframe.functions.letters import letter_to_index
-from askframe.functions.prompts import option_suffixes, prompt_column, prompt_kind, shared_prefix
+from askframe.functions.prompts import option_suffixes, prompt_column, prompt_kind, prompt_rows, shared_prefix
 from askframe.functions.text import word_count, words
 from askframe.operators.questions import drop_incomplete, unpivot_options
 from askframe.operators.sentences import context_word_budget
@@ -51,22 +50,32 @@ def with_prompt_kind(df: DataFrame) -> DataFrame:
 
 
 def render_by_template(df: DataFrame, with_answer: bool) -> DataFrame:
-    """Fill the template each row names; question columns serve letter and text kinds.
+    """Fill the template each row names; a yes/no kind gives a row per option, with its ``letter``.
 
-    A template that is unknown, or asks yes or no for each option, fails the job.
-
-    The template is a choice among constant texts, so the join to the template
-    table is folded into one expression and no row moves.
+    An unknown template fails the job.  The template is a choice among constant
+    texts, so the join to the template table is folded into one expression.
     """
     chosen = None
     for family, prompt_id in PROMPT_TEXTS:
-        if prompt_kind(family, prompt_id)["yes_no_answer"]:
-            continue
         match = (F.col("family") == family) & (F.col("prompt_id") == prompt_id)
-        text = prompt_column(family, prompt_id, with_answer)
-        chosen = F.when(match, text) if chosen is None else chosen.when(match, text)
-    other = F.raise_error(F.concat_ws(" ", F.lit("no question template"), "family", F.col("prompt_id").cast("string")))
-    return df.withColumn("text", chosen.otherwise(other.cast("string")))
+        rows = prompt_rows(family, prompt_id, with_answer)
+        chosen = F.when(match, rows) if chosen is None else chosen.when(match, rows)
+    other = F.raise_error(F.concat_ws(" ", F.lit("unknown template"), "family", F.col("prompt_id").cast("string")))
+    found = df.withColumn("_rows", chosen.otherwise(other.cast("array<struct<letter: string, text: string>>")))
+    return found.withColumn("_row", F.explode("_rows")).withColumns({"letter": F.col("_row.letter"), "text": F.col("_row.text")}).drop("_rows", "_row")
+
+
+def render_all(df: DataFrame, with_answer: bool, templates=PROMPT_TEXTS) -> DataFrame:
+    """Every template for every complete question, ``(family, prompt_id, id, letter, text)``, in one look at the questions."""
+
+    def named(family: str, prompt_id: int) -> Column:
+        def row(r: Column) -> Column:
+            return F.struct(F.lit(family).alias("family"), F.lit(prompt_id).alias("prompt_id"), r["letter"].alias("letter"), r["text"].alias("text"))
+
+        return F.transform(prompt_rows(family, prompt_id, with_answer), row)
+
+    each = [named(*key) for key in templates]
+    return drop_incomplete(df).select("id", F.inline(F.concat(*each))).select("family", "prompt_id", "id", "letter", "text")
 
 
 def prefix_suffixes(df: DataFrame) -> DataFrame:
@@ -89,16 +98,13 @@ def pair_text(df: DataFrame) -> DataFrame:
 
 
 def truncate_first_only(df: DataFrame, max_len: int) -> DataFrame:
-    """Shorten only ``first`` until both halves have at most ``max_len`` words.
+    """Shorten only ``first`` until both halves have at most ``max_len`` words; ``cut`` says where.
 
-    Where ``second`` alone leaves no room, both are first cut to a fixed number
-    of characters.
+    Where ``second`` alone leaves no room, nothing is cut and ``no_room`` is true:
+    the pair is longer than asked for, and the caller decides about it.
     """
-    hopeless = word_count(F.col("second")) >= max_len
-    for half in ("first", "second"):
-        df = df.withColumn(f"_{half}", F.when(hopeless, F.substring(half, 1, PAIR_FALLBACK_CHARS)).otherwise(F.col(half)))
-    df = df.drop("first", "second").withColumnsRenamed({"_first": "first", "_second": "second"})
-    room = F.greatest(F.lit(max_len) - word_count(F.col("second")), F.lit(0))
-    fits = word_count(F.col("first")) <= room
-    cut = F.array_join(F.slice(words(F.col("first")), F.lit(1), room), " ")
-    return df.withColumn("first", F.when(fits, F.col("first")).otherwise(cut))
+    room = F.lit(max_len) - word_count(F.col("second"))
+    no_room = F.coalesce(room <= 0, F.lit(False))
+    too_long = F.coalesce(~no_room & (word_count(F.col("first")) > room), F.lit(False))
+    shorter = F.array_join(F.slice(words(F.col("first")), F.lit(1), F.greatest(room, F.lit(0))), " ")
+    return df.withColumns({"cut": too_long, "no_room": no_room}).withColumn("first", F.when(F.col("cut"), shorter).otherwise(F.col("first")))

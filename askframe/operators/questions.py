@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askframe.cluster import with_row_index
+from askframe.cluster import broadcast_when, is_small, with_row_index
 from askframe.fixed_values import LETTERS
 from askframe.functions.text import word_count
+from askframe.operators.selection import hash_key, nth_smallest
 
 
 def canonical_columns(df: DataFrame, mode: str, with_context: bool = False) -> DataFrame:
@@ -39,6 +42,20 @@ def checked_rows(df: DataFrame, expected: int) -> DataFrame:
     return df.filter(holds(True)).unionByName(empty)
 
 
+def non_empty(df: DataFrame, what: str) -> DataFrame:
+    """Pass rows through; fail the job when there are none."""
+    found = row_count(df)
+    fails = F.when(found > 0, F.lit(False)).otherwise(F.raise_error(F.lit(f"no rows in {what}")).cast("boolean"))
+    no_row = df.sparkSession.range(1).filter(fails)
+    return df.unionByName(no_row.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows whose id is listed; a short list of checked size is broadcast, so the table is not shuffled for it."""
+    listed = ids.select(id_col).distinct()
+    return df.join(broadcast_when(listed, is_small(listed)), id_col, "left_semi")
+
+
 def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
@@ -104,12 +121,21 @@ def seeded_shuffle(df: DataFrame, seed: int = 42, id_col: str = "id") -> DataFra
 
 
 def seeded_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """Add ``split``: exactly ``ceil(n * test_size)`` rows are ``valid``, the rest ``train``."""
+    """Add ``split``: exactly ``ceil(n * test_size)`` rows are ``valid``, the rest ``train``.
+
+    Those are the first rows of the seeded shuffle.  The last of them is found
+    by counting, so the table is neither sorted nor shuffled, and a row's part
+    follows from its own id.  Rows that repeat an id go the same way.
+    """
     if test_size in (0, 1):
         return df.withColumn("split", F.lit("valid" if test_size == 1 else "train"))
-    cut = F.ceil(row_count(df) * F.lit(float(test_size)))
-    placed = seeded_shuffle(df, seed, id_col)
-    return placed.withColumn("split", F.when(F.col("position") < cut, "valid").otherwise("train")).drop("position")
+    cut = math.ceil(df.count() * float(test_size))
+    key = _shuffle_key(seed, id_col)
+    last = nth_smallest(df, hash_key(key), [key, F.col(id_col)], cut - 1) if cut else None
+    if last is None:
+        return df.withColumn("split", F.lit("train"))
+    first = (key < last[0]) | ((key == last[0]) & (F.col(id_col) <= last[1]))
+    return df.withColumn("split", F.when(first, "valid").otherwise("train"))
 
 
 def head_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -175,9 +201,10 @@ def length_quantiles(df: DataFrame, length: Column, probs=(0, 0.5, 0.75, 0.9, 0.
     )
 
 
-def batch_plan(df: DataFrame, prefix: Column, suffix: Column, cap: int = 4096, step: int = 512) -> DataFrame:
-    """Longest prefix + suffix length, capped, and the number of batches for it."""
-    longest = F.least(F.max(prefix + suffix), F.lit(cap))
+def batch_plan(df: DataFrame, prefix: Column, suffix: Column, cap: int | None = None, step: int = 512) -> DataFrame:
+    """Longest prefix + suffix length, and the number of batches for it; ``cap`` limits both where asked for."""
+    longest = F.max(prefix + suffix)
+    longest = longest if cap is None else F.least(longest, F.lit(cap))
     return df.agg(longest.cast("long").alias("max_length")).withColumn(
         "n_batches", F.ceil(F.col("max_length") / step)
     )

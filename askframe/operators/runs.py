@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.fixed_values import NON_METRIC_COLUMNS
@@ -33,28 +33,28 @@ def learning_curve(logs: DataFrame) -> DataFrame:
     return long.withColumn("facet", facet)
 
 
+def _best_step(logs: DataFrame) -> Column:
+    """The run's own best step where its state tells one, else the step with the lowest evaluation loss (earliest on ties)."""
+    lowest = F.min_by("step", F.when(F.col("eval_loss").isNotNull(), F.struct("eval_loss", "step")))
+    # The latest state of a run is the one that counts.
+    return F.coalesce(F.max_by("best_step", F.struct("global_step", "step")), lowest) if "best_step" in logs.columns else lowest
+
+
 def best_and_latest(logs: DataFrame) -> DataFrame:
-    """Per run: the last step, and the step with the lowest evaluation loss (earliest on ties)."""
-    return logs.groupBy("run_id").agg(
-        F.max("step").alias("latest_step"),
-        F.min_by("step", F.when(F.col("eval_loss").isNotNull(), F.struct("eval_loss", "step"))).alias("best_step"),
-    )
+    """Per run: the last step, and the best one."""
+    return logs.groupBy("run_id").agg(F.max("step").alias("latest_step"), _best_step(logs).alias("best_step"))
 
 
 def saved_points(logs: DataFrame) -> DataFrame:
-    """Epoch and evaluation loss at each run's best and latest evaluated step."""
-    evaluated = logs.filter(F.col("eval_loss").isNotNull()).withColumn(
-        "at_epoch", F.col("step") * F.col("epoch") / F.col("global_step")
-    )
-    point = F.struct(F.col("step"), F.col("at_epoch").alias("epoch"), F.col("eval_loss").alias("value"))
-    per_run = evaluated.groupBy("run_id").agg(
-        F.min_by(point, F.struct("eval_loss", "step")).alias("best"), F.max_by(point, "step").alias("latest")
+    """Epoch and evaluation loss at each run's best and latest step; no loss where that step was not evaluated."""
+    points = best_and_latest(logs).select(
+        "run_id",
+        F.inline(F.array(*[F.struct(F.lit(n).alias("save_point"), F.col(f"{n}_step").alias("step")) for n in ("best", "latest")])),
     )
-    either = F.array(
-        *[
-            F.struct(F.lit(name).alias("save_point"), F.col(name)["step"].alias("step"),
-                     F.col(name)["epoch"].alias("epoch"), F.col(name)["value"].alias("value"))
-            for name in ("best", "latest")
-        ]
+    facts = logs.groupBy("run_id").agg(
+        F.max_by(F.struct("epoch", "global_step"), F.struct("global_step", "step")).alias("state")
     )
-    return per_run.select("run_id", F.inline(either))
+    losses = logs.groupBy("run_id", "step").agg(F.min("eval_loss").alias("value"))
+    at = F.col("step") * F.col("state.epoch") / F.col("state.global_step")
+    found = points.filter(F.col("step").isNotNull()).join(losses, ["run_id", "step"], "left").join(facts, "run_id")
+    return found.select("run_id", "save_point", "step", at.alias("epoch"), "value")

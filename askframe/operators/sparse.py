@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askframe.cluster import BROADCAST_ROWS, broadcast_when, is_small, spread
+from askframe.cluster import broadcast_when, stored
 from askframe.functions.text import terms
-from askframe.operators.blocks import HIT_SCHEMA, Postings, running_best, sparse_hits, whole_articles
+from askframe.operators.inverted import Questions, Weights, add_squares, build_index, document_frequencies, search_index
+
+# Terms, or query entries, that are sent to the tasks at a time: about 30 MB.
+BLOCK_TERMS = 500_000
 
 
 def occurrences(texts: DataFrame, key: str) -> DataFrame:
@@ -69,67 +71,66 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _scan_with_postings(asked: DataFrame, articles: DataFrame, idf: DataFrame, k: int) -> DataFrame:
-    """Queries of a checked size go to every task and are scored against whole articles there.
-
-    An (article, query) pair exists only as a cell of a bounded score matrix,
-    however many articles and queries share a term.  The idf table and the
-    query vectors, no longer than the checked query side, are held by the
-    driver, so a retry never fits the idf again.
-    """
-    fitted = idf.toArrow()
-    numbered = fitted.append_column("term_id", pa.array(range(fitted.num_rows), pa.int64()))
-    idf = asked.sparkSession.createDataFrame(numbered)
-
-    def weighted(occurrences: DataFrame, key: str) -> DataFrame:
-        counted = occurrences.join(F.broadcast(idf), "term").groupBy(key, "term_id", "idf").agg(F.count("*").alias("tf"))
-        return counted.select(key, "term_id", (F.col("tf") * F.col("idf")).alias("w"))
-
-    table = weighted(asked, "query_id").toArrow()
-    columns = [table.column(name).to_numpy() for name in ("query_id", "term_id", "w")]
-    shared = asked.sparkSession.sparkContext.broadcast(Postings(*columns, fitted.num_rows))
+def _strings(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([c.cast(pa.string()) for c in column.chunks] or [pa.array([], pa.string())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        postings = shared.value
-        parts = (hits for rows in whole_articles(batches) for hits in sparse_hits(postings, *rows, k))
-        yield from running_best(parts, k)
 
-    # Already hashed by article, so this adds no shuffle; it states what the scan relies on.
-    vectors = spread(weighted(occurrences(articles, "doc_id"), "doc_id"), "doc_id")
-    return vectors.sortWithinPartitions("doc_id").mapInArrow(scan, HIT_SCHEMA)
+def _weights(idf: DataFrame) -> Weights:
+    table = idf.select("term", "idf").toArrow()
+    return Weights(_strings(table.column("term")), table.column("idf").to_numpy())
 
 
-def _join_on_terms(asked: DataFrame, articles: DataFrame, idf: DataFrame) -> DataFrame:
-    """Any number of queries: vectors joined by term, where adaptive execution splits hot terms."""
-    postings = tfidf_vectors(asked, idf, "query_id").withColumnRenamed("w", "q_w")
-    return (
-        tfidf_vectors(occurrences(articles, "doc_id"), idf, "doc_id")
-        .join(postings, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("w") * F.col("q_w")).alias("score"))
-    )
+def tfidf_hits(queries: DataFrame, corpus: DataFrame, k: int = 10, block_terms: int = BLOCK_TERMS, index: DataFrame | None = None) -> DataFrame:
+    """Each task's best hits ``(query_id, doc_id, score)`` of every query; see ``tfidf_topk``.
 
-
-def tfidf_topk(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = 10,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+    A row without ``doc_id`` holds the number of scores that a task took.
+    """
+    counted = stored(occurrences(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("tf")), "query-terms")
+    vocabulary = stored(counted.select("term").distinct(), "query-vocabulary")
+    parts = max(1, -(-vocabulary.count() // block_terms))
+    if index is None:
+        # Only query terms are kept, unless there are too many to tell every task.
+        wanted = _strings(vocabulary.toArrow().column("term")) if parts == 1 else None
+        index = stored(build_index(corpus, wanted), "index")
+    n = corpus.agg(F.count("doc_id")).scalar()
+    df = F.coalesce(F.col("df"), F.lit(0))
+    weight = F.log((n + 1).cast("double") / (df + 1).cast("double")) + 1.0
+    known = vocabulary.join(document_frequencies(index), "term", "left").select("term", weight.alias("idf"))
+    idf = stored(known.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")), "query-idf")
+    for i in range(parts if parts > 1 else 0):
+        index = stored(add_squares(index, _weights(idf.filter(F.col("part") == i))), "index")
+
+    w = F.col("tf") * F.col("idf")
+    vectors = counted.join(idf.select("term", "idf"), "term").select("query_id", "term", "idf", w.alias("w"))
+    length = vectors.groupBy("query_id").agg(F.sum(F.col("w") * F.col("w")).alias("squares"), F.count("*").alias("n"))
+    length = stored(length, "query-lengths")
+    blocks = max(1, -(-(length.agg(F.sum("n")).first()[0] or 0) // block_terms))
+    length = length.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).drop("n")
+    vectors = stored(vectors.join(length, "query_id"), "query-vectors")
+    found = None
+    for b in range(blocks):
+        rows = vectors.filter(F.col("block") == b).toArrow()
+        term = _strings(rows.column("term")).dictionary_encode()
+        own = np.zeros(len(term.dictionary))
+        code = term.indices.to_numpy()
+        own[code] = rows.column("idf").to_numpy()
+        columns = [rows.column(c).to_numpy() for c in ("query_id", "w", "squares")]
+        asked = Questions(columns[0], code, columns[1], columns[2], len(own))
+        hits = search_index(index, Weights(term.dictionary, own), asked, k, add=parts == 1)
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+def tfidf_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block_terms: int = BLOCK_TERMS, index: DataFrame | None = None) -> DataFrame:
     """For each ``(query_id, text)`` the ``k`` most similar ``(doc_id, text)`` articles.
 
-    One shuffle carries the corpus: texts are hashed by article, and from there
-    on term counts, norms and scores stay in the task that holds the article,
-    which passes on only its best ``k`` per query.  The query side is broadcast
-    only if its size was checked.  Fewer than ``k`` matches give fewer than
-    ``k`` rows.
+    The corpus is turned into an inverted index where it is read, or ``index``
+    from ``build_index`` is used; no text is shuffled.  Queries and their terms go
+    to the tasks in blocks of about ``block_terms`` entries, however many there
+    are, and a task hands on its best ``k`` per query.  Fewer than ``k``
+    matches give fewer than ``k`` rows.  Every ``query_id`` is one query; rows
+    without one find nothing.  Rows without ``doc_id`` are no articles, rows
+    that repeat one are articles of their own.
     """
-    asked = occurrences(queries, "query_id")
-    small = is_small(asked, max_broadcast_rows)
-    articles = spread(corpus.select("doc_id", "text"), "doc_id")
-    vocabulary = query_vocabulary(queries)
-    if small:
-        hits = _scan_with_postings(asked, articles, idf_fit(vocabulary, corpus, small), k)
-    else:
-        hits = _join_on_terms(asked, articles, idf_fit(vocabulary, articles))
-    return top_k(hits, k)
+    asked = queries.filter(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "text")
+    return top_k(tfidf_hits(asked, corpus, k, block_terms, index).filter(F.col("doc_id").isNotNull()), k)

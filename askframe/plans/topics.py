@@ -31,9 +31,11 @@ def select_topic_corpus(
         spark,
         f"{store}/clusters",
         lambda: kmeans(scan_embeddings(paragraphs), k).select("title", "emb", "cluster_id"),
+        [paragraphs],
+        {"k": k},
     )
     # One row, then ``keep`` rows: broadcast whatever the corpus size.
     chosen = first.join(F.broadcast(seed_cluster_vote(first, seeds)), "cluster_id", "left_semi").drop("cluster_id")
-    nested = materialize(spark, f"{store}/nested", lambda: kmeans(chosen, nested_k).select("title", "cluster_id"))
+    nested = materialize(spark, f"{store}/nested", lambda: kmeans(chosen, nested_k).select("title", "cluster_id"), [first, seeds], {"k": nested_k})
     titles = nested.join(F.broadcast(clusters_by_seed_count(nested, seeds, keep)), "cluster_id", "left_semi")
     return drop_titles(keep_titles(paragraphs, titles), known)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +37,30 @@ def scan_index(spark: SparkSession, path: str, id_col: str = "id", file_col: str
     return spark.read.parquet(path).select(F.col(id_col).alias("id"), F.col(file_col).alias("file"))
 
 
-def write_fulltext(df: DataFrame, path: str) -> None:
-    """Store ``id, text`` in one folder per shard ``file``.
+# Bytes of text of one data file.
+FILE_BYTES = 128 << 20
+MANIFEST = "_manifest"
+
+
+def write_fulltext(df: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Store ``id, text`` sorted by id in one folder per shard ``file``, in data files of about ``file_bytes``.
 
-    Rows are spread over (shard, id bucket), so a shard holding a third of the
-    corpus is still written by many tasks.
+    Ranges of (shard, id) are written by a task each, so a shard holding a third of
+    the corpus is many files with ranges of their own.  A manifest beside them
+    names each file's first and last id.
     """
-    buckets = 16
-    keyed = df.select("id", "text", "file").withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    keyed.repartition("file", "_bucket").drop("_bucket").write.partitionBy("file").parquet(path)
+    rows = df.select("id", "text", "file")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, math.ceil(size / file_bytes))
+    rows.repartitionByRange(n, "file", "id").sortWithinPartitions("file", "id").write.partitionBy("file").parquet(path)
+    named = df.sparkSession.read.schema(_schema(df)).parquet(path).select("file", "id", F.col("_metadata.file_path").alias("data_file"))
+    held = named.groupBy("file", "data_file").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    held.coalesce(1).write.parquet(f"{path}/{MANIFEST}")
+
+
+def _schema(df: DataFrame) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in ("id", "text", "file"))
 
 
 def ids_per_file(hits: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
@@ -54,16 +74,44 @@ def ids_per_file(hits: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     return placed.groupBy("file", chunk).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def files_holding(spark: SparkSession, path: str, wanted: DataFrame) -> list[str]:
+    """Data files whose range of ids has one of ``(file, id)``; the manifest, one row a data file, is all that is read."""
+    manifest = spark.read.parquet(f"{path}/{MANIFEST}").orderBy("file", "low", "high").toArrow()
+    ranges: dict = {}
+    for file, name, low, high in zip(*(manifest.column(c).to_pylist() for c in ("file", "data_file", "low", "high"))):
+        ranges.setdefault(file, []).append((low, high, name))
+    shared = spark.sparkContext.broadcast(ranges)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
+        for batch in batches:
+            for file, ident in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = shared.value.get(file, [])
+                # Ranges are in order and meet at most in an id that one file ends and the next begins with.
+                at = bisect_left(own, ident, key=lambda r: r[1])
+                while at < len(own) and own[at][0] <= ident:
+                    found.add(own[at][2])
+                    at += 1
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["data_file"])
+
+    names = wanted.select("file", "id").filter("file is not null and id is not null").mapInArrow(find, "data_file string")
+    return sorted(r["data_file"] for r in names.distinct().collect())
+
+
 def scan_fulltext(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
-    """Texts of the wanted articles only.
+    """Texts of the wanted articles only; no data file is opened that cannot hold one.
 
-    ``hits`` names ``(id, file)``.  It is stored first, so that a short list is
-    broadcast by its known size, which also prunes the shard folders at run time.
+    ``hits`` names ``(id, file)``.  It is stored first: its files are looked up in
+    the manifest, and a short list is broadcast by its known size.
     """
     wanted = stored(hits.select("id", "file").distinct(), "wanted")
-    # True for every shard name: Spark prunes at run time only by a side with a comparison.
-    wanted = wanted.filter(F.col("file") >= "")
-    return spark.read.parquet(path).join(wanted, ["file", "id"], "left_semi").select("id", "text")
+    paths = files_holding(spark, path, wanted)
+    manifest = spark.read.parquet(f"{path}/{MANIFEST}").schema
+    schema = f"id {manifest['low'].dataType.simpleString()}, text string, file {manifest['file'].dataType.simpleString()}"
+    if not paths:
+        return spark.createDataFrame([], schema).select("id", "text")
+    texts = spark.read.schema(schema).option("basePath", path).parquet(*paths)
+    return texts.join(wanted, ["file", "id"], "left_semi").select("id", "text")
 
 
 def scan_embeddings(df: DataFrame, paragraph_id: int = 0) -> DataFrame:

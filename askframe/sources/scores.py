@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askframe.cluster import with_row_index
 from askframe.fixed_values import LETTERS
 from askframe.sources.questions import PLACE, read_in_place
 
-RUN_STATE_SCHEMA = """
-    best_model_checkpoint string, best_metric double, epoch double, global_step long,
-    log_history array<struct<step: long, loss: double, eval_loss: double, eval_map: double>>
-"""
+# Facts of a run's state, and what every logged step has; evaluation metrics are found in the logs.
+STATE_FACTS = {"best_model_checkpoint": "string", "best_metric": "double", "epoch": "double", "global_step": "long"}
+STEP_FACTS = {"step": "long", "loss": "double"}
 
 
 def read_model_probs(
@@ -42,17 +41,38 @@ def read_model_probs(
     return raw.unpivot(["model_id", "id"], list(LETTERS), "letter", "prob")
 
 
-def read_run_logs(
-    spark: SparkSession, path: str, multi_line: bool = True, schema: str = RUN_STATE_SCHEMA
-) -> DataFrame:
-    """One row per logged step of every run state, with the state's own facts alongside."""
-    state = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+def _states(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """One row per logged step: the state's facts, and the step as ``log``, a map of variants by name."""
+    raw = spark.read.option("multiLine", str(multi_line).lower()).option("singleVariantColumn", "state").json(path)
+    facts = [F.try_variant_get("state", f"$.{name}", kind).alias(name) for name, kind in STATE_FACTS.items()]
+    history = F.try_variant_get("state", "$.log_history", "array<variant>")
+    return raw.select(*facts, F.explode(history).alias("log")).withColumn("log", F.col("log").cast("map<string, variant>"))
+
+
+def logged_metrics(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+    """Names of all evaluation values in any step of any state; one name a task and metric is shuffled."""
+    names = _states(spark, path, multi_line).select(F.explode(F.map_keys("log")).alias("name")).filter(F.col("name").startswith("eval_"))
+    return sorted(r["name"] for r in names.distinct().collect())
+
+
+def read_run_logs(spark: SparkSession, path: str, multi_line: bool = True, metrics: list[str] | None = None) -> DataFrame:
+    """One row per logged step of every run state, with the state's own facts and every metric alongside.
+
+    Without ``metrics`` a first pass finds the names, so a metric that only one
+    step of one run has becomes a column.  Values that are no numbers are null.
+    """
+    found = logged_metrics(spark, path, multi_line) if metrics is None else metrics
+    names = {**STEP_FACTS, "eval_loss": "double", **{name: "double" for name in found}}
     checkpoint = F.col("best_model_checkpoint")
-    return state.select(
+
+    def value(name: str, kind: str) -> Column:
+        return F.try_variant_get(F.try_element_at("log", F.lit(name)), F.lit("$"), kind).alias(name)
+
+    return _states(spark, path, multi_line).select(
         F.regexp_extract(checkpoint, r"([^/]+)/checkpoint-\d+$", 1).alias("run_id"),
-        F.regexp_extract(checkpoint, r"checkpoint-(\d+)$", 1).cast("long").alias("best_step"),
+        F.regexp_extract(checkpoint, r"checkpoint-(\d+)$", 1).try_cast("long").alias("best_step"),
         "best_metric",
         "epoch",
         "global_step",
-        F.explode("log_history").alias("log"),
-    ).select("run_id", "best_step", "best_metric", "epoch", "global_step", "log.*")
+        *[value(name, kind) for name, kind in names.items()],
+    )

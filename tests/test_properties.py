@@ -6,13 +6,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from askframe.cluster import spread, with_row_index
+from askframe.cluster import spread, stored, with_row_index, with_running_total
 from askframe.fixed_values import STOP_WORDS
 from askframe.functions import text as tx
-from askframe.operators import blend, clusters, dense, questions, scoring, sparse, status
+from askframe.operators import blend, clusters, dense, inverted, questions, scoring, selection, sparse, status
+from askframe.operators.inverted import build_index
 from askframe.sources.corpus import ids_per_file, scan_corpus
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa it's a/b x.y".split()
@@ -31,12 +33,13 @@ def brute_terms(text):
     return tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
 
 
-def brute_tfidf(queries, docs, k):
+def brute_tfidf(queries, docs, k, n=None):
     q = [Counter(brute_terms(t)) for t in queries]
     vocab = set().union(*q)
+    n = len(docs) if n is None else n
     d = [Counter(x for x in brute_terms(t) if x in vocab) for t in docs]
     fit = d
-    idf = {t: math.log((1 + len(fit)) / (1 + sum(t in x for x in fit))) + 1 for t in vocab}
+    idf = {t: math.log((1 + n) / (1 + sum(t in x for x in fit))) + 1 for t in vocab}
 
     def unit(c):
         w = {t: n * idf[t] for t, n in c.items()}
@@ -61,14 +64,64 @@ def texts():
     return random_texts(12, 1), random_texts(90, 2)
 
 
-@pytest.mark.parametrize("max_broadcast", [500_000, 0])
-def test_tfidf_equals_brute_force(spark, texts, max_broadcast):
+@pytest.mark.parametrize("block_terms", [500_000, 60])
+def test_tfidf_equals_brute_force(spark, texts, block_terms):
     queries, docs = texts
-    got = sparse.tfidf_topk(frame(spark, queries, "query_id"), frame(spark, docs, "doc_id"), 7, max_broadcast)
+    got = sparse.tfidf_topk(frame(spark, queries, "query_id"), frame(spark, docs, "doc_id"), 7, block_terms)
     rows = sorted(tuple(r) for r in got.collect())
     assert rows == sorted(brute_tfidf(queries, docs, 7))
 
 
+def test_a_stored_index_serves_several_query_sets(spark, texts):
+    queries, docs = texts
+    odd = spark.createDataFrame([(None, docs[0]), (900, None), (901, "")], "doc_id long, text string")
+    corpus = frame(spark, docs, "doc_id").union(odd).repartition(3)
+    index = stored(build_index(corpus), "index")
+    n = len(docs) + 2
+    for some in (queries[:5], queries[5:], []):
+        asked = frame(spark, some, "query_id").union(spark.createDataFrame([(None, docs[1]), (77, None)], "query_id long, text string"))
+        rows = sorted(tuple(r) for r in sparse.tfidf_topk(asked, corpus, 7, index=index).collect())
+        assert rows == sorted(brute_tfidf(some, docs, 7, n))
+    assert sparse.tfidf_topk(frame(spark, queries, "query_id"), corpus.filter("false")).count() == 0
+
+
+def test_block_maxima_skip_scores_and_lose_no_hit():
+    rng = np.random.default_rng(6)
+    n_docs, n_terms, k = 1024, 60, 3
+    # Documents of a block share a topic, so most blocks cannot reach the best.
+    topic = np.arange(n_docs) // 128
+    rows = [np.unique(np.r_[rng.integers(0, 6, 4) + 6 * t, rng.integers(48, n_terms, 3)]) for t in topic]
+    place = np.repeat(np.arange(n_docs), [len(r) for r in rows])
+    term = np.concatenate(rows)
+    order = np.lexsort((place, term))
+    counts = rng.integers(1, 4, len(term))
+    names = pa.array([f"t{i:03d}" for i in range(n_terms)])
+    used, cut = np.unique(term[order], return_index=True)
+    row = {
+        "doc_ids": pa.array(np.arange(n_docs) + 5), "terms": names.take(pa.array(used)), "cut": pa.array(np.r_[cut, len(term)]),
+        "places": pa.array(place[order]), "counts": pa.array(counts), "squares": pa.array(np.zeros(n_docs)),
+    }
+    weights = inverted.Weights(names, rng.random(n_terms) + 1)
+    q = np.repeat(np.arange(8), 6)
+    t = (6 * q + np.tile(np.arange(6), 8)) % 48
+    asked = inverted.Questions(q, t, np.ones(48), np.full(48, 6.0), n_terms)
+    best = inverted.Best(8, k)
+    old, inverted.CHUNK = inverted.CHUNK, 200
+    try:
+        taken = inverted.search_row(inverted.Lists(row, weights), asked, best)
+    finally:
+        inverted.CHUNK = old
+    x = np.zeros((n_docs, n_terms))
+    x[place[order], term[order]] = counts * weights.idf[term[order]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.zeros((8, n_terms))
+    y[q, t] = 1 / np.sqrt(6)
+    full = np.round(y @ x.T, 9)
+    want = [(i, int(d) + 5, full[i, d]) for i in range(8) for d in np.lexsort((np.arange(n_docs), -full[i]))[:k] if full[i, d] > 0]
+    assert [(int(a), int(b), pytest.approx(c)) for a, b, c in zip(*best.hits)] == want
+    assert taken < 0.6 * full.size
+
+
 def test_tfidf_does_not_depend_on_partitions(spark, texts):
     queries, docs = texts
     results = []
@@ -82,18 +135,10 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_large_query_sides_are_not_broadcast_by_hint(spark, texts):
+def test_no_text_is_shuffled_for_tfidf(spark, texts):
     queries, docs = texts
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        q, d = frame(spark, queries, "query_id"), frame(spark, docs, "doc_id")
-        assert "BroadcastHashJoin" in plan_of(sparse.tfidf_topk(q, d, 5)) and "MapInArrow" in plan_of(sparse.tfidf_topk(q, d, 5))
-        big = sparse.tfidf_topk(q, d, 5, max_broadcast_rows=0)
-        assert "BroadcastHashJoin" not in plan_of(big)
-        assert sorted(tuple(r) for r in big.collect()) == sorted(brute_tfidf(queries, docs, 5))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plan = plan_of(build_index(frame(spark, docs, "doc_id")))
+    assert "MapInArrow" in plan and "Exchange" not in plan
 
 
 def test_top_k_limits_groups_before_the_shuffle(spark):
@@ -102,15 +147,16 @@ def test_top_k_limits_groups_before_the_shuffle(spark):
     assert "Partial" in plan and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 
-@pytest.mark.parametrize("max_broadcast, q_block, d_block", [(1_000, 0, 0), (0, 5, 40), (0, 1_000, 1_000)])
-def test_vector_topk_equals_brute_force(spark, max_broadcast, q_block, d_block):
+@pytest.mark.parametrize("q_block, n_cells", [(4_096, 0), (6, 0), (4_096, 12), (7, 500)])
+def test_vector_topk_equals_brute_force(spark, q_block, n_cells):
     rng = np.random.default_rng(3)
     d = rng.normal(size=(300, 8)).astype(np.float32)
     d[::3] = d[0]
+    d[7] = 0
     q = d[:20]
     corpus = spread(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "doc_id long, embedding array<float>"), "doc_id")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<float>")
-    got = dense.vector_topk(queries, corpus, 150, max_broadcast, q_block or 4096, d_block or 65536)
+    got = dense.vector_topk(queries, corpus, 150, q_block, n_cells)
     scores = np.round(q.astype(float) @ d.astype(float).T, 9)
     want = []
     for i in range(len(q)):
@@ -121,6 +167,29 @@ def test_vector_topk_equals_brute_force(spark, max_broadcast, q_block, d_block):
     assert [r[3] for r in rows] == pytest.approx([w[3] for w in want], abs=2e-6)
 
 
+def test_cells_that_hold_no_hit_are_passed_over(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 6000)] + 0.1 * rng.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>").repartition(3)
+    queries = corpus.filter("doc_id % 200 = 0").withColumnRenamed("doc_id", "query_id")
+    hits = dense.vector_hits(queries, corpus, 5, n_cells=40)
+    taken = hits.filter("doc_id is null").agg(F.sum("score")).first()[0]
+    assert taken < 0.3 * 30 * 6000
+    got = {(r.query_id, r["rank"]): r.doc_id for r in dense.vector_topk(queries, corpus, 5, n_cells=40).collect()}
+    scores = np.round(x[::200] @ x.T, 9)
+    assert got == {(200 * i, r + 1): int(j) for i in range(30) for r, j in enumerate(np.lexsort((np.arange(6000), -scores[i]))[:5])}
+    assert dense.vector_topk(queries, corpus.filter("false"), 5, n_cells=3).count() == 0
+
+
+def test_each_text_is_encoded_once(spark):
+    corpus = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    vectors = corpus.select("doc_id", dense.embed(F.col("text")).alias("embedding"))
+    plan = plan_of(dense.vector_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 2))
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_vector_topk_without_queries(spark):
     corpus = spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<float>")
     queries = spark.createDataFrame([], "query_id long, embedding array<float>")
@@ -228,3 +297,93 @@ def test_one_finish_and_one_start_at_the_same_poll(spark):
     assert sorted((r.ref, str(r.completed_at)[11:13], r.elapsed_s) for r in done) == [(1, "02", 7200), (2, "03", 3600)]
     now = status.pending_now(status.pending_polls(feed)).collect()
     assert [(r.ref, r.elapsed_s) for r in now] == [(1, 3 * 3600)]
+
+
+def test_numbers_and_totals_come_from_stored_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(-5, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    numbered = with_row_index(df, [F.col("v").desc(), F.col("id")], "i")
+    want = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert [r.id for r in sorted(numbered.collect(), key=lambda r: r.i)] == want
+    assert "AttachDistributedSequence" not in plan_of(numbered)
+    # What executors hold may go: the numbers are read again, not made again.
+    spark.catalog.clearCache()
+    assert [r.id for r in sorted(numbered.collect(), key=lambda r: r.i)] == want
+    summed = with_running_total(df, [F.col("id")], F.col("v"), "s")
+    assert [r.s for r in sorted(summed.collect(), key=lambda r: r.id)] == np.cumsum([v for _, v in rows]).tolist()
+    assert with_row_index(df.filter("false"), [F.col("id")], "i").count() == 0
+
+
+def test_nth_smallest_equals_sorting(spark, monkeypatch):
+    monkeypatch.setattr(selection, "LEFT", 3)
+    ids = spark.range(3000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("h")).repartition(5)
+    order = sorted((r.h, r.id) for r in ids.collect())
+    for rank in (0, 1, 599, 1500, 2999):
+        assert selection.nth_smallest(ids, selection.hash_key(F.col("h")), [F.col("h"), F.col("id")], rank) == order[rank]
+    assert selection.nth_smallest(ids, selection.hash_key(F.col("h")), [F.col("h"), F.col("id")], 3000) is None
+    # Many rows with one hash and few hashes in all.
+    same = spark.range(100).select((F.col("id") % 2).alias("id"), F.md5((F.col("id") % 2).cast("string")).alias("h"))
+    order = sorted((r.h, r.id) for r in same.collect())
+    for rank in (0, 49, 50, 99):
+        assert selection.nth_smallest(same, selection.hash_key(F.col("h")), [F.col("h"), F.col("id")], rank) == order[rank]
+
+
+def random_probs(spark, n=30, models=3, seed=5):
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet(np.ones(5) * 0.7, size=(n, models))
+    answer = rng.integers(0, 5, n)
+    rows = [(m, i, "ABCDE"[c], float(p[i, m, c])) for i in range(n) for m in range(models) for c in range(5)]
+    probs = spark.createDataFrame(rows, "model_id int, id long, letter string, prob double").repartition(4)
+    return probs, spark.createDataFrame([(i, "ABCDE"[a]) for i, a in enumerate(answer)], "id long, answer string"), p, answer
+
+
+def map3_of(p, answer, w):
+    blended = np.einsum("qmc,m->qc", p, np.asarray(w) / np.sum(w))
+    rank = (blended > blended[np.arange(len(answer)), answer][:, None]).sum(axis=1)
+    return np.where(rank < 3, 1 / (rank + 1), 0).mean()
+
+
+def test_line_search_finds_the_best_of_a_fine_grid(spark):
+    probs, answers, p, answer = random_probs(spark)
+    start = [0.5, 0.3, 0.2]
+    for axis in range(3):
+        stretches = sorted((r.t_low, r.t_high, r.map3) for r in blend.line_scores(probs, answers, [0, 1, 2], start, axis).collect())
+        assert stretches[0][0] == 0 and stretches[-1][1] == 1 and all(a[1] == b[0] for a, b in zip(stretches, stretches[1:]))
+        at = lambda t: map3_of(p, answer, (1 - t) * np.array(start) + t * np.eye(3)[axis])
+        for low, high, score in stretches[:: max(1, len(stretches) // 40)]:
+            assert score == pytest.approx(at((low + high) / 2))
+        weights, best = blend.line_search(probs, answers, [0, 1, 2], start, axis)
+        assert best == pytest.approx(map3_of(p, answer, weights))
+        assert best >= max(at(t) for t in np.linspace(0.0007, 0.9993, 700)) - 1e-12
+    weights, best = blend.ascend(probs, answers, [0, 1, 2], start, 1)
+    assert best == pytest.approx(map3_of(p, answer, weights)) and best >= map3_of(p, answer, start)
+
+
+def test_vectors_in_several_blocks_score_like_one(spark, monkeypatch):
+    probs, answers, p, answer = random_probs(spark, 12)
+    vectors = spark.createDataFrame([(a, b, 10 - a - b) for a in range(6) for b in range(5)] * 2, "w0 int, w1 int, w2 int")
+    one = sorted(map(tuple, blend.score_weights(probs, answers, [0, 1, 2], vectors, 10).collect()))
+    monkeypatch.setattr(blend, "MANY_VECTORS", 7)
+    assert sorted(map(tuple, blend.score_weights(probs, answers, [0, 1, 2], vectors, 10).collect())) == one and len(one) == 30
+    assert all(s == pytest.approx(map3_of(p, answer, w)) for *w, s in one)
+
+
+def test_grid_vectors_are_those_of_the_rows(spark):
+    for models, steps in ((1, 4), (2, 3), (4, 5), (5, 4)):
+        rows = {tuple(r) for r in blend.with_weight_grid(spark.range(1).select(F.lit(0).alias("x")), models, steps).drop("x").collect()}
+        got = [tuple(v) for m in blend.grid_vectors(models, steps) for v in m.tolist()]
+        assert len(got) == len(rows) and set(got) == rows
+
+
+def test_an_empty_training_part_fails(spark):
+    from askframe.plans.question_sets import question_bundle
+
+    rows = [(i, f"q{i}", *"12345", "A") for i in range(4)]
+    base = spark.createDataFrame(rows, "id long, prompt string, A string, B string, C string, D string, E string, answer string")
+    asked = base.drop("answer").limit(2)
+    parts = question_bundle(base, test_size=0.5, test=asked).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in parts} == {"train": 2, "valid": 2, "test": 2}
+    assert question_bundle(base, test_size=1).count() == 4
+    with pytest.raises(Exception, match="no rows in the training part"):
+        question_bundle(base.filter("false")).collect()

@@ -146,7 +146,9 @@ def test_truncation(spark):
     df = spark.createDataFrame([(1, "a b c d e", "x y"), (2, "a " * 900, "y " * 700)], "id long, first string, second string")
     rows = {r.id: r for r in prompts.truncate_first_only(df, 5).collect()}
     assert (rows[1].first, rows[1].second) == ("a b c", "x y")
-    assert rows[2].first == "" and len(rows[2].second) == 1000
+    assert rows[1].cut and not rows[1].no_room
+    # Nothing is lost without room; the flag says so.
+    assert (rows[2].first, rows[2].second, rows[2].cut, rows[2].no_room) == ("a " * 900, "y " * 700, False, True)
 
 
 def test_zero_vector_stays_zero(spark):
@@ -259,3 +261,19 @@ def test_reports_count_every_answered_question(spark):
     loss = {r.model_id: r.log_loss for r in metrics.log_loss(ranked, answers, ["model_id"]).collect()}
     floor = -math.log(1e-15)
     assert loss["m"] == pytest.approx((math.log(2) + 2 * floor) / 3) and loss["w"] == pytest.approx(floor)
+    # Without keys there is one row, also for an empty table and without answers.
+    mine = ranked.filter("model_id = 'm'")
+    report = one(metrics.hits_report(mine, answers, []))
+    assert (report.top1, report.total, report.map3_pct) == (1, 3, pytest.approx(100 / 3, abs=1e-6))
+    assert one(metrics.log_loss(mine, answers, [])).log_loss == pytest.approx(loss["m"])
+    none = ranked.filter("false")
+    assert (one(metrics.hits_report(none, answers, [])).top1, one(metrics.hits_report(none, answers, [])).total) == (0, 3)
+    assert one(metrics.log_loss(none, answers, [])).log_loss == pytest.approx(floor)
+    assert one(metrics.hits_report(mine, answers.filter("false"), [])).map3_pct is None
+    assert one(metrics.log_loss(mine, answers.filter("false"), [])).log_loss is None
+    assert metrics.hits_report(none, answers, ["model_id"]).count() == 0
+    rows = [("A", 0.5), ("B", 0.2), ("C", 0.1), ("D", 0.1), ("E", 0.1)]
+    probs = spark.createDataFrame([(i, c, p) for i in (1, 2) for c, p in rows], "id long, letter string, prob double")
+    from askframe.plans.answers import answer_report
+
+    assert one(answer_report(probs, answers)).map3_pct == pytest.approx(50.0)
