@@ -10,8 +10,9 @@ import os
 import random
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,10 @@ from tokenizers import Tokenizer
 from askframe.llm.common import stored
 
 CACHE = 1_000_000
+# Documents of a bin that swaps look at.
+SWAP_ITEMS = 12
+# Effort of one crossover's swaps, and generations without a gain after which a search ends: they bound its time, not its items.
+SWAP_STEPS, PATIENCE = 300_000, 10
 # A mark between a letter or digit and white space is a word of its own to the tokenizer.
 _TAIL = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \n]|$)")
 END = (0).to_bytes(4, "little")
@@ -107,36 +112,87 @@ def _worth(bins: list[Bin], size: list[int], capacity: int) -> tuple[int, float]
     return -len(bins), sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def _swap(bins: list[Bin], loose: Bin, size: list[int], capacity: int) -> tuple[list[Bin], Bin]:
+    """Give up to two documents of a bin for one or two displaced ones that fill it better; what comes out is smaller and fits more easily."""
+    loose, steps = sorted(loose, key=lambda i: size[i]), 0
+    for b in bins:
+        if steps > SWAP_STEPS:
+            break
+        room = capacity - sum(size[i] for i in b)
+        for some in [*combinations(b[:SWAP_ITEMS], 1), *combinations(b[:SWAP_ITEMS], 2)]:
+            if not room or not loose:
+                break
+            out = sum(size[i] for i in some)
+            sizes = [size[i] for i in loose]
+            steps += len(sizes)
+            best, found = out, None
+            at = bisect_right(sizes, out + room) - 1
+            if at >= 0 and sizes[at] > best:
+                best, found = sizes[at], (at,)
+            lo, hi = 0, len(sizes) - 1
+            while lo < hi:  # the two whose sum comes closest from below
+                both = sizes[lo] + sizes[hi]
+                if both > out + room:
+                    hi -= 1
+                else:
+                    if both > best:
+                        best, found = both, (lo, hi)
+                    lo += 1
+            if found and not set(some) - set(b):
+                came = [loose[i] for i in found]
+                loose = sorted([i for k, i in enumerate(loose) if k not in found] + list(some), key=lambda i: size[i])
+                b[:] = [i for i in b if i not in some] + came
+                room -= best - out
+    return bins, loose
+
+
 def _cross(one: list[Bin], two: list[Bin], size: list[int], capacity: int, rng: random.Random) -> list[Bin]:
-    """Inject a share of the fullest bins of ``two`` whole; bins of ``one`` that repeat a document dissolve."""
+    """Inject a share of the fullest bins of ``two`` whole; bins of ``one`` that repeat a document dissolve, and a few more."""
     ranked = sorted(two, key=lambda b: -sum(size[i] for i in b))
     taken = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5]
     have = {i for b in taken for i in b}
     kept = [b for b in one if have.isdisjoint(b)]
     loose = [i for b in one if not have.isdisjoint(b) for i in b if i not in have]
-    # The worst bins dissolve too, so that their documents can fill gaps.
-    kept.sort(key=lambda b: -sum(size[i] for i in b))
-    drop = max(1, len(kept) // 20)
-    loose += [i for b in kept[-drop:] for i in b]
-    return _fit([list(b) for b in taken] + [list(b) for b in kept[:-drop]], loose, size, capacity)
+    # Some poorly filled bins dissolve too, so that their documents can fill gaps.
+    kept.sort(key=lambda b: sum(size[i] for i in b))
+    drop = set(range(min(len(kept), max(2, len(kept) // 20))))
+    drop |= {k for k in range(len(kept)) if rng.random() < 0.05}
+    loose += [i for k in drop for i in kept[k]]
+    bins, loose = _swap([list(b) for b in taken] + [list(b) for k, b in enumerate(kept) if k not in drop], loose, size, capacity)
+    return _fit(bins, loose, size, capacity)
 
 
-def evolve(size: list[int], capacity: int, seed: int, immigrants: list[list[Bin]], population: int = 3, generations: int = 3) -> list[Bin]:
-    """Best grouping after some generations from best-fit-decreasing and shuffled starts."""
-    rng = random.Random(seed)
+def evolve(size: list[int], capacity: int, seed: int, immigrants: list[list[Bin]], population: int = 12, generations: int = 40) -> list[Bin]:
+    """Best grouping after some generations from best-fit-decreasing and shuffled starts.
+
+    No grouping has fewer bins than the sizes fill; evolution ends where that is
+    reached, often at once.
+    """
+    rng, bound = random.Random(seed), -(-sum(size) // capacity)
+    worth = lambda b: _worth(b, size, capacity)
     everyone = [_fit([], list(range(len(size))), size, capacity), *immigrants]
+    if min(map(len, everyone)) <= bound:
+        return max(everyone, key=worth)
     while len(everyone) < population:
         order = list(range(len(size)))
         rng.shuffle(order)
-        alone = {i for i in order[: len(order) // 4] if size[i] > capacity // 2}
-        everyone.append(_fit([[i] for i in alone], [i for i in order if i not in alone], size, capacity))
+        some = order[: len(order) // 2]
+        start = [[i] for i in some if size[i] > capacity // 2]
+        for i in some:  # half of the documents in any order, the rest where they fit best
+            if size[i] <= capacity // 2:
+                room = [b for b in start[-3:] if sum(size[j] for j in b) + size[i] <= capacity]
+                room[0].append(i) if room else start.append([i])
+        everyone.append(_fit(start, order[len(order) // 2 :], size, capacity))
+    since, last = 0, None
     for _ in range(generations):
-        everyone.sort(key=lambda b: _worth(b, size, capacity), reverse=True)
-        everyone = everyone[:population]
-        one, two = everyone[0], everyone[rng.randrange(1, len(everyone))] if len(everyone) > 1 else everyone[0]
-        everyone.append(_cross(one, two, size, capacity, rng))
-        everyone.append(_cross(two, one, size, capacity, rng))
-    return max(everyone, key=lambda b: _worth(b, size, capacity))
+        everyone = sorted(everyone, key=worth, reverse=True)[:population]
+        since, last = (since + 1, last) if last == worth(everyone[0]) else (0, worth(everyone[0]))
+        if len(everyone[0]) <= bound or since >= PATIENCE:
+            break
+        for _ in range(population // 2):
+            one, two = (min(rng.sample(range(len(everyone)), 2)) for _ in range(2))
+            everyone.append(_cross(everyone[one], everyone[two], size, capacity, rng))
+    return max(everyone, key=worth)
 
 
 def _bins(frame: pd.DataFrame, column: str) -> list[Bin]:
