@@ -1,10 +1,11 @@
 """Personal data by candidate gradient boosting, with built-in functions only.
 
 A null text is an empty one.  High-recall generators propose overlapping spans;
-boosted trees score them from their format and context; a threshold calibrated
-on held-out candidates selects.  Spans of the base patterns always stay.  The
+boosted trees score them from their format and context; a threshold for each
+kind selects.  Spans of the base patterns always stay.  The
 trees are fitted on the candidates of at most ``max_docs`` documents, labelled
-by checks that the features do not see; every text is scanned whole.
+by checks that the features do not see; every text is scanned whole, and the
+threshold of each kind is read from the candidates of all documents.
 """
 
 from __future__ import annotations
@@ -131,15 +132,37 @@ def features(text: Column, s: Column) -> Column:
     )
 
 
+# Last parts of addresses that count as known; the label of an address follows them.
+TOP_DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|co|me|dev|app|example|test|uk|de|fr|es|it|nl|ch|at|pl|se|no|dk|fi|pt|be|eu|us|ca|au|nz|in|jp|cn|br|mx|ru"
+
+
+def checksum_97(text: Column) -> Column:
+    """Whether an account number leaves 1 by 97: its first four characters moved behind, letters read as 10 to 35."""
+    moved = F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
+    value = lambda c: F.coalesce(c.try_cast("int"), F.ascii(c) - 55)
+    step = lambda a, c: F.when(value(c) > 9, (a * 100 + value(c)) % 97).otherwise((a * 10 + value(c)) % 97)
+    return F.aggregate(F.split(moved, ""), F.lit(0), step) == 1
+
+
 def silver(s: Column) -> Column:
-    """Label of a training candidate by checks of value, which are no features."""
+    """Label of a candidate by a check of its value for each kind; none of them is a feature.
+
+    Checksums of cards and accounts, numbers that are given out, known ends of
+    addresses, and for secrets a value that is no word: it mixes kinds of
+    characters and repeats few of them.
+    """
     t, k, digits = s["text"], s["kind"], _digits(s["text"])
+    value = F.regexp_replace(t, r"(?i)^(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?", "")
+    kinds_of = sum((F.regexp_like(value, F.lit(p)).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= F.least(F.lit(8), F.length(value) * 0.4)
+    few = F.size(F.array_distinct(F.split(digits, "")))
     good = (
-        k.isin("email", "secret", "ssn", "iban")
-        | ((k == "ip") & valid("ip", t))
-        | ((k == "card") & valid("card", t))
-        | ((k == "phone") & F.length(digits).between(8, 15))
-        | ((k == "number") & F.length(digits).between(13, 19) & luhn(digits))
+        ((k == "email") & F.regexp_like(t, F.lit(rf"(?i)[^A-Za-z](?:{TOP_DOMAINS})$")))
+        | ((k == "secret") & (kinds_of >= 2) & varied)
+        | ((k == "ssn") & F.regexp_like(t, F.lit("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")))
+        | ((k == "iban") & checksum_97(t))
+        | ((k == "phone") & F.regexp_like(digits, F.lit("^[2-9][0-9]{9}$")) & (few >= 3))
+        | ((k == "number") & F.length(digits).between(13, 19) & luhn(digits) & (few >= 2))
     )
     return F.coalesce(good, F.lit(False)).cast("double")
 
@@ -160,20 +183,30 @@ def _tree(node: float | tuple, x: Column) -> Column:
     return F.when(x[feature] <= threshold, _tree(left, x)).otherwise(_tree(right, x))
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS):
-    """``margin(feature array)`` as a column function, and the calibrated threshold; None without both labels."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
+def scan(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_base`` and all candidates ``_cands`` with features and label, in one look at ``text``."""
+    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.col("_text")
+    described = F.transform(proposals(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), features(text, s).alias("f"), silver(s).alias("y")))
+    return rows.withColumns({"_base": base_spans(text), "_cands": described}).drop("_text")
+
+
+def fit(found: DataFrame, max_docs: int = MAX_DOCS):
+    """``margin(feature array)`` as a column function, and for each kind the threshold calibrated on all documents.
+
+    Without both labels among the fitting rows every margin is zero, and kinds
+    stand or fall as a whole.
+    """
+    each = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("_cands").alias("c")).select("doc_id", "c.kind", "c.f", "c.y")
+    each = stored(each, "pii-candidates")
+    ids = each.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     chosen = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "pii-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    loose = F.concat(proposals(F.col("text")), *[_scan(F.col("text"), k, PATTERNS[k], F.lit(True)) for k in KINDS])
-    rows = texts.select("doc_id", "text", F.explode(loose).alias("s"))
-    x = stored(rows.select("doc_id", features(F.col("text"), F.col("s")).alias("f"), silver(F.col("s")).alias("y")), "pii-train")
-    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
-    if {r[0] for r in x.filter(~held).select("y").distinct().collect()} != {0.0, 1.0}:
-        return None
-    model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(x.filter(~held).select(array_to_vector("f").alias("v"), "y"))
-    members = model.trees  # held while their nodes are read
-    trees = [(float(w), _nodes(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, members)]
+    x = stored(each.join(F.broadcast(chosen), "doc_id").select("f", "y"), "pii-train")
+    trees: list[tuple] = []
+    if {r[0] for r in x.select("y").distinct().collect()} == {0.0, 1.0}:
+        model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(x.select(array_to_vector("f").alias("v"), "y"))
+        members = model.trees  # held while their nodes are read
+        trees = [(float(w), _nodes(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, members)]
 
     def margin(f: Column) -> Column:
         total = F.lit(0.0)
@@ -181,31 +214,29 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS):
             total = total + F.lit(weight) * _tree(tree, f)
         return total
 
-    # Rounded margins: a bounded table, from which the least threshold of the wanted precision is read.
-    bins = x.filter(held).groupBy(F.round(margin(F.col("f")), 2).alias("m")).agg(F.sum("y").alias("good"), F.count("*").alias("n")).orderBy(F.desc("m")).collect()
-    good = total = 0.0
-    threshold = 0.0
+    # Rounded margins: a bounded table, from which each kind's least threshold of the wanted precision is read.
+    bins = each.groupBy("kind", F.round(margin(F.col("f")), 2).alias("m")).agg(F.sum("y").alias("good"), F.count("*").alias("n")).orderBy("kind", F.desc("m")).collect()
+    thresholds: dict[str, float] = {}
+    sums: dict[str, tuple[float, int]] = {}
     for r in bins:
-        good, total = good + r["good"], total + r["n"]
+        good, total = sums.get(r["kind"], (0.0, 0))
+        sums[r["kind"]] = good, total = good + r["good"], total + r["n"]
         if good / total >= PRECISION:
-            threshold = r["m"]
-    return margin, threshold
+            thresholds[r["kind"]] = r["m"]
+    return margin, thresholds
 
 
 def find(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: base spans, and these with the selected candidates."""
-    fitted = fit(docs, max_docs)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_text", text)
-    rows = rows.withColumn("_base", base_spans(F.col("_text")))
-    if fitted is None:
-        return rows.withColumn("_spans", F.col("_base"))
-    margin, threshold = fitted
+    """``docs`` without ``text``, with ``_base`` and ``_spans``: base spans, and these with the selected candidates."""
+    rows = stored(scan(docs).drop("text"), "pii-scan")
+    margin, thresholds = fit(rows, max_docs)
+    least = F.create_map(*[x for k, m in thresholds.items() for x in (F.lit(k), F.lit(float(m)))]) if thresholds else F.expr("cast(map() as map<string, double>)")
 
     def chosen(s: Column) -> Column:
-        return F.transform(F.array(features(F.col("_text"), s)), margin)[0] >= threshold
+        # Compared as rounded, like the counts that the threshold comes from.
+        return F.coalesce(F.round(F.transform(F.array(s["f"]), margin)[0], 2) >= F.try_element_at(least, s["kind"]), F.lit(False))
 
-    rows = rows.withColumn("_more", F.filter(proposals(F.col("_text")), chosen))
+    rows = rows.withColumn("_more", F.filter("_cands", chosen)).drop("_cands")
     # By start, longest first, base before others: what lies inside an earlier span adds nothing.
     order = F.array_sort(F.concat(
         F.transform("_base", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(0).alias("added"), s["kind"].alias("kind"))),
@@ -245,7 +276,7 @@ def redact(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     found = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_own"), "doc_id", "text"))
     order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    t = F.col("_text")
+    t = F.coalesce(F.col("_own.text").cast("string"), F.lit(""))
 
     def rebuilt(o: Column) -> Column:
         ends = running(F.transform(o, lambda d: d["end"]), lambda a, b: F.greatest(a, b))
@@ -257,7 +288,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return F.transform(F.array(ends), joined)[0]
 
-    new = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.transform(F.array(order), rebuilt)[0])
+    new = F.when(F.size("_spans") == 0, F.col("_own.text")).otherwise(F.transform(F.array(order), rebuilt)[0])
     out = found.withColumn("_new", new)
     value = {"text": F.col("_new").alias("text")}
     if "n_chars" in columns:
