@@ -1,7 +1,7 @@
 """Language-model scores by subword lattices: all segmentations of a word into vocabulary pieces count.
 
-Pieces come from an existing vocabulary, up to 16 bytes long and with all single
-bytes; their probabilities start from the vocabulary's own scores and are
+Pieces are all those of an existing vocabulary that hold no inner space, and all
+single bytes; their probabilities start from the vocabulary's own scores and are
 re-estimated on the training words.  A whole word seen in training is an edge of
 its own beside its pieces.  A null text is an empty one: a single end
 token.  Repeated rows are scored once each.
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from askframe.llm.common import split_of, stored
 
-LONGEST = 16
 CHUNK_WORDS = 300_000
+# Counts of a word in a document that a chunk holds at most, about 64 MB; a longer document is a chunk of its own.
+CHUNK_COUNTS = 8_000_000
 BATCH_CELLS = 2_000_000
 BATCH_WORDS = 60_000
 END = b"\n"  # white space, so never a word
@@ -37,7 +38,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
             data = sp.id_to_piece(i).replace("▁", " ").encode()
-            if len(data) <= LONGEST and b" " not in data[1:]:
+            if b" " not in data[1:]:  # words never hold one
                 best[data] = max(best.get(data, -math.inf), sp.get_score(i))
     best[END] = 0.0
     pieces = sorted(best)
@@ -53,6 +54,7 @@ class Lattice:
         h = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(h)
         self.keys, self.ids, self.logp = h[order], order, logp
+        self.longest = max(map(len, pieces))
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(h >> np.uint64(44)).astype(np.int64)] = True
 
@@ -70,7 +72,7 @@ class Lattice:
         out = []
         for start in range(n):
             h = np.zeros(len(words), np.uint64)
-            for end in range(start + 1, min(n, start + LONGEST) + 1):
+            for end in range(start + 1, min(n, start + self.longest) + 1):
                 h = h * _STEP + codes[:, end - 1]
                 rows = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
                 at = np.searchsorted(self.keys, h[rows])
@@ -142,10 +144,10 @@ ROWS = "chunk long, word binary, local int, trained long, doc_id long, held_out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as counts over their chunk's own word list; a chunk ends when that list is long."""
+    """Documents as counts over their chunk's own word list; a chunk ends when that list, or its documents' counts, are long."""
     from pyspark import TaskContext
 
-    chunk, number, trained = TaskContext.get().partitionId() << 24, {}, []
+    chunk, number, trained, counts = TaskContext.get().partitionId() << 24, {}, [], 0
 
     def words() -> Iterator[pa.RecordBatch]:
         names = list(number)
@@ -165,13 +167,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not held.as_py():
                 for i, c in zip(local.tolist(), times.tolist()):
                     trained[i] += c
+            counts += len(local)
             docs.append((chunk, None, None, None, ident.as_py(), held.as_py(), len(tokens), local, times.astype(np.int32)))
-            if len(docs) >= 500 or len(number) >= CHUNK_WORDS:
+            full = len(number) >= CHUNK_WORDS or counts >= CHUNK_COUNTS
+            if len(docs) >= 500 or full:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*docs), _ROWS)], schema=_ROWS)
                 docs = []
-            if len(number) >= CHUNK_WORDS:
+            if full:
                 yield from words()
-                chunk, number, trained = chunk + 1, {}, []
+                chunk, number, trained, counts = chunk + 1, {}, [], 0
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*docs), _ROWS)], schema=_ROWS)
     yield from words()
