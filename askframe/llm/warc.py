@@ -87,10 +87,11 @@ _MANIFEST_ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temp"
 _RECORD_ARROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("file", pa.string()), ("payload", pa.binary())])
 
 
-def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, max_shards: int = 4096, file_bytes: int = 1 << 30, revisit_bytes: int = 1000) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 128 << 20, max_shards: int = 65_536, file_bytes: int = 16 << 20, revisit_bytes: int = 1000) -> DataFrame:
     """Write ``(page_id, url, html)`` as records sorted by id and return the manifest that commits them.
 
-    Shards are ranges of ids whose cuts depend on the rows alone.  A task writes
+    Shards are ranges of ids whose cuts depend on the rows alone; a shard is
+    several files long, and a file ends at ``file_bytes`` compressed.  A task writes
     each file under a name of its own attempt; the manifest lists those of
     successful attempts, and a second step moves them to their final names.  It
     can be repeated: a file already moved is left.  Only files in the final
@@ -101,7 +102,9 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, max_s
     copies = sized.filter(F.col("size") >= revisit_bytes).groupBy(F.sha1("payload").alias("digest")).agg(F.count("*").alias("n"), F.max("page_id").alias("kept"))
     kept = stored(copies.filter((F.col("n") > 1) & F.col("kept").isNotNull()).select("digest", "kept"), "warc-copies")
     bounds = shard_bounds(sized, "page_id", "size", shard_bytes, max_shards)
-    digest = F.when(F.col("size") >= revisit_bytes, F.sha1("payload"))
+    # A short payload has no copy to find; its own key spreads it over the join's tasks.
+    alone = F.concat_ws("-", F.lit("short"), F.col("page_id").cast("string"), F.xxhash64("payload").cast("string"))
+    digest = F.when(F.col("size") >= revisit_bytes, F.sha1("payload")).otherwise(alone)
     marked = sized.withColumn("digest", digest).join(kept, "digest", "left")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("kept"))
     marked = marked.select("page_id", "url", "payload", F.when(other, F.col("kept")).alias("refers_to"), shard_of(F.col("page_id"), bounds).alias("shard"))
