@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from askframe.llm.common import components, stored, union_labels
 
@@ -224,15 +226,20 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(shingle: int, threshold: float):
-    """Forest edges of rows ``(cell, side, key, text)`` sorted by cell, each pair of exact similarity at or above the threshold."""
+    """Forest edges of rows ``(cell, side, key, known, text)`` sorted by cell, each pair of exact similarity at or above the threshold.
 
-    def walk(side: list[int], key: list[bytes], sets: list[np.ndarray], fp: list[int]) -> pa.RecordBatch:
+    Texts with the same ``known`` label are connected already; a cell with a
+    side 1 is looked at across its sides only.
+    """
+
+    def walk(side: list[int], key: list[bytes], known: list[bytes], sets: list[np.ndarray], fp: list[int]) -> pa.RecordBatch:
         prints = np.array(fp, np.uint64)
         order = np.lexsort((prints, np.array(side)))
         zeros = int(len(side) - sum(side))
         keys = prints[order]
         ranges = (0, zeros, 0, zeros) if zeros == len(side) else (0, zeros, zeros, len(side))
-        label = list(range(len(side)))
+        first: dict[bytes, int] = {}
+        label = [first.setdefault(known[i], n) for n, i in enumerate(order.tolist())]
 
         def root(i: int) -> int:
             while label[i] != i:
@@ -257,14 +264,14 @@ def _verified(shingle: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
+        now, held = None, ([], [], [], [], [])
         for batch in batches:
-            for cell, side, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for cell, side, key, known, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if cell != now:
                     if held[0]:
                         yield walk(*held)
-                    now, held = cell, ([], [], [], [])
-                for column, value in zip(held, (side, key, shingle_set(text, shingle), fingerprint(text, shingle))):
+                    now, held = cell, ([], [], [], [], [])
+                for column, value in zip(held, (side, key, known, shingle_set(text, shingle), fingerprint(text, shingle))):
                     column.append(value)
         if held[0]:
             yield walk(*held)
@@ -272,31 +279,111 @@ def _verified(shingle: int, threshold: float):
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_limit: int = SIMILAR_LIMIT) -> DataFrame:
-    """``(doc_id, component_id)``: the smallest id reachable over texts of word-shingle similarity at or above ``threshold``.
+def _similar_edges(members: DataFrame, texts: DataFrame, shingle: int, threshold: float, group_limit: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect what is similar inside the candidate groups ``(key, home)``.
 
-    Texts with the same words meet as one key.  Texts that share a MinHash band
-    form candidate groups; inside a group every pair within the Hamming budget
-    is found by the trie and verified on its whole shingle sets, unless both are
-    already connected.  A group beyond the limit is dealt into chunks, and every
-    pair of chunks is a cell of its own.
+    A group beyond the limit is dealt into chunks.  First every chunk is looked
+    at by itself, then one text of each component that this left, and only
+    groups still in several parts are looked at by pairs of chunks: a large
+    group of near copies becomes one component before its texts would be sent
+    more than twice.
     """
+    n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def edges(cells: DataFrame, name: str) -> DataFrame:
+        rows = cells.join(texts, "key").select("cell", "side", "key", "known", "text").repartition(n, "cell").sortWithinPartitions("cell")
+        return stored(rows.mapInArrow(_verified(shingle, threshold), "a binary, b binary"), name)
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        """With ``k`` chunks of the row's group, and its own."""
+        sizes = stored(rows.groupBy("home").count().filter(F.col("count") > group_limit).select("home", F.ceil(F.col("count") / group_limit).cast("int").alias("k")), "similar-large")
+        sized = rows.join(sizes, "home", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        return sized.withColumn("own", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        """Every pair of different chunks of a group as a cell of its own."""
+        others = F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda o: o != F.col("own"))
+        cells = F.transform(others, lambda o: F.struct(F.xxhash64("home", F.least("own", o), F.greatest("own", o)).alias("cell"), F.when(F.col("own") > o, 1).otherwise(0).alias("side")))
+        return rows.select("key", "known", F.inline(cells))
+
+    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        roots = components(found, "similar-parts")
+        return rows.drop("known").join(roots, F.col("key") == roots.node, "left").withColumn("known", F.coalesce("root", "key")).drop("node", "root")
+
+    dealt = stored(chunked(members), "similar-dealt")
+    alone = dealt.select("key", F.col("key").alias("known"), F.xxhash64("home", "own").alias("cell"), F.lit(0).alias("side"))
+    found = edges(alone, "similar-alone")
+    wide = dealt.filter(F.col("k") > 1)
+    if wide.isEmpty():
+        return found
+    parts = stored(labelled(wide, found), "similar-parts")
+    chosen = parts.groupBy("home", "known").agg(F.min("key").alias("key"))
+    chosen = stored(chunked(chosen), "similar-chosen")
+    together = chosen.select("key", "known", F.xxhash64("home", "own", F.lit(1)).alias("cell"), F.lit(0).alias("side")).union(paired(chosen).select("key", "known", "cell", "side"))
+    found = found.union(edges(together, "similar-together"))
+    parts = stored(labelled(wide, found), "similar-parts")
+    split = parts.groupBy("home").agg(F.min("known").alias("one"), F.max("known").alias("two")).filter("one <> two").select("home")
+    return found.union(edges(paired(parts.join(stored(split, "similar-split"), "home", "left_semi")), "similar-across"))
+
+
+def _similar_keys(docs: DataFrame, shingle: int, threshold: float, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, key)`` of every row, and ``(key, root)`` of every different text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, bands array<long>"), "similar-sketches")
-    distinct = stored(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "similar-distinct")
+    distinct = stored(sketches.groupBy("key").agg(F.first("bands").alias("bands")), "similar-distinct")
     bands = distinct.select("key", F.explode("bands").alias("band"))
     tops = stored(bands.groupBy("band").agg(F.min("key").alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", "top"), "similar-tops")
     groups = components(bands.join(tops, "band").select(F.col("key").alias("a"), F.col("top").alias("b")).filter("a <> b"), "similar-groups")
     members = stored(groups.select(F.col("node").alias("key"), F.col("root").alias("home")).union(groups.select(F.col("root").alias("key"), F.col("root").alias("home")).distinct()), "similar-members")
-    large = stored(members.groupBy("home").count().filter(F.col("count") > group_limit).select("home", F.ceil(F.col("count") / group_limit).cast("int").alias("k")), "similar-large")
-    dealt = members.join(large, "home", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.xxhash64("home", F.least(own, o), F.greatest(own, o)).alias("cell"), F.when(own > o, 1).otherwise(0).alias("side")))
-    texts = rows.select("text").mapInArrow(_keyed, "key binary, text binary").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_cells = dealt.select("key", F.inline(cells)).join(texts, "key").select("cell", "side", "key", "text").repartition(n, "cell").sortWithinPartitions("cell")
-    roots = components(sorted_cells.mapInArrow(_verified(shingle, threshold), "a binary, b binary"), "similar-links")
-    rooted = stored(distinct.join(roots, distinct.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root")), "similar-rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stored(rooted.join(least, "root").select("key", "component_id"), "similar-names")
-    return sketches.select("doc_id", "key").join(names, "key").select("doc_id", "component_id")
+    # Copies of a text differ in case and spaces at most, which the shingles do not see.
+    texts = stored(rows.select("text").mapInArrow(_keyed, "key binary, text binary").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
+    roots = components(_similar_edges(members, texts, shingle, threshold, group_limit), "similar-links")
+    rooted = stored(distinct.join(roots, distinct.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root")), "similar-rooted")
+    return sketches.select("doc_id", "key"), rooted
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_limit: int = SIMILAR_LIMIT) -> DataFrame:
+    """``(doc_id, component_id)``: the smallest id reachable over texts of word-shingle similarity at or above ``threshold``.
+
+    Texts with the same words meet as one key.  Texts that share a MinHash band
+    form candidate groups; inside a group every pair within the Hamming budget
+    is found by the trie and verified on its whole shingle sets, unless both are
+    already connected.
+    """
+    keys, rooted = _similar_keys(docs, shingle, threshold, group_limit)
+    named = keys.join(rooted, "key")
+    least = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-least")
+    return named.join(least, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_limit: int = SIMILAR_LIMIT) -> DataFrame:
+    """Rows of ``docs``, one of every component of ``similar_documents``.
+
+    Rows are told apart by id and text together: the row with the smallest id
+    stays, a row without an id only where no other has one, of equal ids the
+    text with the smallest key, and of wholly equal rows one.
+    """
+    keys, rooted = _similar_keys(docs, shingle, threshold, group_limit)
+    counted = keys.join(rooted, "key").groupBy("root", "key", "doc_id").agg(F.count("*").alias("n"))
+    counted = stored(counted, "similar-counted")
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    first = stored(first.select(F.col("root"), F.col("first.key").alias("first_key"), F.col("first.doc_id").alias("first_id")), "similar-first")
+    marked = counted.join(first, "root").withColumn("stays", (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    # A row that no other resembles has its key alone and is not sent anywhere.
+    lost = stored(marked.filter("not stays").select(F.col("key").alias("lost_key"), F.col("doc_id").alias("lost_id")), "similar-lost")
+    again = stored(marked.filter("stays and n > 1").select(F.col("key").alias("again_key"), F.col("doc_id").alias("again_id")), "similar-again")
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    found = docs.withColumn(name, _key_column(F.col("text").cast("binary")))
+    ident = F.col("doc_id").cast("long")
+    found = found.join(lost, (F.col(name) == lost.lost_key) & ident.eqNullSafe(lost.lost_id), "left_anti")
+    if not again.isEmpty():
+        same = (F.col(name) == again.again_key) & ident.eqNullSafe(again.again_id)
+        found = found.join(again, same, "left_anti").unionByName(found.join(again, same, "left_semi").dropDuplicates([name]))
+    return found.select(docs.columns)
+
+
+@F.pandas_udf(BinaryType())
+def _key_column(text: pd.Series) -> pd.Series:
+    return text.map(_text_key)
