@@ -23,8 +23,11 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,20 @@ HEAD = struct.Struct("<4sIQQQI")
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
 KEEP = np.arange(4)[None] < np.arange(5)[:, None]
 
-_MARKS = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
+
+def _byte_chars() -> dict[int, str]:
+    """How byte-level vocabularies spell a space and Latin letters: a character a byte, printable bytes as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(char[b] for b in chr(c).encode()) for c in [0x20, *range(0xC0, 0x100)]}
+
+
+BYTE_CHARS = _byte_chars()
+# Marks other than the apostrophe, which may begin a match with letters.
+_MARKS = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.S)
+_GAP = re.compile(r" (?:\s|$)")
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
 
 
@@ -64,17 +80,25 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, atoms: list[str]) -> None:
-        for at in range(0, len(atoms), 10_000):
-            part = atoms[at : at + 10_000]
+        """A word of letters alone is one match, so the tokenizer's model is asked for it directly; all else takes the whole way."""
+        tokenize, kind, hard = self.tokenizer.model.tokenize, self.dtype.char, []
+        for a in atoms:
+            if _LETTERS.fullmatch(a):
+                spelt = a.replace(" ", BYTE_CHARS[0x20]) if a.isascii() else a.translate(BYTE_CHARS)
+                self.known[a] = array(kind, [t.id for t in tokenize(spelt)]).tobytes()
+            else:
+                hard.append(a)
+        for at in range(0, len(hard), 10_000):
+            part = hard[at : at + 10_000]
             for a, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[a] = np.array(e.ids, self.dtype).tobytes()
+                self.known[a] = array(kind, e.ids).tobytes()
 
     @staticmethod
     def stretches(text: str) -> list[str]:
         """The text cut before each space that a non-space follows."""
+        if "\0" not in text and not _GAP.search(text):
+            return text.replace(" ", "\0 ").split("\0")
         head, *rest = text.split(" ")
-        if "" not in rest and not any(map(str.isspace, [r[:1] for r in rest])):
-            return [head, *[" " + r for r in rest]]
         found = [head]
         for r in rest:
             if r and not r[0].isspace():
@@ -95,17 +119,19 @@ class Encoder:
         if any(a in text for a in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         parts, known = self.stretches(text), self.known
-        new = {p for p in parts if p not in known}
-        if len(known) + 2 * len(new) > CACHE and known:
-            known.clear()
-            new = set(parts)
-        if new:
+        found = list(map(known.get, parts))
+        if None in found:
+            new = set(compress(parts, map(is_, found, repeat(None))))
+            if len(known) + 2 * len(new) > CACHE and known:
+                known.clear()
+                new = set(parts)
             cut = {p: self.atoms(p) for p in new}
             self._learn(list({a for atoms in cut.values() for a in atoms if a not in known}))
             for p, atoms in cut.items():
                 if len(atoms) > 1:
                     known[p] = b"".join([known[a] for a in atoms])
-        return b"".join([known[p] for p in parts])
+            found = map(known.__getitem__, parts)
+        return b"".join(found)
 
 
 @functools.cache
