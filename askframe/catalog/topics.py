@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from askframe.catalog import base
 from askframe.catalog.base import query, table
+from askframe.catalog.contexts import nearest_sql
 from askframe.cluster import scratch_path
 from askframe.functions.vectors import l2_normalize as unit
-from askframe.operators import clusters
+from askframe.operators import clusters, layout
 from askframe.plans.topics import select_topic_corpus
 
 TOP_LABEL_SQL = "(select cluster_id from vector_docs where title in (select title from seed_titles) group by 1 order by count(*) desc, cluster_id limit 1)"
@@ -94,3 +95,22 @@ def cluster_examples(spark, sf):
 @query()
 def project_2d(spark, sf):
     return clusters.project_2d(base.vector_docs(spark, sf)).select("article_id", "x", "y")
+
+
+@query(
+    "own as (select vec_id as query_id, embedding::double[] as v from embeddings), q_vec as (select * from own), "
+    "d_vec as (select query_id as doc_id, v from own), "
+    + nearest_sql(16)
+    + """, e as (select query_id as a, doc_id as b, sqrt(greatest(2 - 2 * round(score, 6), 0)) as d from hits where query_id <> doc_id),
+       m as (select *, min(d) over (partition by a) as low, avg(d) over (partition by a) as mean from e),
+       c as (select a, b, case when mean - low > 0 then exp(-(d - low) / (mean - low)) else 1::double end as w from m)
+       select a, b, round(1 - product(1 - w), 6) as w from (select a, b, w from c union all select b, a, w from c) group by a, b"""
+)
+def neighbour_graph(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("number"), F.col("embedding").alias("emb"))
+    return layout.neighbour_graph(vectors).withColumn("w", F.round("w", 6))
+
+
+@query()
+def neighbour_layout(spark, sf):
+    return layout.neighbour_layout(base.vector_docs(spark, sf), "article_id", steps=6)

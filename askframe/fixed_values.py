@@ -27,9 +27,6 @@ PAIR_CONTEXT_MARK = "[CLS] "
 PAIR_QUESTION_MARK = " #### "
 PAIR_SEPARATOR = " [SEP]"
 
-# Fixed value: characters kept of each half when the second half alone is too long.
-PAIR_FALLBACK_CHARS = 1000
-
 # The prompt texts by (family, prompt id).
 PROMPT_TEXTS = {
     ("Llama2", 1): """Answer the following multiple choice question by giving the most appropriate response. Answer should be one among [A, B, C, D, E]

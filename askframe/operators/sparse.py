@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,31 +81,53 @@ def _weights(idf: DataFrame) -> Weights:
     return Weights(_strings(table.column("term")), table.column("idf").to_numpy())
 
 
+def _idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((n + 1.0) / (df + 1.0)) + 1.0
+
+
+def _one_block(counted: pa.Table, corpus: DataFrame, k: int, index: DataFrame | None) -> DataFrame:
+    """Hits of queries whose ``(query_id, term, tf)`` rows are one block: their side is made ready on the driver."""
+    spark = corpus.sparkSession
+    term = _strings(counted.column("term")).dictionary_encode()
+    names, code = term.dictionary, term.indices.to_numpy()
+    index = stored(build_index(corpus, names), "index") if index is None else index
+    wanted = F.broadcast(spark.createDataFrame(pa.table({"term": names})))
+    found = document_frequencies(index).join(wanted, "term", "left_semi").toArrow()
+    df = np.zeros(len(names))
+    df[pc.index_in(_strings(found.column("term")), value_set=names).to_numpy()] = found.column("df").to_numpy()
+    idf = _idf(df, corpus.agg(F.count("doc_id")).first()[0])
+    query, w = counted.column("query_id").to_numpy(), counted.column("tf").to_numpy() * idf[code]
+    ids, place = np.unique(query, return_inverse=True)
+    squares = np.bincount(place, weights=w * w, minlength=len(ids))[place]
+    return search_index(index, Weights(names, idf), Questions(query, code, w, squares, len(names)), k, add=True)
+
+
 def tfidf_hits(queries: DataFrame, corpus: DataFrame, k: int = 10, block_terms: int = BLOCK_TERMS, index: DataFrame | None = None) -> DataFrame:
     """Each task's best hits ``(query_id, doc_id, score)`` of every query; see ``tfidf_topk``.
 
     A row without ``doc_id`` holds the number of scores that a task took.
     """
     counted = stored(occurrences(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("tf")), "query-terms")
+    if counted.count() <= block_terms:
+        return _one_block(counted.toArrow(), corpus, k, index)
     vocabulary = stored(counted.select("term").distinct(), "query-vocabulary")
-    parts = max(1, -(-vocabulary.count() // block_terms))
+    parts = -(-vocabulary.count() // block_terms)
     if index is None:
         # Only query terms are kept, unless there are too many to tell every task.
-        wanted = _strings(vocabulary.toArrow().column("term")) if parts == 1 else None
-        index = stored(build_index(corpus, wanted), "index")
+        index = stored(build_index(corpus, _strings(vocabulary.toArrow().column("term")) if parts == 1 else None), "index")
     n = corpus.agg(F.count("doc_id")).scalar()
     df = F.coalesce(F.col("df"), F.lit(0))
     weight = F.log((n + 1).cast("double") / (df + 1).cast("double")) + 1.0
     known = vocabulary.join(document_frequencies(index), "term", "left").select("term", weight.alias("idf"))
     idf = stored(known.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")), "query-idf")
-    for i in range(parts if parts > 1 else 0):
+    for i in range(parts):
         index = stored(add_squares(index, _weights(idf.filter(F.col("part") == i))), "index")
 
     w = F.col("tf") * F.col("idf")
     vectors = counted.join(idf.select("term", "idf"), "term").select("query_id", "term", "idf", w.alias("w"))
     length = vectors.groupBy("query_id").agg(F.sum(F.col("w") * F.col("w")).alias("squares"), F.count("*").alias("n"))
     length = stored(length, "query-lengths")
-    blocks = max(1, -(-(length.agg(F.sum("n")).first()[0] or 0) // block_terms))
+    blocks = -(-length.agg(F.sum("n")).first()[0] // block_terms)
     length = length.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).drop("n")
     vectors = stored(vectors.join(length, "query_id"), "query-vectors")
     found = None
@@ -116,7 +139,7 @@ def tfidf_hits(queries: DataFrame, corpus: DataFrame, k: int = 10, block_terms:
         own[code] = rows.column("idf").to_numpy()
         columns = [rows.column(c).to_numpy() for c in ("query_id", "w", "squares")]
         asked = Questions(columns[0], code, columns[1], columns[2], len(own))
-        hits = search_index(index, Weights(term.dictionary, own), asked, k, add=parts == 1)
+        hits = search_index(index, Weights(term.dictionary, own), asked, k)
         found = hits if found is None else found.union(hits)
     return found
 

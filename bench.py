@@ -21,6 +21,7 @@ HEADLINE = [
     "sparse_context",
     "vector_topk",
     "vector_topk_stored",
+    "vector_topk_in_cells",
     "dense_context",
     "two_stage_context",
     "sentencize",
@@ -32,6 +33,7 @@ HEADLINE = [
     "model_correlation",
     "grid_scores_percent",
     "refine_weights",
+    "line_scores",
     "nearest_centroid",
     "kmeans",
     "seeded_split",

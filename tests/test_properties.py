@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from askframe.cluster import spread, stored, with_row_index, with_running_total
 from askframe.fixed_values import STOP_WORDS
 from askframe.functions import text as tx
-from askframe.operators import blend, clusters, dense, inverted, questions, scoring, selection, sparse, status
+from askframe.operators import blend, clusters, dense, inverted, layout, questions, scoring, selection, sparse, status
 from askframe.operators.inverted import build_index
 from askframe.sources.corpus import ids_per_file, scan_corpus
 
@@ -387,3 +387,38 @@ def test_an_empty_training_part_fails(spark):
     assert question_bundle(base, test_size=1).count() == 4
     with pytest.raises(Exception, match="no rows in the training part"):
         question_bundle(base.filter("false")).collect()
+
+
+def trustworthiness(x, flat, k):
+    """1 when every neighbour in the flat view is a neighbour among the vectors too."""
+    n = len(x)
+    rank = np.linalg.norm(x[:, None] - x[None], axis=2).argsort(axis=1).argsort(axis=1)
+    near = np.linalg.norm(flat[:, None] - flat[None], axis=2).argsort(axis=1)[:, 1 : k + 1]
+    lost = sum(max(0, rank[i, j] - k) for i in range(n) for j in near[i])
+    return 1 - 2 * lost / (n * k * (2 * n - 3 * k - 1))
+
+
+def test_neighbour_layout_keeps_more_neighbours_than_components(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(14, 20))
+    x = centres[np.arange(280) % 14] + 0.25 * rng.normal(size=(280, 20))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, emb array<double>").repartition(4)
+    view = {r.vec_id: (r.x, r.y) for r in layout.neighbour_layout(df, "vec_id", k=10, steps=8).collect()}
+    assert sorted(view) == [i * 3 for i in range(280)]
+    flat = np.array([view[i * 3] for i in range(280)])
+    pca = {r.vec_id: (r.x, r.y) for r in clusters.project_2d(df.filter("emb is not null")).collect()}
+    plain = np.array([pca[i * 3] for i in range(280)])
+    # What is lost of the neighbourhoods is less than half of what components lose.
+    assert 1 - trustworthiness(x, flat, 10) < 0.5 * (1 - trustworthiness(x, plain, 10))
+    again = {r.vec_id: (r.x, r.y) for r in layout.neighbour_layout(df.repartition(2), "vec_id", k=10, steps=2).collect()}
+    same = {r.vec_id: (r.x, r.y) for r in layout.neighbour_layout(df, "vec_id", k=10, steps=2).collect()}
+    assert all(again[i] == pytest.approx(same[i], abs=1e-6) for i in same)
+
+
+def test_neighbour_graph_weighs_both_choices(spark):
+    x = np.array([[1.0, 0.0], [0.8, 0.6], [0.6, 0.8], [-1.0, 0.0]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "number long, emb array<double>")
+    w = {(r.a, r.b): r.w for r in layout.neighbour_graph(df, 2).collect()}
+    assert all(w[b, a] == pytest.approx(v) for (a, b), v in w.items()) and all(0 < v <= 1 for v in w.values())
+    assert w[0, 1] == pytest.approx(1.0) and w[1, 2] == pytest.approx(1.0) and (0, 3) not in w
