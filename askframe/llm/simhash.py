@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, BooleanType
 
 from askframe.llm.common import components, stored, union_labels
 
@@ -27,6 +27,8 @@ BANDS, BAND_ROWS = 20, 5
 SIMILAR_LIMIT = 500
 # At similarity 0.8 two fingerprints differ in about 10 bits, with a standard deviation of 3.
 SIMILAR_BUDGET = 24
+# Bits of the table that tells which texts may be wanted: 8 MB.
+SIEVE_BITS = 26
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -219,10 +221,36 @@ def _sketches(shingle: int):
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = pa.array([_text_key(x.as_py()) for x in batch.column(0)], pa.binary())
-        yield pa.RecordBatch.from_arrays([keys, batch.column(0)], names=["key", "text"])
+class Sieve:
+    """Which text keys may be among some rows' keys: a table of 2 ** SIEVE_BITS bits, whatever the number of rows.
+
+    It spares texts that no row names the way through a join; an exact join
+    follows, so a full table costs time and loses nothing.
+    """
+
+    def __init__(self, keys: DataFrame):
+        at = F.shiftright(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), 56 - SIEVE_BITS)
+        rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
+        bits = np.zeros((1 << SIEVE_BITS - 15, 4096), np.uint8)
+        for r in rows.toLocalIterator():
+            bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def passes(self, key: bytes) -> bool:
+        at = int.from_bytes(key[:7], "big") >> 56 - SIEVE_BITS
+        return bool(self.shared.value[at >> 3] >> (at & 7) & 1)
+
+
+def _keyed(sieve: Sieve):
+    """``(key, text)`` of the texts whose key may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_text_key(x.as_py()) for x in batch.column(0)]
+            keep = [i for i, k in enumerate(keys) if sieve.passes(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.binary()), batch.column(0).take(pa.array(keep, pa.int64()))], names=["key", "text"])
+
+    return run
 
 
 def _verified(shingle: int, threshold: float):
@@ -247,7 +275,6 @@ def _verified(shingle: int, threshold: float):
                 i = label[i]
             return i
 
-        a, b = [], []
         for left, right in trie_pairs(keys, *(np.array([x]) for x in ranges), 0, SIMILAR_BUDGET):
             for i, j in zip(left.tolist(), right.tolist()):
                 x, y = root(i), root(j)
@@ -259,8 +286,9 @@ def _verified(shingle: int, threshold: float):
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 if shared >= threshold * (len(one) + len(two) - shared):
                     label[max(x, y)] = min(x, y)
-                    a.append(key[order[i]])
-                    b.append(key[order[j]])
+        # Stars, not chains: components then settle in few rounds.
+        child = [i for i in range(len(label)) if root(i) != i]
+        a, b = ([key[order[i]] for i in some] for some in (child, map(root, child)))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +364,7 @@ def _similar_keys(docs: DataFrame, shingle: int, threshold: float, group_limit:
     groups = components(bands.join(tops, "band").select(F.col("key").alias("a"), F.col("top").alias("b")).filter("a <> b"), "similar-groups")
     members = stored(groups.select(F.col("node").alias("key"), F.col("root").alias("home")).union(groups.select(F.col("root").alias("key"), F.col("root").alias("home")).distinct()), "similar-members")
     # Copies of a text differ in case and spaces at most, which the shingles do not see.
-    texts = stored(rows.select("text").mapInArrow(_keyed, "key binary, text binary").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
+    texts = stored(rows.select("text").mapInArrow(_keyed(Sieve(members)), "key binary, text binary").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
     roots = components(_similar_edges(members, texts, shingle, threshold, group_limit), "similar-links")
     rooted = stored(distinct.join(roots, distinct.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root")), "similar-rooted")
     return sketches.select("doc_id", "key"), rooted
@@ -375,13 +403,21 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_li
     name = "_key"
     while name in docs.columns:
         name += "_"
-    found = docs.withColumn(name, _key_column(F.col("text").cast("binary")))
+    # Texts that no lost or repeated row has stay where they are.
+    sieve = Sieve(lost.select(F.col("lost_key").alias("key")).union(again.select("again_key")))
+
+    @F.pandas_udf(BooleanType())
+    def named(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: sieve.passes(_text_key(t))).astype(bool)
+
+    is_named = named(F.col("text").cast("binary"))
+    found = docs.filter(is_named).withColumn(name, _key_column(F.col("text").cast("binary")))
     ident = F.col("doc_id").cast("long")
     found = found.join(lost, (F.col(name) == lost.lost_key) & ident.eqNullSafe(lost.lost_id), "left_anti")
     if not again.isEmpty():
         same = (F.col(name) == again.again_key) & ident.eqNullSafe(again.again_id)
         found = found.join(again, same, "left_anti").unionByName(found.join(again, same, "left_semi").dropDuplicates([name]))
-    return found.select(docs.columns)
+    return docs.filter(~is_named).select(docs.columns).unionByName(found.select(docs.columns))
 
 
 @F.pandas_udf(BinaryType())
