@@ -6,6 +6,7 @@ A null text is an empty one: a single end token.  Repeated rows are packed once
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import random
 import re
@@ -26,8 +27,9 @@ from askframe.llm.common import stored
 CACHE = 1_000_000
 # Documents of a bin that swaps look at.
 SWAP_ITEMS = 12
-# Effort of one crossover's swaps, and generations without a gain after which a search ends: they bound its time, not its items.
-SWAP_STEPS, PATIENCE = 300_000, 10
+# Effort of one crossover's swaps, crossovers times documents of a search, and generations without a gain that end it:
+# they bound its time, not its items.
+SWAP_STEPS, EFFORT, PATIENCE = 50_000, 30_000, 10
 # A mark between a letter or digit and white space is a word of its own to the tokenizer.
 _TAIL = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \n]|$)")
 END = (0).to_bytes(4, "little")
@@ -169,10 +171,16 @@ def evolve(size: list[int], capacity: int, seed: int, immigrants: list[list[Bin]
     reached, often at once.
     """
     rng, bound = random.Random(seed), -(-sum(size) // capacity)
-    worth = lambda b: _worth(b, size, capacity)
-    everyone = [_fit([], list(range(len(size))), size, capacity), *immigrants]
-    if min(map(len, everyone)) <= bound:
-        return max(everyone, key=worth)
+    crossings = max(4, EFFORT // max(1, len(size)))
+    population = min(population, max(3, crossings // 2))
+
+    def rated(bins: list[Bin]) -> tuple[tuple[int, float], list[Bin]]:
+        return _worth(bins, size, capacity), bins
+
+    everyone = [rated(bins) for bins in (_fit([], list(range(len(size))), size, capacity), *immigrants)]
+    rate = operator.itemgetter(0)
+    if -max(everyone, key=rate)[0][0] <= bound:
+        return max(everyone, key=rate)[1]
     while len(everyone) < population:
         order = list(range(len(size)))
         rng.shuffle(order)
@@ -182,17 +190,18 @@ def evolve(size: list[int], capacity: int, seed: int, immigrants: list[list[Bin]
             if size[i] <= capacity // 2:
                 room = [b for b in start[-3:] if sum(size[j] for j in b) + size[i] <= capacity]
                 room[0].append(i) if room else start.append([i])
-        everyone.append(_fit(start, order[len(order) // 2 :], size, capacity))
+        everyone.append(rated(_fit(start, order[len(order) // 2 :], size, capacity)))
     since, last = 0, None
     for _ in range(generations):
-        everyone = sorted(everyone, key=worth, reverse=True)[:population]
-        since, last = (since + 1, last) if last == worth(everyone[0]) else (0, worth(everyone[0]))
-        if len(everyone[0]) <= bound or since >= PATIENCE:
+        everyone = sorted(everyone, key=rate, reverse=True)[:population]
+        since, last = (since + 1, last) if last == everyone[0][0] else (0, everyone[0][0])
+        if -last[0] <= bound or since >= PATIENCE or crossings <= 0:
             break
-        for _ in range(population // 2):
+        for _ in range(min(crossings, max(1, population // 2))):
             one, two = (min(rng.sample(range(len(everyone)), 2)) for _ in range(2))
-            everyone.append(_cross(everyone[one], everyone[two], size, capacity, rng))
-    return max(everyone, key=worth)
+            everyone.append(rated(_cross(everyone[one][1], everyone[two][1], size, capacity, rng)))
+            crossings -= 1
+    return max(everyone, key=rate)[1]
 
 
 def _bins(frame: pd.DataFrame, column: str) -> list[Bin]:
