@@ -20,9 +20,15 @@ def unpivot_metrics(logs: DataFrame, keys: list[str]) -> DataFrame:
     return logs.unpivot(keys, ["loss", "eval_loss", *metric_columns(logs)], "type", "value")
 
 
+def _epoch(step: Column, epoch: Column, global_step: Column) -> Column:
+    """``step * epoch / global_step``; by IEEE rules where a state was saved at step 0, as a division of doubles there is an error in Spark."""
+    reached = step * epoch
+    return F.when(global_step == 0, reached * float("inf")).otherwise(reached / global_step)
+
+
 def learning_curve(logs: DataFrame) -> DataFrame:
     """``(run_id, epoch, step, type, value, facet)`` of logs holding ``epoch`` and ``global_step``."""
-    scaled = logs.withColumn("epoch", F.col("step") * F.col("epoch") / F.col("global_step"))
+    scaled = logs.withColumn("epoch", _epoch(F.col("step"), F.col("epoch"), F.col("global_step")))
     long = unpivot_metrics(scaled, ["run_id", "epoch", "step"])
     name = F.replace(F.col("type"), F.lit("eval_"), F.lit(""))
     facet = (
@@ -55,6 +61,6 @@ def saved_points(logs: DataFrame) -> DataFrame:
         F.max_by(F.struct("epoch", "global_step"), F.struct("global_step", "step")).alias("state")
     )
     losses = logs.groupBy("run_id", "step").agg(F.min("eval_loss").alias("value"))
-    at = F.col("step") * F.col("state.epoch") / F.col("state.global_step")
+    at = _epoch(F.col("step"), F.col("state.epoch"), F.col("state.global_step"))
     found = points.filter(F.col("step").isNotNull()).join(losses, ["run_id", "step"], "left").join(facts, "run_id")
     return found.select("run_id", "save_point", "step", at.alias("epoch"), "value")

@@ -9,7 +9,7 @@ from askframe.fixed_values import EXTRA_SETS, PROMPT_TEXTS
 from askframe.functions import text as tx
 from askframe.functions.prompts import prompt_kind
 from askframe.functions.vectors import l2_normalize
-from askframe.operators import blend, metrics, prompts, questions, scoring, sentences
+from askframe.operators import blend, metrics, prompts, questions, runs, scoring, sentences
 from askframe.sources.questions import registry_frame, select_context_version
 
 QUESTION = "id long, prompt string, context string, A string, B string, C string, D string, E string, answer string"
@@ -277,3 +277,11 @@ def test_reports_count_every_answered_question(spark):
     from askframe.plans.answers import answer_report
 
     assert one(answer_report(probs, answers)).map3_pct == pytest.approx(50.0)
+
+
+def test_a_state_saved_at_step_zero_has_an_epoch_of_no_number(spark):
+    logs = spark.createDataFrame([("r", 0, 1.0, 0.5, 3.0, 0), ("s", 5, 1.0, 0.5, 3.0, 10)], "run_id string, step long, loss double, eval_loss double, epoch double, global_step long")
+    curve = {(r.run_id, r.type): r.epoch for r in runs.learning_curve(logs).collect()}
+    assert math.isnan(curve["r", "loss"]) and math.isnan(curve["r", "eval_loss"]) and curve["s", "loss"] == 1.5
+    points = {(r.run_id, r.save_point): r.epoch for r in runs.saved_points(logs).collect()}
+    assert math.isnan(points["r", "latest"]) and points["s", "best"] == 1.5
