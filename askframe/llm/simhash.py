@@ -25,6 +25,7 @@ PAIRS_AT_ONCE = 2_000_000
 # MinHash bands of similar_documents: texts of similarity 0.8 share one of them with probability 0.9996.
 BANDS, BAND_ROWS = 20, 5
 SIMILAR_LIMIT = 500
+TEXTS_AT_ONCE = 1_000
 # At similarity 0.8 two fingerprints differ in about 10 bits, with a standard deviation of 3.
 SIMILAR_BUDGET = 24
 # Bits of the table that tells which texts may be wanted: 8 MB.
@@ -213,10 +214,11 @@ def _sketches(shingle: int):
         return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least)], np.uint64).view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, TEXTS_AT_ONCE) for b in batches for a in range(0, b.num_rows, TEXTS_AT_ONCE)):
             texts = [x.as_py() for x in batch.column(1)]
-            columns = [batch.column(0), pa.array([_text_key(t) for t in texts], pa.binary()), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "bands"])
+            prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array([_text_key(t) for t in texts], pa.binary()), pa.array(prints), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "bands"])
 
     return run
 
@@ -294,7 +296,9 @@ def _verified(shingle: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [], [], [])
         for batch in batches:
-            for cell, side, key, known, text in zip(*(c.to_pylist() for c in batch.columns)):
+            # Texts leave the batch one by one: only their hashes are held.
+            for cell, side, key, known, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+                text = text.as_py()
                 if cell != now:
                     if held[0]:
                         yield walk(*held)
@@ -354,18 +358,29 @@ def _similar_edges(members: DataFrame, texts: DataFrame, shingle: int, threshold
     return found.union(edges(paired(parts.join(stored(split, "similar-split"), "home", "left_semi")), "similar-across"))
 
 
-def _similar_keys(docs: DataFrame, shingle: int, threshold: float, group_limit: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, key)`` of every row, and ``(key, root)`` of every different text."""
+def _print_edges(distinct: DataFrame, budget: int) -> DataFrame:
+    """Edges ``(a, b)`` between texts ``(key, fp)`` that connect those whose fingerprints are within ``budget`` bits."""
+    tops = stored(distinct.groupBy("fp").agg(F.min("key").alias("top")), "similar-prints")
+    same = distinct.join(tops, "fp").filter(F.col("key") != F.col("top")).select(F.col("key").alias("a"), F.col("top").alias("b"))
+    near = stored(links(tops.select("fp"), budget), "similar-print-links")
+    one, two = (tops.select(F.col("fp").alias(x), F.col("top").alias(f"{x}_key")) for x in ("a", "b"))
+    return same.union(near.join(one, "a").join(two, "b").select("a_key", "b_key"))
+
+
+def _similar_keys(docs: DataFrame, shingle: int, threshold: float, group_limit: int, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, key)`` of every row, and ``(key, root)`` of every different text; ``budget`` links fingerprints besides."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, bands array<long>"), "similar-sketches")
-    distinct = stored(sketches.groupBy("key").agg(F.first("bands").alias("bands")), "similar-distinct")
+    sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, fp long, bands array<long>"), "similar-sketches")
+    distinct = stored(sketches.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-distinct")
     bands = distinct.select("key", F.explode("bands").alias("band"))
     tops = stored(bands.groupBy("band").agg(F.min("key").alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", "top"), "similar-tops")
     groups = components(bands.join(tops, "band").select(F.col("key").alias("a"), F.col("top").alias("b")).filter("a <> b"), "similar-groups")
     members = stored(groups.select(F.col("node").alias("key"), F.col("root").alias("home")).union(groups.select(F.col("root").alias("key"), F.col("root").alias("home")).distinct()), "similar-members")
     # Copies of a text differ in case and spaces at most, which the shingles do not see.
     texts = stored(rows.select("text").mapInArrow(_keyed(Sieve(members)), "key binary, text binary").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
-    roots = components(_similar_edges(members, texts, shingle, threshold, group_limit), "similar-links")
+    similar = _similar_edges(members, texts, shingle, threshold, group_limit)
+    edges = similar if budget is None else similar.union(_print_edges(distinct.select("key", "fp"), budget))
+    roots = components(edges, "similar-links")
     rooted = stored(distinct.join(roots, distinct.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root")), "similar-rooted")
     return sketches.select("doc_id", "key"), rooted
 
@@ -384,14 +399,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
     return named.join(least, "root").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_limit: int = SIMILAR_LIMIT) -> DataFrame:
-    """Rows of ``docs``, one of every component of ``similar_documents``.
+def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_limit: int = SIMILAR_LIMIT, budget: int = 3) -> DataFrame:
+    """Rows of ``docs``, one of every component of near copies.
+
+    Near copies are texts whose fingerprints differ in at most ``budget`` bits,
+    linked by the trie join as in ``near_duplicates``, and those that
+    ``similar_documents`` links, whose fingerprints may be farther apart.
 
     Rows are told apart by id and text together: the row with the smallest id
     stays, a row without an id only where no other has one, of equal ids the
     text with the smallest key, and of wholly equal rows one.
     """
-    keys, rooted = _similar_keys(docs, shingle, threshold, group_limit)
+    keys, rooted = _similar_keys(docs, shingle, threshold, group_limit, budget)
     counted = keys.join(rooted, "key").groupBy("root", "key", "doc_id").agg(F.count("*").alias("n"))
     counted = stored(counted, "similar-counted")
     first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))

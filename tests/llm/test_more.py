@@ -79,6 +79,16 @@ def test_one_row_of_each_component_stays(spark):
     assert simhash.keep_one(table.filter("false")).count() == 0
 
 
+def test_the_pipeline_links_fingerprints_within_the_budget(spark):
+    same = "one two three four five " * 40
+    texts = [same + "red blue green grey black white pink", same + "cat dog cow hen pig ant bee", "nothing like the others at all here"]
+    near, sets = [simhash.fingerprint(t.encode()) for t in texts], [simhash.shingle_set(t.encode(), 5) for t in texts]
+    assert (near[0] ^ near[1]).bit_count() <= 3 < (near[0] ^ near[2]).bit_count()
+    assert len(np.intersect1d(sets[0], sets[1])) < 0.8 * len(np.union1d(sets[0], sets[1]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == [0, 2]
+
+
 def test_stage_works_without_the_rest_of_the_pipeline(spark):
     import corpus_pipeline
 
