@@ -33,7 +33,8 @@ def neighbour_graph(vectors: DataFrame, k: int = 15, n_cells: int = 0) -> DataFr
     scale = F.avg("d").over(own) - F.min("d").over(own)
     weight = F.when(scale > 0, F.exp(-apart / scale)).otherwise(1.0)
     chosen = near.select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"), weight.alias("w"))
-    both = chosen.union(chosen.select("b", "a", "w")).groupBy("a", "b")
+    # Both directions of a row at once: the neighbours are found only once.
+    both = chosen.select(F.inline(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w")))).groupBy("a", "b")
     return both.agg((1 - F.product(1 - F.col("w"))).alias("w"))
 
 
