@@ -68,7 +68,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return (
         rounded.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+        # The nearest millionth in doubles, as the SQL's engine rounds; by decimals 0.2549295 would be 0.254930.
+        .select("query_id", "rank", "doc_id", (F.round(F.col("score") * 1e6) / 1e6).alias("score"))
     )
 
 

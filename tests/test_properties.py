@@ -450,3 +450,8 @@ def test_many_queries_stay_in_place(spark, monkeypatch):
     # A row a query, hit and block of the corpus, whatever the number of tasks.
     assert hits.count() <= 301 * 4 * 4
     assert Counter(dense.vector_topk(asked, corpus, 4).collect()) == Counter(want)
+
+
+def test_scores_round_like_the_sql(spark):
+    scored = spark.createDataFrame([(1, 1, 0.2549295), (1, 2, 0.123456), (1, 3, -0.2549295)], "query_id long, doc_id long, score double")
+    assert [r.score for r in sparse.top_k(scored, 3).orderBy("rank").collect()] == [0.254929, 0.123456, -0.254929]
