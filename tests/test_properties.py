@@ -455,3 +455,14 @@ def test_many_queries_stay_in_place(spark, monkeypatch):
 def test_scores_round_like_the_sql(spark):
     scored = spark.createDataFrame([(1, 1, 0.2549295), (1, 2, 0.123456), (1, 3, -0.2549295)], "query_id long, doc_id long, score double")
     assert [r.score for r in sparse.top_k(scored, 3).orderBy("rank").collect()] == [0.254929, 0.123456, -0.254929]
+
+
+def test_small_blocks_of_queries_travel_together(spark, monkeypatch):
+    calls, search = [], sparse.search_index
+    monkeypatch.setattr(sparse, "search_index", lambda *a, **b: calls.append(1) or search(*a, **b))
+    rows = [(i, f"alpha{i % 7} beta{i % 5} gamma{i % 3} delta") for i in range(40)]
+    queries, docs = (spark.createDataFrame(rows, f"{key} long, text string") for key in ("query_id", "doc_id"))
+    want = sparse.tfidf_topk(queries, docs, 3).collect()
+    calls.clear()
+    assert Counter(sparse.tfidf_topk(queries, docs, 3, block_terms=20).collect()) == Counter(want)
+    assert len(calls) == 1
