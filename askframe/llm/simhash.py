@@ -10,12 +10,10 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType
 
 from askframe.llm.common import components, stored, union_labels
 
@@ -28,7 +26,7 @@ SIMILAR_LIMIT = 500
 TEXTS_AT_ONCE = 1_000
 # At similarity 0.8 two fingerprints differ in about 10 bits, with a standard deviation of 3.
 SIMILAR_BUDGET = 24
-# Bits of the table that tells which texts may be wanted: 8 MB.
+# Bits of the table that tells which rows may be wanted: 8 MB.
 SIEVE_BITS = 26
 
 
@@ -217,42 +215,41 @@ def _sketches(shingle: int):
         for batch in (b.slice(a, TEXTS_AT_ONCE) for b in batches for a in range(0, b.num_rows, TEXTS_AT_ONCE)):
             texts = [x.as_py() for x in batch.column(1)]
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array([_text_key(t) for t in texts], pa.binary()), pa.array(prints), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "bands"])
+            columns = [batch.column(0), pa.array([_text_key(t) for t in texts], pa.binary()), batch.column(2), pa.array(prints), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "mark", "fp", "bands"])
 
     return run
 
 
-class Sieve:
-    """Which text keys may be among some rows' keys: a table of 2 ** SIEVE_BITS bits, whatever the number of rows.
+def _mark(text: Column) -> Column:
+    """128 bits that name a text as it stands, null as empty; Spark computes them where the text lies."""
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary"))))
 
-    It spares texts that no row names the way through a join; an exact join
-    follows, so a full table costs time and loses nothing.
-    """
 
-    def __init__(self, keys: DataFrame):
-        at = F.shiftright(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), 56 - SIEVE_BITS)
-        rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
-        bits = np.zeros((1 << SIEVE_BITS - 15, 4096), np.uint8)
-        for r in rows.toLocalIterator():
-            bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-        self.shared = keys.sparkSession.sparkContext.broadcast(bits.ravel())
+def _place(doc_id: Column, mark: Column) -> Column:
+    """Where a row's id and text fall in a sieve."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, mark), 64 - SIEVE_BITS)
 
-    def passes(self, key: bytes) -> bool:
-        at = int.from_bytes(key[:7], "big") >> 56 - SIEVE_BITS
-        return bool(self.shared.value[at >> 3] >> (at & 7) & 1)
 
+def _sieve(rows: DataFrame, name: str) -> DataFrame:
+    """Which rows may be among ``rows`` of ``(doc_id, mark)``: a table of 2 ** SIEVE_BITS bits, whatever their number.
 
-def _keyed(sieve: Sieve):
-    """``(key, text)`` of the texts whose key may be wanted."""
+    It spares texts that no row names the way through a join; an exact join
+    follows, so a full table costs time and loses nothing.
+    """
+    at = rows.select(_place(F.col("doc_id"), F.col("mark")).alias("at"))
+    bits = F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767)))
+    return stored(at.groupBy(F.shiftright("at", 15).alias("_part")).agg(bits.alias("_bits")), name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [_text_key(x.as_py()) for x in batch.column(0)]
-            keep = [i for i, k in enumerate(keys) if sieve.passes(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.binary()), batch.column(0).take(pa.array(keep, pa.int64()))], names=["key", "text"])
 
-    return run
+def _passing(rows: DataFrame, sieve: DataFrame, doc_id: str = "doc_id", mark: str = "mark", others: bool = False) -> DataFrame:
+    """The rows that the sieve lets pass, or the others; no text leaves its task, the table of bits goes to all."""
+    at = _place(F.col(doc_id), F.col(mark))
+    table = sieve.select(*[F.col(c).alias(f"{mark}{c}") for c in sieve.columns])
+    joined = rows.join(F.broadcast(table), F.shiftright(at, 15) == F.col(f"{mark}_part"), "left" if others else "inner")
+    byte = F.conv(F.hex(F.substring(f"{mark}_bits", F.shiftright(at, 3).bitwiseAND(F.lit(4095)) + 1, F.lit(1))), 16, 10).cast("int")
+    passes = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")), F.lit(0)) == 1
+    return joined.filter(~passes if others else passes).select(rows.columns)
 
 
 def _verified(shingle: int, threshold: float):
@@ -368,21 +365,25 @@ def _print_edges(distinct: DataFrame, budget: int) -> DataFrame:
 
 
 def _similar_keys(docs: DataFrame, shingle: int, threshold: float, group_limit: int, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, key)`` of every row, and ``(key, root)`` of every different text; ``budget`` links fingerprints besides."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, fp long, bands array<long>"), "similar-sketches")
-    distinct = stored(sketches.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-distinct")
+    """``(doc_id, key, mark)`` of every row, and ``(key, root)`` of every different text; ``budget`` links fingerprints besides."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _mark(F.col("text")).alias("mark"))
+    sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, mark binary, fp long, bands array<long>"), "similar-sketches")
+    one = F.min(F.struct("doc_id", "mark")).alias("one")
+    distinct = stored(sketches.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), one), "similar-distinct")
     bands = distinct.select("key", F.explode("bands").alias("band"))
     tops = stored(bands.groupBy("band").agg(F.min("key").alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", "top"), "similar-tops")
     groups = components(bands.join(tops, "band").select(F.col("key").alias("a"), F.col("top").alias("b")).filter("a <> b"), "similar-groups")
     members = stored(groups.select(F.col("node").alias("key"), F.col("root").alias("home")).union(groups.select(F.col("root").alias("key"), F.col("root").alias("home")).distinct()), "similar-members")
-    # Copies of a text differ in case and spaces at most, which the shingles do not see.
-    texts = stored(rows.select("text").mapInArrow(_keyed(Sieve(members)), "key binary, text binary").join(members.select("key"), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
+    # Copies of a text differ in case and spaces at most, which the shingles do not see: one of them is sent.
+    wanted = stored(members.select("key").join(distinct, "key").select("key", F.col("one.doc_id").alias("one_id"), F.col("one.mark").alias("one_mark")), "similar-wanted")
+    sieve = _sieve(wanted.select(F.col("one_id").alias("doc_id"), F.col("one_mark").alias("mark")), "similar-sieve")
+    sent = _passing(rows, sieve).join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("mark") == F.col("one_mark")))
+    texts = stored(sent.select("key", "text").dropDuplicates(["key"]), "similar-texts")
     similar = _similar_edges(members, texts, shingle, threshold, group_limit)
     edges = similar if budget is None else similar.union(_print_edges(distinct.select("key", "fp"), budget))
     roots = components(edges, "similar-links")
     rooted = stored(distinct.join(roots, distinct.key == roots.node, "left").select("key", F.coalesce("root", "key").alias("root")), "similar-rooted")
-    return sketches.select("doc_id", "key"), rooted
+    return sketches.select("doc_id", "key", "mark"), rooted
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_limit: int = SIMILAR_LIMIT) -> DataFrame:
@@ -408,37 +409,26 @@ def keep_one(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, group_li
 
     Rows are told apart by id and text together: the row with the smallest id
     stays, a row without an id only where no other has one, of equal ids the
-    text with the smallest key, and of wholly equal rows one.
+    text with the smallest key, and of wholly equal rows one.  Texts meet no
+    Python and no shuffle on their way out, but for the few that a sieve of
+    what is dropped takes for one of those and rows that occur twice.
     """
     keys, rooted = _similar_keys(docs, shingle, threshold, group_limit, budget)
-    counted = keys.join(rooted, "key").groupBy("root", "key", "doc_id").agg(F.count("*").alias("n"))
+    counted = keys.join(rooted, "key").groupBy("root", "key", "doc_id", "mark").agg(F.count("*").alias("n"))
     counted = stored(counted, "similar-counted")
-    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
-    first = stored(first.select(F.col("root"), F.col("first.key").alias("first_key"), F.col("first.doc_id").alias("first_id")), "similar-first")
-    marked = counted.join(first, "root").withColumn("stays", (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    # A row that no other resembles has its key alone and is not sent anywhere.
-    lost = stored(marked.filter("not stays").select(F.col("key").alias("lost_key"), F.col("doc_id").alias("lost_id")), "similar-lost")
-    again = stored(marked.filter("stays and n > 1").select(F.col("key").alias("again_key"), F.col("doc_id").alias("again_id")), "similar-again")
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    # Texts that no lost or repeated row has stay where they are.
-    sieve = Sieve(lost.select(F.col("lost_key").alias("key")).union(again.select("again_key")))
-
-    @F.pandas_udf(BooleanType())
-    def named(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: sieve.passes(_text_key(t))).astype(bool)
-
-    is_named = named(F.col("text").cast("binary"))
-    found = docs.filter(is_named).withColumn(name, _key_column(F.col("text").cast("binary")))
-    ident = F.col("doc_id").cast("long")
-    found = found.join(lost, (F.col(name) == lost.lost_key) & ident.eqNullSafe(lost.lost_id), "left_anti")
-    if not again.isEmpty():
-        same = (F.col(name) == again.again_key) & ident.eqNullSafe(again.again_id)
-        found = found.join(again, same, "left_anti").unionByName(found.join(again, same, "left_semi").dropDuplicates([name]))
-    return docs.filter(~is_named).select(docs.columns).unionByName(found.select(docs.columns))
-
-
-@F.pandas_udf(BinaryType())
-def _key_column(text: pd.Series) -> pd.Series:
-    return text.map(_text_key)
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "mark")).alias("first"))
+    first = stored(first.select(F.col("root"), F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")), "similar-first")
+    stays = (F.col("mark") == F.col("first_mark")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    marked = stored(counted.join(first, "root").select("doc_id", "mark", "n", stays.alias("stays")), "similar-marked")
+    # Rows that are dropped, whole or but for one.
+    dropped = _sieve(marked.filter("not stays or n > 1"), "similar-dropped")
+    held = stored(_passing(marked.filter("stays"), dropped).select(F.col("doc_id").alias("held_id"), F.col("mark").alias("held_mark")), "similar-held")
+    back = _sieve(held.select(F.col("held_id").alias("doc_id"), F.col("held_mark").alias("mark")), "similar-back")
+    name = "_mark"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    ident = f"{name}_id"
+    rows = docs.withColumns({name: _mark(F.col("text")), ident: F.col("doc_id").cast("long")})
+    found = _passing(_passing(rows, dropped, ident, name), back, ident, name)
+    found = found.join(held, (F.col(name) == held.held_mark) & F.col(ident).eqNullSafe(held.held_id), "left_semi").dropDuplicates([ident, name])
+    return _passing(rows, dropped, ident, name, others=True).select(docs.columns).unionByName(found.select(docs.columns))

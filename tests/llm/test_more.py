@@ -89,6 +89,18 @@ def test_the_pipeline_links_fingerprints_within_the_budget(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == [0, 2]
 
 
+@pytest.mark.parametrize("bits", [3, 26])
+def test_kept_rows_leave_without_python_whatever_the_sieve_lets_pass(spark, bits, monkeypatch):
+    monkeypatch.setattr(simhash, "SIEVE_BITS", bits)
+    alone = [(i, f"text number {i} of {i * 7919} others like {i * 104729} none", "x") for i in range(60)]
+    rows = [(100, "the same words", "a"), (101, "The  same words", "b"), (None, "the same words", "c"), (102, "twice here", "d"), (102, "twice here", "d"), (103, None, "e"), (103, "", "f"), (None, "no id", "g"), (102, "another text of that id", "h")]
+    kept = simhash.keep_one(spark.createDataFrame(alone + rows, "doc_id long, text string, _mark_id string").repartition(3))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in kept.collect()))
+    assert got == sorted([*((i, t) for i, t, _ in alone), (100, "the same words"), (102, "twice here"), (103, ""), (-1, "no id"), (102, "another text of that id")])
+
+
 def test_stage_works_without_the_rest_of_the_pipeline(spark):
     import corpus_pipeline
 
