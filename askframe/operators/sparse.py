@@ -8,10 +8,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askframe.cluster import broadcast_when, is_small, stored
+from askframe.cluster import arrow_rows, broadcast_when, is_small, stored
 from askframe.functions.text import terms
 from askframe.operators.blocks import HIT_SCHEMA
-from askframe.operators.inverted import Questions, Weights, build_index, document_frequencies, search_index, weighted_index
+from askframe.operators.inverted import ROW_DOCS, Questions, Weights, build_index, document_frequencies, search_index, weighted_index
 
 # Terms, or query entries, that are sent to the tasks at a time: about 30 MB.
 BLOCK_TERMS = 500_000
@@ -84,12 +84,18 @@ def _idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.log((n + 1.0) / (df + 1.0)) + 1.0
 
 
+def _stored_index(corpus: DataFrame, vocabulary: pa.Array | None) -> DataFrame:
+    """The index, built from as many documents at a time as one row of it holds."""
+    with arrow_rows(corpus.sparkSession, ROW_DOCS):
+        return stored(build_index(corpus, vocabulary), "index")
+
+
 def _one_block(counted: pa.Table, corpus: DataFrame, k: int, index: DataFrame | None) -> DataFrame:
     """Hits of queries whose ``(query_id, term, tf)`` rows are one block: their side is made ready on the driver."""
     spark = corpus.sparkSession
     term = _strings(counted.column("term")).dictionary_encode()
     names, code = term.dictionary, term.indices.to_numpy()
-    index = stored(build_index(corpus, names), "index") if index is None else index
+    index = _stored_index(corpus, names) if index is None else index
     wanted = F.broadcast(spark.createDataFrame(pa.table({"term": names})))
     found = document_frequencies(index).join(wanted, "term", "left_semi").toArrow()
     df = np.zeros(len(names))
@@ -112,7 +118,7 @@ def tfidf_hits(queries: DataFrame, corpus: DataFrame, k: int = 10, block_terms:
     vocabulary = stored(counted.select("term").distinct(), "query-vocabulary")
     if index is None:
         # Only query terms are kept, unless there are too many to tell every task.
-        index = stored(build_index(corpus, _strings(vocabulary.toArrow().column("term")) if is_small(vocabulary, SHARED_TERMS) else None), "index")
+        index = _stored_index(corpus, _strings(vocabulary.toArrow().column("term")) if is_small(vocabulary, SHARED_TERMS) else None)
     n = corpus.agg(F.count("doc_id")).scalar()
     df = F.coalesce(F.col("df"), F.lit(0))
     weight = F.log((n + 1).cast("double") / (df + 1).cast("double")) + 1.0

@@ -37,11 +37,11 @@ def sparse_context(questions: DataFrame, paragraphs: DataFrame, k: int = 3, sect
     queries = stored(questions.select(F.col("id").alias("query_id"), query_text_weighted().alias("text")), "queries")
     title, text = F.col("title"), F.col("text")
     if sectioned:
-        search, shown = corpus_text_v1(title, F.col("section"), text), text
+        search = corpus_text_v1(title, F.col("section"), text)
     else:
-        search, shown = corpus_text_v0(title, text), normalize_context(text)
+        search = corpus_text_v0(title, text)
     hits = stored(tfidf_topk(queries, paragraphs.select(F.col("article_id").alias("doc_id"), search.alias("text")), k), "hits")
-    return _attach(questions, hits, paragraphs.select(F.col("article_id").alias("doc_id"), shown.alias("text")), k)
+    return _attach(questions, hits, paragraphs.select(F.col("article_id").alias("doc_id"), "text"), k, (lambda t: t) if sectioned else normalize_context)
 
 
 def dense_context(
@@ -55,8 +55,9 @@ def dense_context(
     return _attach(questions, hits, articles.select("doc_id", "text"), k)
 
 
-def _attach(questions: DataFrame, hits: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    ranked = fetch_paragraphs(hits, texts).withColumnRenamed("query_id", "id")
+def _attach(questions: DataFrame, hits: DataFrame, texts: DataFrame, k: int, shown=lambda text: text) -> DataFrame:
+    """``shown`` makes the text to show of a hit's; texts that no question finds are not put through it."""
+    ranked = fetch_paragraphs(hits, texts).withColumn("text", shown(F.col("text"))).withColumnRenamed("query_id", "id")
     return questions.join(pivot_contexts(ranked, k), "id", "left").withColumn("context", bullets_from_columns(k))
 
 

@@ -466,3 +466,20 @@ def test_small_blocks_of_queries_travel_together(spark, monkeypatch):
     calls.clear()
     assert Counter(sparse.tfidf_topk(queries, docs, 3, block_terms=20).collect()) == Counter(want)
     assert len(calls) == 1
+
+
+def test_unsectioned_context_holds_few_texts_in_python(spark, monkeypatch):
+    from askframe.fixed_values import LETTERS
+    from askframe.plans import contexts
+
+    rows, key, real = [], "spark.sql.execution.arrow.maxRecordsPerBatch", sparse.stored
+    own = spark.conf.get(key)
+    monkeypatch.setattr(sparse, "stored", lambda df, name: (rows.append(int(spark.conf.get(key))) if name == "index" else None, real(df, name))[1])
+    paragraphs = spark.createDataFrame([(1, "T", "ﬁne café roof"), (2, "T", "other words"), (3, "U", None)], "article_id long, title string, text string")
+    questions = spark.createDataFrame([(7, "café roof", *"vwxyz")], ["id", "prompt", *LETTERS])
+    found = contexts.sparse_context(questions, paragraphs, 1, sectioned=False)
+    assert rows == [1024] and spark.conf.get(key) == own
+    # Only texts that a question finds are normalised to be shown: the step stands above the join with the hits.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Join Inner")
+    assert [r.context for r in found.collect()] in ([None], ["- fine café roof"])
