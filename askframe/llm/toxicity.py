@@ -40,7 +40,7 @@ _WORD = re.compile(rf"[^\s{re.escape(MARKS)}]+")
 _ODD = re.compile(r"[^\W\d_][\d@$!|*_][^\W\d_]|[^\W\d_](?:[.\-*_][^\W\d_]){3,}")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def plain(word: str) -> str:
     """A word with lookalikes put back, inner marks dropped and letter runs cut to one."""
     word = re.sub(r"[\W_]+", "", word.lower().translate(LOOKALIKE))
@@ -90,7 +90,7 @@ class Tokens(dict):
     from the token's first word.  Long tokens are not kept, and a full table is emptied.
     """
 
-    def __init__(self, weights: dict[str, float], most: int = 200_000, longest: int = 60):
+    def __init__(self, weights: dict[str, float], most: int = 50_000, longest: int = 60):
         super().__init__()
         self.weights, self.most, self.longest = weights, most, longest
 
