@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Ids looked at for shard bounds: the driver holds about so many, whatever the input.
 BOUND_SAMPLE = 50_000
+# Rows of whole texts that travel to Python in one batch.
+TEXTS_AT_ONCE = 1_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -28,10 +32,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, and the size is known to the planner."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside send at most ``rows`` rows at a time to Python; the session's own setting holds where it is smaller, and again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends here, and the size is known to the planner.
+
+    With ``batch_rows`` Python inside the plan meets at most so many rows at a time.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch_rows) if batch_rows else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

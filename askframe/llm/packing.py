@@ -10,6 +10,7 @@ import operator
 import os
 import random
 import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -22,16 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from askframe.llm.common import stored
+from askframe.llm.common import TEXTS_AT_ONCE, stored
 
-CACHE = 1_000_000
+# Words that a Python worker remembers at most, about 150 bytes each.
+CACHE = 400_000
 # Documents of a bin that swaps look at.
 SWAP_ITEMS = 12
 # Effort of one crossover's swaps, crossovers times documents of a search, and generations without a gain that end it:
 # they bound its time, not its items.
 SWAP_STEPS, EFFORT, PATIENCE = 50_000, 30_000, 10
 # A mark between a letter or digit and white space is a word of its own to the tokenizer.
-_TAIL = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \n]|$)")
+_TAIL = re.compile(rb"([.,;:!?])(?<=[a-z0-9].)(?=[ \n]|$)")
 END = (0).to_bytes(4, "little")
 
 
@@ -39,7 +41,8 @@ class Pieces:
     """Ids of whole texts as little-endian bytes; distinct words are remembered up to a bound.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn.  Words met since the table was last half
+    full stay when it is full, so frequent ones are never forgotten.
     """
 
     def __init__(self, path: str):
@@ -47,20 +50,25 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> bytes:
         if b"<|" not in text:  # no special token, so case does not matter
             text = text.lower()
         words = _TAIL.sub(rb" \1", text).split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE and known:
-            known.clear()
-            new = list(set(words))
+        if len(self.known) >= CACHE // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for w in {w for w in words if w not in known}:
+            if (ids := before.get(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
         return b"".join([known[w] for w in words]) + END
 
 
@@ -217,7 +225,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, region: int = 3000, i
     are final; documents of poorly filled ones are dealt into new, fewer
     regions and packed again, over ``rounds``.
     """
-    cut_pieces = stored(cut(docs, path, capacity), "pieces")
+    cut_pieces = stored(cut(docs, path, capacity), "pieces", TEXTS_AT_ONCE)
     full = cut_pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     # Stored with its number, so that every later step names a piece alike.
     rest = stored(cut_pieces.filter(F.col("length") < capacity).withColumn("item", F.monotonically_increasing_id()), "pieces-open")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askframe.llm.common import components, stored, union_labels
+from askframe.llm.common import TEXTS_AT_ONCE, components, stored, union_labels
 
 BLOCK_WORDS = 100_000
 GROUP_LIMIT = 50_000
@@ -23,7 +23,6 @@ PAIRS_AT_ONCE = 2_000_000
 # MinHash bands of similar_documents: texts of similarity 0.8 share one of them with probability 0.9996.
 BANDS, BAND_ROWS = 20, 5
 SIMILAR_LIMIT = 500
-TEXTS_AT_ONCE = 1_000
 # At similarity 0.8 two fingerprints differ in about 10 bits, with a standard deviation of 3.
 SIMILAR_BUDGET = 24
 # Bits of the table that tells which rows may be wanted: 8 MB.
@@ -321,7 +320,7 @@ def _similar_edges(members: DataFrame, texts: DataFrame, shingle: int, threshold
 
     def edges(cells: DataFrame, name: str) -> DataFrame:
         rows = cells.join(texts, "key").select("cell", "side", "key", "known", "text").repartition(n, "cell").sortWithinPartitions("cell")
-        return stored(rows.mapInArrow(_verified(shingle, threshold), "a binary, b binary"), name)
+        return stored(rows.mapInArrow(_verified(shingle, threshold), "a binary, b binary"), name, TEXTS_AT_ONCE)
 
     def chunked(rows: DataFrame) -> DataFrame:
         """With ``k`` chunks of the row's group, and its own."""
@@ -367,7 +366,7 @@ def _print_edges(distinct: DataFrame, budget: int) -> DataFrame:
 def _similar_keys(docs: DataFrame, shingle: int, threshold: float, group_limit: int, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, key, mark)`` of every row, and ``(key, root)`` of every different text; ``budget`` links fingerprints besides."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _mark(F.col("text")).alias("mark"))
-    sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, mark binary, fp long, bands array<long>"), "similar-sketches")
+    sketches = stored(rows.mapInArrow(_sketches(shingle), "doc_id long, key binary, mark binary, fp long, bands array<long>"), "similar-sketches", TEXTS_AT_ONCE)
     one = F.min(F.struct("doc_id", "mark")).alias("one")
     distinct = stored(sketches.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), one), "similar-distinct")
     bands = distinct.select("key", F.explode("bands").alias("band"))

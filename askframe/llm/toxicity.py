@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askframe.llm.common import split_of, stored
+from askframe.llm.common import TEXTS_AT_ONCE, batches_of, split_of, stored
 
 MAX_LABELLED = 20_000
 LEXICON = 4_000
@@ -78,7 +77,9 @@ def lexicon(train: DataFrame, size: int) -> dict[str, float]:
     sums = train.select("text", "toxic").mapInArrow(count, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     best = sums.filter(F.col("pos") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    return {r["unit"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "unit").limit(size).collect()}
+    with batches_of(train.sparkSession, TEXTS_AT_ONCE):
+        rows = best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "unit").limit(size).collect()
+    return {r["unit"]: r["odds"] for r in rows}
 
 
 class Tokens(dict):
@@ -160,11 +161,14 @@ def features(text: str, tokens: Tokens) -> list[float]:
 
 
 def _features(weights: dict[str, float]):
-    @F.pandas_udf("array<double>")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = Tokens(weights)
         for texts in batches:
-            yield pd.Series([features(t or "", tokens) for t in texts])
+            # Texts leave the batch one by one, and numbers take their place.
+            values = np.fromiter((x for t in texts for x in features(t.as_py() or "", tokens)), np.float64)
+            width = len(values) // max(1, len(texts))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * np.int32(width)), pa.array(values))
 
     return udf
 
@@ -203,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, si
     train = stored(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", part.alias("part")), "toxic-train")
     rate = train.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
     weights = lexicon(train.filter("part < 9"), size)
-    x = stored(train.filter("part >= 9").select("part", F.col("toxic").cast("double").alias("_y"), _features(weights)("text").alias("f")), "toxic-features")
+    x = stored(train.filter("part >= 9").select("part", F.col("toxic").cast("double").alias("_y"), _features(weights)("text").alias("f")), "toxic-features", TEXTS_AT_ONCE)
     x = x.select("part", "_y", array_to_vector("f").alias("_x"))
     learn, check = x.filter("part < 16"), x.filter("part >= 16")
     if {r["_y"] for r in learn.select("_y").distinct().collect()} != {0.0, 1.0} or not check.head(1):

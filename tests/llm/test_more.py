@@ -6,9 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from askframe.llm import covertree, ctph, packing, pii, simhash
+from askframe.llm import covertree, ctph, packing, pii, simhash, toxicity
+from askframe.llm.common import TEXTS_AT_ONCE, stored
 
 # ---- near-duplicate stage ---------------------------------------------------
 
@@ -173,6 +177,59 @@ def test_links_of_two_blocks_equal_products(monkeypatch, leaf):
 # ---- packing ----------------------------------------------------------------
 
 
+def test_packing_remembers_few_words_and_the_frequent_ones(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "CACHE", 200)
+    pieces, encoded, most = packing.Pieces(path), [], 0
+    whole = pieces.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, words, **kw):
+            encoded.extend(words)
+            return whole.encode_batch_fast(words, **kw)
+
+    pieces.tokenizer = Counted()
+    for n in range(60):
+        text = "the same words " + " ".join(f"rare{n}x{k}" for k in range(20)) + " again. \x07"
+        got = pieces.ids(text.encode())
+        want = whole.encode(text, add_special_tokens=False).ids + [0]
+        assert np.frombuffer(got, "<u4").tolist() == want
+        most = max(most, sum(len(t) for t in vars(pieces).values() if isinstance(t, dict)))
+    assert most <= 2 * 200
+    assert encoded.count("same") == 1
+
+
+def test_few_texts_at_a_time_go_to_python(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    rows = spark.range(0, 3500, 1, 1).mapInArrow(sizes, "n long")
+    assert max(r.n for r in stored(rows, "sizes").collect()) == 3500
+    got = [r.n for r in stored(rows, "sizes", TEXTS_AT_ONCE).collect()]
+    assert sum(got) == 3500 and max(got) <= TEXTS_AT_ONCE
+    assert spark.conf.get(key) == before
+    with pytest.raises(Exception, match="wrong"):
+        stored(rows.select(F.raise_error(F.lit("wrong")).cast("long").alias("n")), "sizes", 10)
+    assert spark.conf.get(key) == before
+
+
+def test_toxicity_features_hold_no_second_copy_of_a_batch(spark):
+    import tracemalloc
+
+    texts = pa.array([None, ""] + [f"You fools, {n} WORDS! " * 200 for n in range(3000)])
+    run = toxicity._features({"fool": 1.5, "words": 2.0}).func
+    tracemalloc.start()
+    (got,) = run(iter([texts]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Texts are 13 MB here; a series of them would be that again.
+    assert peak < texts.nbytes / 2
+    tokens = toxicity.Tokens({"fool": 1.5, "words": 2.0})
+    assert got.to_pylist() == [toxicity.features(t or "", tokens) for t in texts.to_pylist()]
+    assert len(next(run(iter([texts[:0]])))) == 0
+
+
+
 def test_evolution_beats_best_fit_on_triples():
     """Sizes made of triples that fill a bin exactly: best fit wastes bins there."""
     rng, won, lost = random.Random(3), 0, 0
