@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from askframe.llm import covertree, ctph, packing, pii, simhash, toxicity
+from askframe.llm import covertree, ctph, packing, pii, simhash, toxicity, words
 from askframe.llm.common import TEXTS_AT_ONCE, stored
 
 # ---- near-duplicate stage ---------------------------------------------------
@@ -199,6 +199,43 @@ def test_packing_remembers_few_words_and_the_frequent_ones(monkeypatch):
     assert encoded.count("same") == 1
 
 
+class Recorded:
+    """A tokenizer that notes what goes the whole way through it."""
+
+    def __init__(self, whole):
+        self.whole, self.model, self.seen = whole, whole.model, []
+
+    def encode_batch_fast(self, words, **kw):
+        self.seen += words
+        return self.whole.encode_batch_fast(words, **kw)
+
+
+ODD = ["a.b", "it's", "'S", "\n", "\r\n", " ", "\t", "\u3000", "\x1c", "\x85", "\xa0", "\u0301", "e\u0301", "École", "É.", "ÿ,", "÷.", "ª.", "word", "words,***", "\u0130", "\u212a", "x1.", "...", "a!?\n", "<|endoftext|>", "a<|endoftext|>.", "<|END", "|>", "你好.", "²", "\0", "\x0b", "_."]
+
+
+def test_packing_codes_a_distinct_word_once_and_plain_ones_by_the_model(monkeypatch):
+    pieces = packing.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    whole = pieces.tokenizer
+    pieces.tokenizer = recorded = Recorded(whole)
+    looked, codes = [], pieces.codes
+    monkeypatch.setattr(pieces, "codes", lambda words: looked.extend(words) or codes(words))
+    texts = ["The plain words, naïve words; and \u4f60\u597d\n" * 30] * 40
+    got = list(pieces.many(pa.array(texts)))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert sorted(recorded.seen) == ["", ",", ";", "\u4f60\u597d"] and len(looked) == len(set(looked)) == 9
+
+
+@pytest.mark.parametrize("at_once", [64, 1 << 20])
+def test_packing_of_odd_texts_is_as_by_the_library(monkeypatch, at_once):
+    monkeypatch.setattr(words, "BYTES_AT_ONCE", at_once)
+    monkeypatch.setattr(packing, "CACHE", 30)
+    rng, pieces = random.Random(3), packing.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [None, "", *(rng.choice(["", " "]).join(rng.choices(ODD, k=rng.randrange(12))) for _ in range(2000)), None]
+    want = [pieces.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in pieces.many(pa.array(texts))] == want
+    assert list(pieces.many(pa.array([], pa.string()))) == []
+
+
 def test_few_texts_at_a_time_go_to_python(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
