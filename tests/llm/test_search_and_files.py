@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from askframe.llm import ranked, spelling, token_files
+from askframe.llm import ranked, spelling, token_files, words
 from askframe.llm.common import scratch
 
 VOCAB = P.path("byte_bpe_50k.json")
@@ -150,6 +151,28 @@ def test_stretches_encode_like_whole_texts():
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_distinct_stretch_of_many_texts_is_coded_once(monkeypatch):
+    own, looked = token_files.Encoder(VOCAB), []
+    codes = own.codes
+    monkeypatch.setattr(own, "codes", lambda words: looked.extend(words) or codes(words))
+    some = ["The word, the word;\nthe naïve  word" * 20] * 30
+    want = own.tokenizer.encode(some[0], add_special_tokens=False).ids
+    assert all(np.frombuffer(x, own.dtype).tolist() == want for x in own.many(pa.array(some)))
+    assert len(looked) == len(set(looked)) == 9
+
+
+@pytest.mark.parametrize("at_once", [64, 1 << 20])
+def test_odd_texts_of_a_batch_are_as_by_the_library(monkeypatch, at_once):
+    monkeypatch.setattr(words, "BYTES_AT_ONCE", at_once)
+    monkeypatch.setattr(token_files, "CACHE", 30)
+    own, rng = token_files.Encoder(VOCAB), random.Random(6)
+    odd = ["a.b", "it's", "'s", "\n", "\n\n", "\r\n", " ", "   ", "\t", "\u3000", "\x1c", "\x85", "\xa0", "\u0301", "É.", "÷.", "12", "x1.", "...", "<|endoftext|>", "<|", "你好.", "x\ny", "end.\nNew\nz", " \n", "\0", "a\0b", "\x0b"]
+    some = [None, "", *(rng.choice(["", " "]).join(rng.choices(odd, k=rng.randrange(12))) for _ in range(2000)), None]
+    want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.many(pa.array(some))] == want
+    assert list(own.many(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("sizes", [{}, {"file_ids": 2000, "shard_bytes": 3000}])
 def test_token_files_round_trip(spark, docs, sizes):
     lib, rows = Tokenizer.from_file(VOCAB), texts(3)
