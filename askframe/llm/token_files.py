@@ -37,7 +37,8 @@ from tokenizers import Tokenizer
 from askframe.llm.common import scratch, shard_of, stored
 from askframe.llm.words import Table, encode_words, joined, slices
 
-CACHE = 1_000_000
+# Stretches that a Python worker remembers at most.
+CACHE = 600_000
 CHUNK = 1 << 20
 MAGIC = b"FRB1"
 HEAD = struct.Struct("<4sIQQQI")
