@@ -3,9 +3,10 @@
 A null text is an empty one.  High-recall generators propose overlapping spans;
 boosted trees score them from their format and context; a threshold for each
 kind selects.  Spans of the base patterns always stay.  The
-trees are fitted on the candidates of at most ``max_docs`` documents, labelled
-by checks that the features do not see; every text is scanned whole, and the
-threshold of each kind is read from the candidates of all documents.
+trees are fitted on the candidates of all documents, or of at most ``max_docs``
+where a caller says so, labelled by checks that the features do not see; every
+text is scanned whole, and the threshold of each kind is read from the
+candidates of all documents.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from askframe.llm.common import stored
 from askframe.llm.spans import matches, running
 
-MAX_DOCS = 4_000
 PRECISION = 0.95
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -191,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"_base": base_spans(text), "_cands": described}).drop("_text")
 
 
-def fit(found: DataFrame, max_docs: int = MAX_DOCS):
+def fit(found: DataFrame, max_docs: int | None = None):
     """``margin(feature array)`` as a column function, and for each kind the threshold calibrated on all documents.
 
     Without both labels among the fitting rows every margin is zero, and kinds
@@ -199,9 +199,11 @@ def fit(found: DataFrame, max_docs: int = MAX_DOCS):
     """
     each = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("_cands").alias("c")).select("doc_id", "c.kind", "c.f", "c.y")
     each = stored(each, "pii-candidates")
-    ids = each.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    chosen = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "pii-ids")
-    x = stored(each.join(F.broadcast(chosen), "doc_id").select("f", "y"), "pii-train")
+    x = each.select("f", "y")
+    if max_docs is not None:
+        ids = each.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+        chosen = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs), "pii-ids")
+        x = stored(each.join(F.broadcast(chosen), "doc_id").select("f", "y"), "pii-train")
     trees: list[tuple] = []
     if {r[0] for r in x.select("y").distinct().collect()} == {0.0, 1.0}:
         model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(x.select(array_to_vector("f").alias("v"), "y"))
@@ -226,7 +228,7 @@ def fit(found: DataFrame, max_docs: int = MAX_DOCS):
     return margin, thresholds
 
 
-def find(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def find(docs: DataFrame, max_docs: int | None = None) -> DataFrame:
     """``docs`` without ``text``, with ``_base`` and ``_spans``: base spans, and these with the selected candidates."""
     rows = stored(scan(docs).drop("text"), "pii-scan")
     margin, thresholds = fit(rows, max_docs)

@@ -255,9 +255,28 @@ def _verified(shingle: int, threshold: float):
     """Forest edges of rows ``(cell, side, key, known, text)`` sorted by cell, each pair of exact similarity at or above the threshold.
 
     Texts with the same ``known`` label are connected already; a cell with a
-    side 1 is looked at across its sides only.
+    side 1 is looked at across its sides only.  Pairs within the budget of bits
+    come from the trie; a fingerprint counts a repeated shingle each time and a
+    set once, so pairs beyond the budget are looked at besides.
     """
 
+    def beyond(keys: np.ndarray, across: np.ndarray, sets: list[np.ndarray], part: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Similar pairs of different parts beyond the budget, by counts of shared shingles."""
+        n, places = np.array([len(s) for s in sets]), np.arange(len(sets))
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        holder = np.repeat(places, n)[np.argsort(code, kind="stable")]
+        many = np.bincount(code)
+        start, ends = np.cumsum(many) - many, np.cumsum(n)
+        for i in range(len(sets)):
+            able = (part != part[i]) & (places > i) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]))
+            able &= (np.bitwise_count(keys ^ keys[i]) > SIMILAR_BUDGET) & ((across != across[i]) | (across[-1] == across[0]))
+            others = np.flatnonzero(able)
+            if len(others):
+                own = code[ends[i] - n[i] : ends[i]]
+                at = np.arange(many[own].sum()) + np.repeat(start[own] - np.cumsum(many[own]) + many[own], many[own])
+                shared = np.bincount(holder[at], minlength=len(sets))[others]
+                yield from ((i, j) for j in others[shared >= threshold * (n[i] + n[others] - shared)].tolist())
+
     def walk(side: list[int], key: list[bytes], known: list[bytes], sets: list[np.ndarray], fp: list[int]) -> pa.RecordBatch:
         prints = np.array(fp, np.uint64)
         order = np.lexsort((prints, np.array(side)))
@@ -284,6 +303,11 @@ def _verified(shingle: int, threshold: float):
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 if shared >= threshold * (len(one) + len(two) - shared):
                     label[max(x, y)] = min(x, y)
+        part = np.array([root(i) for i in range(len(label))])
+        if (part != part[0]).any():
+            for i, j in beyond(keys, np.array(side)[order], [sets[i] for i in order], part):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
         # Stars, not chains: components then settle in few rounds.
         child = [i for i in range(len(label)) if root(i) != i]
         a, b = ([key[order[i]] for i in some] for some in (child, map(root, child)))
@@ -390,8 +414,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, threshold: float = 0.8,
 
     Texts with the same words meet as one key.  Texts that share a MinHash band
     form candidate groups; inside a group every pair within the Hamming budget
-    is found by the trie and verified on its whole shingle sets, unless both are
-    already connected.
+    is found by the trie and verified on its whole shingle sets, and pairs
+    beyond it by counts of shared shingles, unless both are already connected.
     """
     keys, rooted = _similar_keys(docs, shingle, threshold, group_limit)
     named = keys.join(rooted, "key")

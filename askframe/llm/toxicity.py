@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense text features, calibrated by isotonic regression.
 
 A null text is an empty one; labels that are null are not used, and a document
-labelled twice counts once.  Fitting takes at most ``max_labelled`` labelled
-rows, those with the smallest hash of their id; scoring takes every whole text.
+labelled twice counts once.  Fitting takes every labelled row, or at most
+``max_labelled`` where a caller says so, those with the smallest hash of their
+id; scoring takes every whole text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askframe.llm.common import TEXTS_AT_ONCE, batches_of, split_of, stored
+from askframe.llm.simhash import _passing, _sieve
 
-MAX_LABELLED = 20_000
 LEXICON = 4_000
 LEAST_DOCS, LEAST_ODDS = 4, 2.0
 PREFIX = 5
@@ -194,17 +195,20 @@ def _margin(raw: Column) -> Column:
     return vector_to_array(raw)[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, size: int = LEXICON) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int | None = None, size: int = LEXICON) -> Model:
     """Learn from labelled rows outside the held-out fold; lexicon, trees and calibration see disjoint parts.
 
-    The labelled ids are bounded by ``max_labelled``, so their broadcast is too.
+    A table of bits keeps texts without a label out of the join, so labelled texts alone are shuffled.
     """
     usable = labels.filter((split_of(F.col("doc_id")) != 0) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = stored(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "toxic-labels")
+    if max_labelled is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = stored(chosen, "toxic-labels")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(20))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = stored(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", part.alias("part")), "toxic-train")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).alias("mark"))
+    sieve = _sieve(chosen.select("doc_id", F.lit(0).alias("mark")), "toxic-sieve")
+    train = stored(_passing(texts, sieve).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic", part.alias("part")), "toxic-train")
     rate = train.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
     weights = lexicon(train.filter("part < 9"), size)
     x = stored(train.filter("part >= 9").select("part", F.col("toxic").cast("double").alias("_y"), _features(weights)("text").alias("f")), "toxic-features", TEXTS_AT_ONCE)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from askframe.llm import covertree, ctph, packing, pii, simhash, toxicity, words
+from askframe.llm import common, covertree, ctph, packing, pii, simhash, toxicity, words
 from askframe.llm.common import TEXTS_AT_ONCE, stored
 
 # ---- near-duplicate stage ---------------------------------------------------
@@ -410,3 +410,76 @@ def test_scores_equal_all_segmentations_by_hand(spark):
     want = {i: sum(math.log10((count[w] + distinct * sum(p for _, p in ways(w))) / (total + distinct)) for w in ws) for i, ws in tokens.items()}
     got = {r.doc_id: r.score for r in lattice.scores(spark.createDataFrame(texts, "doc_id long, text string"), path).collect()}
     assert got == pytest.approx(want)
+
+
+# ---- nothing of the pipeline's work is left out -----------------------------
+
+
+def test_evolution_searches_large_regions_as_long_as_small_ones():
+    rng = random.Random(3)
+    size = [rng.randint(400, 1000) for _ in range(3000)]
+    best = packing.evolve(size, 2048, 1, [])
+    assert sorted(i for b in best for i in b) == list(range(3000)) and all(sum(size[i] for i in b) <= 2048 for b in best)
+    # 1,033 are filled by the sizes; best fit needs 1,104, and an effort that shrinks with the region 1,087 or more.
+    assert len(best) <= 1060
+
+
+def test_loose_documents_with_the_largest_sum_are_taken():
+    rng = random.Random(6)
+    for _ in range(300):
+        size = [rng.randint(1, 60) for _ in range(rng.randint(1, 9))]
+        least = rng.randint(0, 80)
+        most = least + rng.randint(1, 20)
+        sums = [sum(size[i] for i in some) for n in (1, 2) for some in itertools.combinations(range(len(size)), n)]
+        held = packing.Loose(list(range(len(size))), size, 100)
+        came = held.take_best(least, most)
+        assert sum(size[i] for i in came) == max((s for s in sums if least < s <= most), default=0)
+        assert sorted([*came, *(i for some in held.by.values() for i in some)]) == list(range(len(size)))
+
+
+class Seen(Exception):
+    pass
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    def stored(df, name, batch_rows=None):
+        if name == "toxic-train":
+            raise Seen(df.count())
+        return common.stored(df, name, batch_rows)
+
+    monkeypatch.setattr(toxicity, "stored", stored)
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    with pytest.raises(Seen) as seen:
+        toxicity.fit(docs, labels)
+    assert seen.value.args[0] == labels.filter(common.split_of(F.col("doc_id")) != 0).count() > 20_000
+
+
+def test_trees_for_spans_learn_from_the_candidates_of_all_documents(spark, monkeypatch):
+    class Trees:
+        def __init__(self, **settings):
+            pass
+
+        def fit(self, x):
+            raise Seen(x.count())
+
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    cands = F.array(F.struct(F.lit("ssn").alias("kind"), F.array(F.lit(1.0)).alias("f"), (F.col("id") % 2).cast("double").alias("y")))
+    with pytest.raises(Seen) as seen:
+        pii.fit(spark.range(5000).select(F.col("id").alias("doc_id"), cands.alias("_cands")))
+    assert seen.value.args[0] == 5000
+
+
+@pytest.mark.parametrize("limit", [500, 2])
+def test_similar_texts_are_linked_whatever_one_of_them_repeats(spark, limit):
+    """A passage said a hundred times turns the fingerprint round, and adds few shingles to the set."""
+    rng, texts = random.Random(8), []
+    for n in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        texts += [words, [*words, *[f"r{n}{k}" for k in range(5)] * 100]]
+    sets = [simhash.shingle_set(" ".join(w).encode(), 5) for w in texts]
+    prints = [simhash.fingerprint(" ".join(w).encode(), 5) for w in texts]
+    assert all((prints[i] ^ prints[i + 1]).bit_count() > simhash.SIMILAR_BUDGET and len(np.intersect1d(sets[i], sets[i + 1])) >= 0.8 * len(np.union1d(sets[i], sets[i + 1])) for i in range(0, 12, 2))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table, group_limit=limit).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
