@@ -483,3 +483,42 @@ def test_unsectioned_context_holds_few_texts_in_python(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Join Inner")
     assert [r.context for r in found.collect()] in ([None], ["- fine café roof"])
+
+
+def test_an_index_is_stored_in_row_groups_of_few_rows(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(inverted, "ROW_DOCS", 4)
+    # 2,000 terms a text that no other has: about 150 KB a row of the index.
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda n: F.hex(F.xxhash64("id", n))), " ")
+    corpus = spark.range(480, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    index = sparse._stored_index(corpus, None)
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i) for m in found for i in range(m.num_row_groups)]
+    assert index.count() == sum(g.num_rows for g in groups) == 120
+    assert max(g.total_byte_size for g in groups) < 12 << 20 < sum(g.total_byte_size for g in groups)
+
+
+@pytest.mark.parametrize("block_terms", [500_000, 60])
+def test_a_search_holds_few_rows_and_one_set_of_queries(spark, texts, monkeypatch, block_terms):
+    queries, docs = texts
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    names.append("parquet.block.size")
+    before, seen = [spark.conf.get(n, None) for n in names], {}
+
+    def watched(df, name):
+        seen.setdefault(name, []).append([spark.conf.get(n, None) for n in names])
+        return stored(df, name)
+
+    monkeypatch.setattr(inverted, "stored", watched)
+    monkeypatch.setattr(sparse, "BLOCK_TERMS", block_terms)
+    hits = sparse.tfidf_hits(frame(spark, queries, "query_id"), frame(spark, docs, "doc_id").repartition(6), 3, block_terms)
+    assert [spark.conf.get(n, None) for n in names] == before
+    assert seen["hits"] and all(int(n) <= 4 for now in seen["hits"] for n in now[:2])
+    # At most three a query, however many tasks took part.
+    assert hits.filter("doc_id is not null").groupBy("query_id").count().agg(F.max("count")).first()[0] == 3
+    if block_terms == 60:
+        assert len(seen["hits"]) > 1 and int(seen["index-weighted"][0][2]) <= 8 << 20
+        assert all(now[3] for name in ("index-placed", "index-weighted", "index-numbered") for now in seen[name])
+    rows = sorted(tuple(r) for r in sparse.top_k(hits.filter("doc_id is not null"), 3).collect())
+    assert rows == sorted(brute_tfidf(queries, docs, 3))
