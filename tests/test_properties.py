@@ -503,17 +503,20 @@ def test_an_index_is_stored_in_row_groups_of_few_rows(spark, monkeypatch):
 def test_a_search_holds_few_rows_and_one_set_of_queries(spark, texts, monkeypatch, block_terms):
     queries, docs = texts
     names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"]
-    names.append("parquet.block.size")
-    before, seen = [spark.conf.get(n, None) for n in names], {}
+
+    def settings():
+        return [*map(spark.conf.get, names), spark.conf.get("parquet.block.size", None)]
+
+    before, seen = settings(), {}
 
     def watched(df, name):
-        seen.setdefault(name, []).append([spark.conf.get(n, None) for n in names])
+        seen.setdefault(name, []).append(settings())
         return stored(df, name)
 
     monkeypatch.setattr(inverted, "stored", watched)
     monkeypatch.setattr(sparse, "BLOCK_TERMS", block_terms)
     hits = sparse.tfidf_hits(frame(spark, queries, "query_id"), frame(spark, docs, "doc_id").repartition(6), 3, block_terms)
-    assert [spark.conf.get(n, None) for n in names] == before
+    assert settings() == before
     assert seen["hits"] and all(int(n) <= 4 for now in seen["hits"] for n in now[:2])
     # At most three a query, however many tasks took part.
     assert hits.filter("doc_id is not null").groupBy("query_id").count().agg(F.max("count")).first()[0] == 3
